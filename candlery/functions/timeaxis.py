@@ -36,11 +36,17 @@ def utc_text(us: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
 def timeframe_seconds(label: Column) -> Column:
     """Length in seconds of a label such as ``1m``, ``60s``, ``4 hours``, ``1D``; null if it is none."""
     text = F.trim(label)
-    count = F.expr("1") * F.regexp_extract(text, r"^(\d{1,6})\s*[A-Za-z]+$", 1).try_cast("long")
-    unit = F.regexp_extract(text, r"^\d{1,6}\s*([A-Za-z]+)$", 1)
+    rest = F.ltrim(text, F.lit("0123456789"))
+    unit = F.ltrim(rest)
+    count = F.substring(text, F.lit(1), F.length(text) - F.length(rest)).try_cast("long")
+    by_length: dict[int, list[str]] = {}
+    for name, seconds in UNIT_SECONDS.items():
+        by_length.setdefault(seconds, []).append(name)
+    length = F.lit(None).cast("long")
+    for seconds, names in by_length.items():
+        length = F.when(F.lower(unit).isin(names), F.lit(seconds).cast("long")).otherwise(length)
     # a lone capital M is a calendar month, which has no fixed length
-    lengths = F.create_map(*[F.lit(x) for kv in UNIT_SECONDS.items() for x in kv])
-    return F.when((unit != "M") & (count > 0), count * F.try_element_at(lengths, F.lower(unit)))
+    return F.when((unit != "M") & (count > 0) & (count < 1_000_000), count * length)
 
 
 def timeframe_label(seconds: Column) -> Column:
@@ -55,6 +61,9 @@ def timeframe_label(seconds: Column) -> Column:
 
 
 def floor_div(a: Column, b: Column | int) -> Column:
-    """Floor division of longs, right below zero too."""
+    """Floor division of longs, right below zero too; b is not zero.
+
+    Never null for Catalyst, so joins on the result infer no null filters that would repeat its expressions below.
+    """
     b = F.lit(b) if isinstance(b, int) else b
-    return ((a - F.pmod(a, b)) / b).cast("long")
+    return F.coalesce(F.call_function("div", a - F.pmod(a, b), b), F.lit(0).cast("long"))

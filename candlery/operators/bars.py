@@ -23,12 +23,12 @@ def placed_bars(bars: DataFrame, *values: str) -> DataFrame:
     """
     seen = bars.select(
         F.coalesce(F.col("feed_id"), F.lit(NO_FEED)).alias("feed_id"),
-        timeframe_seconds(F.col("timeframe")).alias("tf"),
+        F.coalesce(timeframe_seconds(F.col("timeframe")), F.lit(0).cast("long")).alias("tf"),
         micros(bars, "open_time").alias("at_us"),
         micros(bars, "created_at").alias("arrival"),
         "id",
         *values,
-    ).where("tf is not null and at_us is not null")
+    ).where("tf > 0 and at_us is not null")
     length = F.col("tf") * 1_000_000
     return seen.withColumn("per", floor_div(F.col("at_us") + F.expr("tf * 500000"), length)).drop("at_us")
 

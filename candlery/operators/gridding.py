@@ -32,7 +32,7 @@ def grid_cells(readings: DataFrame, keys: Sequence[str], hold: float = 1.0) -> D
     of the cell), n (readings that begin in the cell): one row for each cell from the first to the last reading's.
     """
     readings = readings.select(*keys, F.col("at").cast("double").alias("at"), F.col("value").cast("double").alias("value"))
-    readings = readings.withColumn("block", F.floor(F.col("at") / BLOCK_PERIODS))
+    readings = readings.withColumn("block", F.coalesce(F.floor(F.col("at") / BLOCK_PERIODS), F.lit(0).cast("long")))
     steps = _with_next(readings, keys, "block", "at")
     first = F.floor(F.col("at"))
     # the last cell before that of the next reading, and that cell too if the next reading begins inside it
