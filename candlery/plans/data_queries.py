@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlery.operators import gridding, rolling, spikes
+from candlery.operators import gridding, instants, loglines, rolling, spikes
 from candlery.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
     return rolled.select(*[F.round(c, 4).alias(c) if kind == "double" else c for c, kind in rolled.dtypes])
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return instants.news_instants(table(spark, folder, "news_items"), table(spark, folder, "news_sources"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return gridding.uncovered_periods(table(spark, folder, "btc_klines"))
 
@@ -34,8 +38,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return spikes.implausible_ids(table(spark, folder, "btc_klines"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return loglines.log_entries(table(spark, folder, "logs"), with_message=False)
+
+
+def p6_entries(spark: SparkSession, folder: str) -> DataFrame:
+    return loglines.log_entries(table(spark, folder, "logs"))
+
+
 def queries() -> dict[str, Query]:
-    found = [p2_found, p2_rolling, p4_found, p4_grid, p5_found]
+    found = [p2_found, p2_rolling, p3_found, p4_found, p4_grid, p5_found, p6_found, p6_entries]
     return {f.__name__: f for f in found}
 
 
