@@ -64,6 +64,8 @@ WALL_FORMS = [
 EPOCH = r"^(?:/date\()?(-?\d{9,19})(?:\.(\d+))?(?:[+-]\d{4})?(?:\)/)?$"
 AGO = r"^(?:about |almost |близько )?(\d{1,6}|an?|one)\s*(\p{L}+)\.?\s+(?:ago|тому)$"
 FIRST_YEAR, LAST_YEAR = 1970, 2100
+#: Seconds that stand for no beginning or end.
+FOREVER = 9_000_000_000_000
 
 
 def _lookup(words: dict[int, str], key: Column) -> Column:
@@ -142,7 +144,7 @@ def _changes(zone: str) -> list[tuple[int, int]]:
         return []
     offset = lambda s: int(datetime.fromtimestamp(s, UTC).astimezone(info).utcoffset() / timedelta(seconds=1))
     start, end, step = -366 * 86_400, (LAST_YEAR - 1969) * 366 * 86_400, 5 * 86_400
-    found, at, now = [(-(2**53), offset(start))], start, offset(start)
+    found, at, now = [(-FOREVER, offset(start))], start, offset(start)
     while at < end:
         if (then := offset(at + step)) != now:
             lo, hi = at, at + step
@@ -168,7 +170,7 @@ def offset_intervals(zones: DataFrame) -> DataFrame:
             for zone in batch["zone"]:
                 changes = _changes(zone)
                 for i, (since, offset) in enumerate(changes):
-                    until = changes[i + 1][0] if i + 1 < len(changes) else 2**53
+                    until = changes[i + 1][0] if i + 1 < len(changes) else FOREVER
                     lo, hi = since + offset, until + offset
                     year = lambda s: min(LAST_YEAR, max(FIRST_YEAR, 1970 + s // 31_556_952))
                     out += [(zone, y, lo, hi, offset) for y in range(max(FIRST_YEAR, year(lo - 3 * 86_400) - (i > 0)), year(hi + 3 * 86_400) + 1)]
