@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candlery.llm import encode, retellings
+from candlery.llm import encode, packing, retellings, sentences
 from candlery.session import ensure_checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +33,17 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_documents(_documents(spark, folder))
 
 
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    ensure_checkpoint_dir(spark)
+    return packing.pack_documents(_documents(spark, folder))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.split_documents(_documents(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in [p1_found, p1_groups, p7_ids]}
+    return {f.__name__: f for f in [p1_found, p1_groups, p7_ids, p8_containers, p9_found]}
 
 
 def oracle_sql() -> dict[str, str]:
