@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 #: (minima per sketch, sketches) that keep text order, and that don't. Order keeps unrelated texts apart that merely use
 #: the same common words; the orderless ones find texts whose sentences were moved.
-ORDERED, ORDERLESS = (5, 18), (8, 14)
+ORDERED, ORDERLESS = (8, 10), (8, 24)
 #: Short texts have too few words for those: texts of at most so many words get these sketches too.
 SHORT_WORDS, SHORT = 24, (2, 12)
 SIMILARITY = 0.7
