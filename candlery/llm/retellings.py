@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -101,23 +102,64 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(owners))], names=["key", "cls"])
 
 
-@F.pandas_udf(T.DoubleType())
-def _word_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Words shared, counted as often as they occur, by the words in either; null where not asked."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        shared = sum((Counter(x) & Counter(y)).values())
-        out.append(shared / max(1, len(x) + len(y) - shared))
-    return pd.Series(out, dtype="float64")
+def banded_edits(a: Sequence[np.ndarray], b: Sequence[np.ndarray], band: np.ndarray) -> np.ndarray:
+    """Edit distance of each pair of word sequences along a band of so many cells on either side of the diagonal; -1
+    where it is larger than the band. All pairs advance together, a row of the alignment at a time."""
+    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    out = np.full(len(a), -1, np.int64)
+    rows, w = int(na.max(initial=0)), int(band.max(initial=0))
+    left = np.full((len(a), rows), -2, np.int64)
+    right = np.full((len(a), rows + 2 * w + 2), -1, np.int64)  # column j of the table compares with place w + j
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        left[k, : len(x)] = x
+        y = y[: right.shape[1] - w - 1]
+        right[k, w + 1 : w + 1 + len(y)] = y
+    shift = np.arange(-w, w + 1)
+    far = 1 << 30
+    table = np.where(shift >= 0, shift, far) + np.zeros((len(a), 1), np.int64)
+    reach = np.abs(nb - na) <= w
+    for i in range(rows + 1):
+        if i:
+            differs = left[:, i - 1 : i] != right[:, i : i + 2 * w + 1]
+            stepped = table + differs
+            stepped[:, :-1] = np.minimum(stepped[:, :-1], table[:, 1:] + 1)
+            stepped[:, i + shift < 0] = far
+            stepped[:, i + shift == 0] = i
+            table = np.minimum.accumulate(stepped - shift, axis=1) + shift
+        done = np.flatnonzero((na == i) & reach)
+        if len(done):
+            out[done] = table[done, (nb - na)[done] + w]
+    out[out > band] = -1
+    return out
+
+
+VERDICT = T.StructType([T.StructField("edits", T.LongType()), T.StructField("similar", T.BooleanType())])
+WORD = re.compile(r"[^\W_]+")
+#: Pairs that one alignment advances together.
+ALIGNED = 512
+
 
+def _verifier(threshold: float):
+    @F.pandas_udf(VERDICT)
+    def verdict(first: pd.Series, second: pd.Series) -> pd.DataFrame:
+        known: dict[str, int] = {}
+        a, b = ([np.array([known.setdefault(w, len(known)) for w in WORD.findall(t.lower())], np.int64) for t in s] for s in (first, second))
+        na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+        # so many words shared make a pair similar; with no more edits than the band, so many are
+        enough = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9).astype(np.int64)
+        band = np.maximum(na, nb) - enough
+        edits, possible = np.full(len(a), -1, np.int64), np.minimum(na, nb) >= enough
+        order = np.flatnonzero(possible)
+        order = order[np.argsort(np.maximum(na, nb)[order], kind="stable")]
+        for at in range(0, len(order), ALIGNED):
+            part = order[at : at + ALIGNED]
+            edits[part] = banded_edits([a[k] for k in part], [b[k] for k in part], band[part])
+        similar = edits >= 0
+        for k in np.flatnonzero(possible & ~similar):
+            similar[k] = sum((Counter(a[k].tolist()) & Counter(b[k].tolist())).values()) >= enough[k]
+        return pd.DataFrame({"edits": pd.Series(edits).where(edits >= 0).astype("Int64"), "similar": similar})
 
-def _as_text(tokens: Column) -> Column:
-    """Words as single characters beyond the basic plane, so that edit distance on characters is that on words."""
-    code = F.transform(tokens, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1_048_576)) + 65_536), 8, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+    return verdict
 
 
 def text_classes(items: DataFrame, key: str, *texts: str) -> tuple[DataFrame, DataFrame]:
@@ -149,18 +191,8 @@ def similar_classes(classes: DataFrame, threshold: float = SIMILARITY) -> DataFr
     )
     texts = pairs.join(classes.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
     texts = texts.join(classes.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")
-    tokens = texts.select("cls_a", "cls_b", words(F.col("text_a")).alias("a"), words(F.col("text_b")).alias("b"))
-    na, nb = F.size("a"), F.size("b")
-    # an upper bound of the similarity from the different words alone turns most chance candidates away
-    most = F.size(F.array_intersect("a", "b")) + F.least(na - F.size(F.array_distinct("a")), nb - F.size(F.array_distinct("b")))
-    likely = tokens.where(most >= threshold / (1 + threshold) * (na + nb) - 1e-9)
-    band = (F.greatest(na, nb) - F.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)).cast("int")
-    edits = F.call_function("levenshtein", _as_text(F.col("a")), _as_text(F.col("b")), F.greatest(band, F.lit(0)))
-    # within the band the words left unedited are enough words shared
-    aligned = likely.withColumn("edits", F.nullif(edits, F.lit(-1)))
-    open_question = F.col("edits").isNull()
-    exact = _word_similarity(F.when(open_question, F.col("a")), F.when(open_question, F.col("b")))
-    return aligned.withColumn("similarity", exact).where(F.col("edits").isNotNull() | (F.col("similarity") >= threshold - 1e-12)).select("cls_a", "cls_b", "edits")
+    judged = texts.select("cls_a", "cls_b", _verifier(threshold)("text_a", "text_b").alias("v"))
+    return judged.where("v.similar").select("cls_a", "cls_b", "v.edits")
 
 
 def similar_pairs(items: DataFrame, key: str, *texts: str, threshold: float = SIMILARITY) -> DataFrame:
