@@ -19,7 +19,8 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_rolling(spark: SparkSession, folder: str) -> DataFrame:
     rolled = rolling.rolling_totals(table(spark, folder, "btc_klines"))
-    return rolled.select(*[F.round(c, 4).alias(c) if kind == "double" else c for c, kind in rolled.dtypes])
+    shown = [(c, kind) for c, kind in rolled.dtypes if not c.startswith("close_mean")]
+    return rolled.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in shown])
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,5 +52,38 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in found}
 
 
+# --- DuckDB twins: a bar's series and period, the counting bar of each, and calendars from generated series
+
+BARS_SQL = """t as (select *, regexp_extract(trim(timeframe), '^([0-9]+) *[A-Za-z]+$', 1) as k, regexp_extract(trim(timeframe), '^[0-9]+ *([A-Za-z]+)$', 1) as u from btc_klines where open_time is not null),
+ s as (select *, cast(k as bigint) * case when lower(u) in ('s', 'sec') then 1 when lower(u) in ('m', 'min') and u <> 'M' then 60 when lower(u) in ('h', 'hour') then 3600 when lower(u) in ('d', 'day') then 86400 end as tf from t where k <> ''),
+ placed as (select *, cast((epoch_us(open_time) + tf * 500000) // (tf * 1000000) as bigint) as per from s where tf is not null),
+ counting as (select * from placed qualify row_number() over (partition by feed_id, tf, per order by created_at desc, id desc) = 1)"""
+LABEL_SQL = "case when tf % 86400 = 0 then (tf // 86400) || 'd' when tf % 3600 = 0 then (tf // 3600) || 'h' when tf % 60 = 0 then (tf // 60) || 'm' else tf || 's' end"
+DAYS_SQL = f"""{BARS_SQL}, sparse as (select feed_id, tf, cast(per * tf // 86400 as bigint) as day, count(*) as bars, count(*) filter (volume > 0) as active, coalesce(sum(volume), 0) as volume, coalesce(sum(close), 0) as close from counting group by 1, 2, 3),
+ span as (select feed_id, tf, min(day) as lo, max(day) as hi from sparse group by 1, 2), cal as (select feed_id, tf, lo, unnest(range(lo, hi + 1)) as day from span),
+ days as (select c.feed_id, c.tf, c.day, c.day - c.lo + 1 as series_day, coalesce(bars, 0) as bars, coalesce(active, 0) as active, coalesce(volume, 0) as volume, coalesce(close, 0) as close
+   from cal c left join sparse p on c.feed_id is not distinct from p.feed_id and c.tf = p.tf and c.day = p.day)"""
+
+
+def _trailing(n: int) -> str:
+    over = f"over (partition by feed_id, tf order by day rows {n - 1} preceding)"
+    return (
+        f"cast(sum(bars) {over} as bigint) as bars_{n}, cast(sum(active) {over} as bigint) as active_{n}, round(sum(volume) {over}, 6) as volume_total_{n}, round(sum(volume) {over} / {n}, 6) as volume_avg_{n}, "
+        f"round(sum(close) {over}, 6) as close_total_{n}, round(sum(close) {over} / {n}, 6) as close_avg_{n}"
+    )
+
+
+DAY_SQL = "strftime(date '1970-01-01' + cast(day as integer), '%Y-%m-%d')"
+P2_SQL = f"with {DAYS_SQL} select feed_id, {LABEL_SQL} as timeframe, {DAY_SQL} as day_utc, series_day, {_trailing(7)}, {_trailing(30)} from days"
+P2_FOUND_SQL = f"with {DAYS_SQL}, w as (select *, sum(active) over (partition by feed_id, tf order by day rows 6 preceding) as a7 from days) select feed_id, {LABEL_SQL} as timeframe, {DAY_SQL} as day_utc from w where series_day >= 7 and a7 = 0"
+CELLS_SQL = f"""{BARS_SQL}, best as (select feed_id, tf, per, max_by(close, {{'a': created_at, 'b': id}}) as close from placed where close is not null group by 1, 2, 3), span as (select feed_id, tf, min(per) as lo, max(per) as hi from placed group by 1, 2),
+ cells as (select feed_id, tf, unnest(range(lo, hi + 1)) as per from span), grid as (select c.feed_id, c.tf, c.per, b.close from cells c left join best b on c.feed_id is not distinct from b.feed_id and c.tf = b.tf and c.per = b.per)"""
+START_SQL = "strftime(make_timestamp(per * tf * 1000000), '%Y-%m-%d %H:%M:%S')"
+P4_FOUND_SQL = f"with {CELLS_SQL} select feed_id, {LABEL_SQL} as timeframe, {START_SQL} as period_start from grid where close is null"
+P4_SQL = f"""with {CELLS_SQL}, f as (select *, last_value(close ignore nulls) over (partition by feed_id, tf order by per rows unbounded preceding) as filled from grid)
+ select feed_id, {LABEL_SQL} as timeframe, {START_SQL} as period_start, close, filled as close_filled, case when close is null then 0.0 else 1.0 end::double as coverage,
+ case when close is not null then 'observed' when filled is not null then 'filled' else 'missing' end as status from f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": P2_FOUND_SQL, "p2_rolling": P2_SQL, "p4_found": P4_FOUND_SQL, "p4_grid": P4_SQL}
