@@ -168,8 +168,8 @@ def text_classes(items: DataFrame, key: str, *texts: str) -> tuple[DataFrame, Da
     A class holds the texts with the same words, counted as often as they occur: cls is a 64-bit hash of the sorted words
     (of n texts two unlike ones share it with probability n²/2⁶⁵). Copies collapse before anything is compared.
     """
-    rows = items.select(F.col(key).alias("item"), F.concat_ws(" ", *texts).alias("text")).withColumn("tokens", words(F.col("text")))
-    rows = rows.where(F.size("tokens") > 0).select("item", "text", F.xxhash64(F.sort_array("tokens")).alias("cls"))
+    rows = items.select(F.col(key).alias("item"), F.concat_ws(" ", *texts).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    rows = rows.select("item", "text", F.xxhash64(F.sort_array(words(F.col("text")))).alias("cls"))
     members = rows.where("item is not null").groupBy("item").agg(F.min("cls").alias("cls"))
     return members, rows.groupBy("cls").agg(F.min("text").alias("text"))
 
