@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,44 +98,51 @@ def blocks(text: str) -> list[tuple[int, int]]:
 def _enclosed(text: str, a: int, b: int) -> tuple[list[int], list[int], dict[int, int]]:
     """Starts and ends of the outermost matched quotations and brackets, and the opening place of each closing one."""
     stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
     spans, closing = [], {}
 
+    def push(kind: str) -> None:
+        stack.append((kind, at))
+        held[kind] += 1
+
     def close(*kinds: str) -> bool:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in kinds:
-                spans.append((stack[i][1], at))
-                closing[at] = stack[i][1]
-                del stack[i:]
+        if not any(held[k] for k in kinds):
+            return False
+        while True:  # what was opened later stays unmatched
+            kind, opened = stack.pop()
+            held[kind] -= 1
+            if kind in kinds:
+                spans.append((opened, at))
+                closing[at] = opened
                 return True
-        return False
 
     for m in MARKS.finditer(text, a, b):
         c, at = m.group(), m.start()
         before, after = text[at - 1] if at > a else " ", text[at + 1] if at + 1 < b else " "
         if c in PAIRS:
-            stack.append((c, at))
+            push(c)
         elif c == "“":
             if not close("„"):
-                stack.append((c, at))
+                push(c)
         elif c == "”":
             close("“", "„")
         elif c in "„‘":
-            stack.append((c, at))
+            push(c)
         elif c == "’":
             if not after.isalnum():
                 close("‘")
         elif c == "«":
             if not close("»"):
-                stack.append((c, at))
+                push(c)
         elif c == "»":
             if not close("«"):
-                stack.append((c, at))
+                push(c)
         elif c == '"':
-            if after.isspace() or not before.isspace() or not stack or all(k != '"' for k, _ in stack):
+            if after.isspace() or not before.isspace() or not held['"']:
                 if not close('"') and not after.isspace():
-                    stack.append((c, at))
+                    push(c)
             else:
-                stack.append((c, at))
+                push(c)
         else:
             close(*[k for k, v in PAIRS.items() if v == c])
     spans.sort()
