@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("symbol").orderBy("open_time")
+def _order() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("open_time")
 
 
-def safe_corr(a: str, b: str, over: Window | None = None) -> Column:
+def safe_corr(a: str, b: str, over: WindowSpec | None = None) -> Column:
     """Pearson correlation, null for fewer than two pairs or no spread."""
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
@@ -21,8 +22,8 @@ def safe_corr(a: str, b: str, over: Window | None = None) -> Column:
 
 def measures(bars: DataFrame, window: int = 14) -> DataFrame:
     """symbol, open_time and what is correlated: price, volume, ret and vol (rolling standard deviation of ret)."""
-    ret = F.try_divide(F.col("close"), F.lag("close").over(ORDER)) - 1
-    frame = ORDER.rowsBetween(-(window - 1), 0)
+    ret = F.try_divide(F.col("close"), F.lag("close").over(_order())) - 1
+    frame = _order().rowsBetween(-(window - 1), 0)
     rows = bars.select("symbol", "open_time", F.col("close").alias("price"), "volume", ret.alias("ret"))
     return rows.withColumn("vol", F.when(F.count("ret").over(frame) >= window, F.stddev_samp("ret").over(frame)))
 
@@ -69,7 +70,7 @@ def rolling_pairs(bars: DataFrame, window: int = 20, jump: float = 0.3) -> DataF
 def leading_indicators(bars: DataFrame, lags: Sequence[int] = (1, 2, 3, 6), least: int = 10) -> DataFrame:
     """Correlation of each symbol's return with every other one's return some bars earlier."""
     rows = measures(bars).select("symbol", "open_time", "ret")
-    earlier = rows.select("symbol", "open_time", *[F.lag("ret", k).over(ORDER).alias(f"x{k}") for k in lags])
+    earlier = rows.select("symbol", "open_time", *[F.lag("ret", k).over(_order()).alias(f"x{k}") for k in lags])
     shifted = earlier.select("symbol", "open_time", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.col(f"x{k}").alias("x")) for k in lags])).alias("s"))
     leaders = shifted.select(F.col("symbol").alias("leader"), "open_time", "s.k", "s.x")
     both = rows.join(leaders, "open_time").where("symbol <> leader and ret is not null and x is not null")
@@ -78,7 +79,7 @@ def leading_indicators(bars: DataFrame, lags: Sequence[int] = (1, 2, 3, 6), leas
 
 def autocorrelation(bars: DataFrame, value: str = "squared", lags: int = 10) -> DataFrame:
     """Biased autocorrelation of squared log returns (volatility clustering) or of log returns at lags 1.. per symbol."""
-    step = F.ln("close") - F.ln(F.lag("close").over(ORDER))
+    step = F.ln("close") - F.ln(F.lag("close").over(_order()))
     rows = bars.where("close > 0").select("symbol", "open_time", step.alias("r")).where("r is not null")
     rows = rows.select("symbol", "open_time", (F.col("r") * F.col("r") if value == "squared" else F.col("r")).alias("x"))
     centred = rows.withColumn("d", F.col("x") - F.avg("x").over(Window.partitionBy("symbol")))

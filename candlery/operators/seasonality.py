@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ORDER = Window.partitionBy("symbol").orderBy("open_time")
+def _order() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("open_time")
 
 
 def _ret() -> Column:
-    return F.try_divide(F.col("close"), F.lag("close").over(ORDER)) - 1
+    return F.try_divide(F.col("close"), F.lag("close").over(_order())) - 1
 
 
 def _r(c: Column, name: str, digits: int = 6) -> Column:
@@ -38,7 +39,7 @@ def monthly_stats(bars: DataFrame) -> DataFrame:
 
 def volatility_seasons(bars: DataFrame) -> DataFrame:
     """Mean absolute log return per symbol by hour, weekday, day of month and month, in long form."""
-    step = F.abs(F.ln(F.col("close")) - F.ln(F.lag("close").over(ORDER)))
+    step = F.abs(F.ln(F.col("close")) - F.ln(F.lag("close").over(_order())))
     rows = bars.where("close > 0").withColumn("x", step).where("x is not null")
     parts = {"hour": F.hour("open_time"), "weekday": F.weekday("open_time"), "day": F.day("open_time"), "month": F.month("open_time")}
     long = rows.select("symbol", "x", F.explode(F.array(*[F.struct(F.lit(k).alias("season"), v.cast("long").alias("slot")) for k, v in parts.items()])).alias("s"))
@@ -49,9 +50,9 @@ def risk(bars: DataFrame) -> DataFrame:
     """Value at risk and its mean excess at 95 and 99 percent, Sharpe ratio over 365 periods, deepest fall of summed returns."""
     rows = bars.withColumn("ret", _ret()).where("ret is not null")
     limits = rows.groupBy("symbol").agg(F.percentile("ret", 0.05).alias("v95"), F.percentile("ret", 0.01).alias("v99"))
-    running = F.sum("ret").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("ret").over(_order().rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("total", running)
-    rows = rows.withColumn("drawdown", F.col("total") - F.max("total").over(ORDER.rowsBetween(Window.unboundedPreceding, 0))).join(limits, "symbol")
+    rows = rows.withColumn("drawdown", F.col("total") - F.max("total").over(_order().rowsBetween(Window.unboundedPreceding, 0))).join(limits, "symbol")
     return rows.groupBy("symbol").agg(
         _r(F.first("v95"), "var_95"), _r(F.first("v99"), "var_99"), _r(F.avg(F.when(F.col("ret") <= F.col("v95"), F.col("ret"))), "cvar_95"), _r(F.avg(F.when(F.col("ret") <= F.col("v99"), F.col("ret"))), "cvar_99"),
         _r(F.try_divide(F.avg("ret"), F.nullif(F.stddev_samp("ret"), F.lit(0.0))) * F.sqrt(F.lit(365.0)), "sharpe"), _r(F.min("drawdown"), "max_drawdown"),
@@ -60,10 +61,10 @@ def risk(bars: DataFrame) -> DataFrame:
 
 def trend_runs(bars: DataFrame) -> DataFrame:
     """Runs of rises and falls per symbol (gaps and islands): number, longest, mean length and the current one."""
-    side = F.signum(F.col("close") - F.lag("close").over(ORDER))
+    side = F.signum(F.col("close") - F.lag("close").over(_order()))
     rows = bars.withColumn("side", side).where("side is not null")
-    rows = rows.withColumn("fresh", F.when(F.col("side") != F.coalesce(F.lag("side").over(ORDER), F.lit(9.0)), 1).otherwise(0))
-    rows = rows.withColumn("run", F.sum("fresh").over(ORDER.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("fresh", F.when(F.col("side") != F.coalesce(F.lag("side").over(_order()), F.lit(9.0)), 1).otherwise(0))
+    rows = rows.withColumn("run", F.sum("fresh").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.groupBy("symbol", "run").agg(F.count("*").alias("bars"), F.first("side").alias("side"))
     return runs.groupBy("symbol").agg(F.count("*").alias("runs"), F.max("bars").alias("longest"), _r(F.avg("bars"), "mean_bars"), F.max_by("bars", "run").alias("current_bars"), F.max_by("side", "run").cast("long").alias("current_side"))
 
@@ -83,7 +84,7 @@ def fibonacci(bars: DataFrame, lookback: int = 30) -> DataFrame:
 def trend_metrics(bars: DataFrame, n: int = 20) -> DataFrame:
     """Line through the last n closes of each symbol (slope, intercept, fit), speed, efficiency and volume factor."""
     newest = bars.withColumn("rk", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("open_time")))).where(f"rk <= {n}").withColumn("x", (n - F.col("rk")).cast("double"))
-    steps = newest.withColumn("step", F.abs(F.col("close") - F.lag("close").over(ORDER)))
+    steps = newest.withColumn("step", F.abs(F.col("close") - F.lag("close").over(_order())))
     found = steps.groupBy("symbol").agg(
         F.regr_slope("close", "x").alias("slope"), F.regr_intercept("close", "x").alias("intercept"), F.regr_r2("close", "x").alias("r2"), F.max_by("close", "x").alias("b"), F.min_by("close", "x").alias("a"),
         F.sum("step").alias("path"), F.avg("volume").alias("v"), F.avg(F.when(F.col("rk") <= 5, F.col("volume"))).alias("v5"),
