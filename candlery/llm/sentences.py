@@ -59,6 +59,11 @@ QUOTES = set("”’»«“\"」』›")
 OPENERS = "“„«»‹「『（([【《\"‘'¿¡"
 THAI = "ก-ฺเ-๎"
 THAI_SPACE = re.compile(rf"(?<=[{THAI}])\s+(?=[{THAI}])")
+#: What stands between words without being one: symbols, emoji, tags, entities.
+NOISE = re.compile(r"(?:</?\w+>|<\|\w+\|>|&\w+;|[^\w\s\"“”„«»‘’'()\[\]{}$#@%—–,;:!?.…¿¡+-]+)\s+")
+#: A capitalised word right after the mark, where a space got lost; the word before it.
+GLUED, GLUED_BEFORE = re.compile(r"[^\W\d_a-zа-яіїєґ][^\W\d_A-Z]*(?=[\s,])"), re.compile(r"(?:^|\s|[(“«])[^\W\d_]{3,}$|[\d%)]$")
+WIDE = re.compile(r"[　-〿぀-ヿ㐀-䶿一-鿿豈-﫿＀-￯가-힯]")
 CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ가-힯]")
 BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\u2028\u2029])[^\S\n\r]*(?:\r\n|[\n\r\u2028\u2029])\s*")
 LINE = re.compile(r"(?:\r\n|[\n\r\u2028\u2029])")
@@ -159,6 +164,8 @@ def _end_score(text: str, a: int, b: int, m: re.Match, end: int, after: int, clo
     marks = m.group()
     c, look = text[after], after
     dash = c in "—–" or (c == "-" and after + 1 < b and text[after + 1].isspace())
+    while m_noise := NOISE.match(text, look, b):
+        look = m_noise.end()
     while look < b and (text[look] in OPENERS or (dash and (text[look] in "—–-" or text[look].isspace()))):
         look += 1
     first = text[look] if look < b else c
@@ -258,10 +265,14 @@ def _candidates(text: str, a: int, b: int) -> tuple[list[int], list[int], list[f
             continue
         c = text[end]
         if not c.isspace():
-            last = m.group()[-1]
-            wide = last in FULL or (last in "!?…" and (CJK.match(text[m.start() - 1 : m.start()]) or CJK.match(c)))
-            if not wide or (c.isdigit() and last not in FULL and not CJK.match(text[m.start() - 1 : m.start()])):
-                continue
+            last, before = m.group()[-1], text[max(a, m.start() - 6) : m.start()]
+            wide = last in FULL or (last in "!?…" and (WIDE.search(before) or WIDE.match(c)))
+            if not wide:
+                glued = GLUED.match(text, end, b)
+                if not glued or m.group()[0] == "…" or not GLUED_BEFORE.search(text, max(a, m.start() - 30), m.start()):
+                    continue
+                if m.group() == "." and (text[m.start() - 1].isdigit() or not glued.group()[1:].islower()):
+                    continue
         after = end
         while after < b and text[after].isspace():
             after += 1
