@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlery.operators import correlation, joins, models, news, recursive, seasonality
+from candlery.operators import correlation, joins, learning, models, news, pipeline, recursive, registry, seasonality
 from candlery.operators.features import CATALOG
 from candlery.plans.candle_queries import DAILY_SQL, FOUR_HOURS_SQL, daily, four_hours
 from candlery.sources.tables import table
@@ -291,8 +291,34 @@ N07_SQL = f"""with w as (select doc_id, list_filter({WORDS_SQL}, lambda x: lengt
 KEYWORDS = ["treasury", "bridge", "audit"]
 
 
+def s06_backfill_slices(spark: SparkSession, folder: str) -> DataFrame:
+    return registry.window_slices(spark, "2024-01-01 00:00:00", "2024-02-01 00:00:00", "10 days")
+
+
+S06_SQL = "select slice_start, least(slice_start + interval 10 day, timestamp '2024-02-01 00:00:00') as slice_end from (select unnest(generate_series(timestamp '2024-01-01 00:00:00', timestamp '2024-01-31 23:59:59', interval 10 day)) as slice_start)"
+
+
+def s17_analysis_json(spark: SparkSession, folder: str) -> DataFrame:
+    rows = news.sentiment(table(spark, folder, "documents")).join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return registry.analysis_json(rows, "text")
+
+
+def w16_feature_frame(spark: SparkSession, folder: str) -> DataFrame:
+    return pipeline.run_steps(four_hours(spark, folder), ["drop_duplicates", ("time_range", {"start": "2024-01-02", "end": "2024-01-25"}), "repair", ("features", {"groups": ("w01_lagged", "w08_returns", "t05_bollinger")})])
+
+
+def o01_outlier_flags(spark: SparkSession, folder: str) -> DataFrame:
+    found = pipeline.run_steps(four_hours(spark, folder), ["outlier_flags"])
+    return found.select("symbol", "open_time", F.col("is_outlier").cast("long").alias("is_outlier"))
+
+
+O01_SQL = f"""with a as ({CATALOG["o02_robust_outliers"].sql(FOUR_HOURS_SQL)}), r as ({CATALOG["o05_domain_rules"].sql(FOUR_HOURS_SQL)}) select a.symbol, a.open_time, greatest(anomaly_z_close, anomaly_z_volume, anomaly_iqr_close, anomaly_iqr_volume,
+ anomaly_jump, anomaly_price, anomaly_ohlc, anomaly_zero_volume, anomaly_negative_volume, anomaly_volume, anomaly_flash, anomaly_gap) as is_outlier from a join r on a.symbol = r.symbol and a.open_time = r.open_time"""
+
+
 def queries() -> dict[str, Query]:
     named = [
+        s06_backfill_slices, s17_analysis_json, w16_feature_frame, o01_outlier_flags,
         j05_asof_events, y01_event_cycles, j06_near_events, j01_aligned, j02_wide_panel, j07_next_day_pairs, s09_upsert, s21_partial_update, s14_retained, s12_title_dedup,
         u01_unpivot_pivot, r03_detected_interval, r02_resampled, r04_weekly, f09_integrity, a09_cycle_table,
     ]
@@ -333,6 +359,12 @@ def queries() -> dict[str, Query]:
         "l02_principal_components": lambda s, d: models.principal_components(vol(s, d), ["hist_vol_14", "parkinson_14", "garman_klass_14"]),
         "x11_return_regression": lambda s, d: models.return_regression(lagged(s, d), columns, "target_return"),
         "l01_feature_scores": lambda s, d: models.feature_scores(lagged(s, d), columns, "target_return"),
+        "n06_topic_model": lambda s, d: learning.topic_model(documents(s, d)),
+        "n09_news_clusters": lambda s, d: learning.news_clusters(documents(s, d)),
+        "l04_embedding_clusters": lambda s, d: learning.embedding_clusters(table(s, d, "embeddings")),
+        "r06_price_levels": lambda s, d: learning.price_levels(four_hours(s, d)),
+        "l11_tuned_regression": lambda s, d: learning.tuned_regression(lagged(s, d), columns, "target_return"),
+        "l12_permutation_importance": lambda s, d: learning.permutation_importance(lagged(s, d), columns, "target_return"),
         "l05_sequences": lambda s, d: models.sequences(four_hours(s, d), ["close", "volume"]),
     }
 
@@ -367,5 +399,5 @@ def oracle_sql() -> dict[str, str]:
         "a14_topic_trends": f"""with n as (select max(published_at) as newest from documents), b as (select doc_id, cast(floor(date_diff('second', published_at, newest) / 2592000) as bigint) as bucket from documents, n where published_at is not null),
  e as (select topic, bucket, count(*) as n, coalesce(sum(pos - neg) / nullif(sum(pos + neg), 0), 0) as mood from ({n05}) t join ({N01_SQL}) s on t.doc_id = s.doc_id join b on b.doc_id = t.doc_id group by 1, 2)
  select topic, bucket, n, round(mood, 6) as mood, round(case when lag(bucket) over w = bucket + 1 then mood - lag(mood) over w end, 4) as mood_change from e window w as (partition by topic order by bucket desc)""",
-        "l01_feature_scores": L01_SQL, "l05_sequences": L05_SQL,
+        "s06_backfill_slices": S06_SQL, "o01_outlier_flags": O01_SQL, "l01_feature_scores": L01_SQL, "l05_sequences": L05_SQL,
     }
