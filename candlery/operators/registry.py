@@ -57,12 +57,14 @@ def analysis_json(rows: DataFrame, content: str, keep: int = 500) -> DataFrame:
 
 def parsed_klines(messages: DataFrame, column: str = "json") -> DataFrame:
     """Candles from the JSON of a kline stream: typed, times from milliseconds, closed flag; broken messages are left out."""
-    schema = "e string, s string, k struct<t: bigint, T: bigint, i: string, o: string, c: string, h: string, l: string, v: string, n: bigint, x: boolean, q: string, V: string, Q: string>"
-    parsed = messages.select(F.from_json(F.col(column), schema).alias("m")).where("m.k.t is not null")
+    # names differ by case alone (t and T), which a struct can't hold
+    parsed = messages.select(F.from_json(F.col(column), "s string, k map<string, string>").alias("m"))
+    field = lambda name, kind: F.col("m.k")[name].try_cast(kind)
+    rows = parsed.where(field("t", "long").isNotNull())
     number = {"open": "o", "high": "h", "low": "l", "close": "c", "volume": "v", "quote_asset_volume": "q", "taker_buy_base_volume": "V", "taker_buy_quote_volume": "Q"}
-    return parsed.select(
-        F.col("m.s").alias("symbol"), F.col("m.k.i").alias("timeframe"), F.timestamp_millis("m.k.t").alias("open_time"), F.timestamp_millis("m.k.T").alias("close_time"),
-        *[F.col(f"m.k.{f}").try_cast("double").alias(n) for n, f in number.items()], F.col("m.k.n").alias("number_of_trades"), F.col("m.k.x").alias("is_closed"),
+    return rows.select(
+        F.col("m.s").alias("symbol"), F.col("m.k")["i"].alias("timeframe"), F.timestamp_millis(field("t", "long")).alias("open_time"), F.timestamp_millis(field("T", "long")).alias("close_time"),
+        *[field(f, "double").alias(n) for n, f in number.items()], field("n", "long").alias("number_of_trades"), field("x", "boolean").alias("is_closed"),
     )
 
 

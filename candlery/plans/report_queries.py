@@ -71,10 +71,10 @@ TEXTS = {
     "a04_term_structure": "with x as (select 'four hours' as tf, hist_vol_14 as v from {vol} union all select 'one day', hist_vol_14 from {dvol}), s as (select tf, avg(v) as mean_v, percentile(v, 0.5) as median_v, max(v) as max_v, min(v) as min_v, stddev_samp(v) as sd_v from x where v is not null group by tf) select tf, round(mean_v, 6) as mean_v, round(median_v, 6) as median_v, round(max_v, 6) as max_v, round(min_v, 6) as min_v, round(sd_v, 6) as sd_v, round(mean_v / (select mean_v from s where tf = 'one day'), 6) as to_daily from s",
     "a05_volatility_by_phase": "select p.symbol, p.phase, count(v.hist_vol_14) as n, round(avg(v.hist_vol_14), 6) as mean_v, round(percentile(v.hist_vol_14, 0.25), 6) as p25, round(percentile(v.hist_vol_14, 0.75), 6) as p75 from {phase} p join {dvol} v on p.symbol = v.symbol and p.open_time = v.open_time where p.phase is not null group by p.symbol, p.phase having count(v.hist_vol_14) >= 10",
     "a07_volatility_summary": f"""with k as (select symbol, open_time, hist_vol_14 as v, row_number() over (partition by symbol order by open_time desc) as rk, avg(hist_vol_14) over {WP} as mu from {{vol}} where hist_vol_14 is not null), c as (select symbol, max(case when rk = 1 then v end) as now_v, max(case when rk = 8 then v end) as then_v from k group by symbol)
- select k.symbol, round(max(c.now_v), 6) as now_v, round(avg(v), 6) as mean_v, round(percentile(v, 0.9), 6) as p90, round(percentile(v, 0.1), 6) as p10, sum(case when v > mu then 1 else 0 end) as above_mean, round(max(c.now_v) / max(c.then_v) - 1, 6) as trend,
- round(100.0 * (sum(case when v < c.now_v then 1 else 0 end) + sum(case when v <= c.now_v then 1 else 0 end)) / 2 / count(*), 6) as percentile_now from k join c on k.symbol = c.symbol group by k.symbol""",
-    "a11_topic_report": "select lang, count(*) as n, sum(case when label = 'positive' then 1 else 0 end) as good, sum(case when label = 'negative' then 1 else 0 end) as bad, case when sum(case when label = 'positive' then 1 else 0 end) >= 0.6 * count(*) then 'bullish' when sum(case when label = 'negative' then 1 else 0 end) >= 0.6 * count(*) then 'bearish' else 'mixed' end as signal from {documents} d join {mood} m on d.doc_id = m.doc_id group by lang",
-    "a17_market_snapshot": "select open_time, count(hist_vol_14) as n, round(avg(hist_vol_14), 6) as mean_v, round(stddev_samp(hist_vol_14), 6) as sd_v, max_by(symbol, hist_vol_14) as wildest, min_by(symbol, hist_vol_14) as calmest from {vol} where hist_vol_14 is not null group by open_time",
+ select k.symbol, round(max(c.now_v), 6) as now_v, round(avg(v), 6) as mean_v, round(percentile(v, 0.9), 6) as p90, round(percentile(v, 0.1), 6) as p10, cast(sum(case when v > mu then 1 else 0 end) as bigint) as above_mean, round(max(c.now_v) / max(c.then_v) - 1, 6) as trend,
+ round(cast(100 as double) * (sum(case when v < c.now_v then 1 else 0 end) + sum(case when v <= c.now_v then 1 else 0 end)) / 2 / count(*), 6) as percentile_now from k join c on k.symbol = c.symbol group by k.symbol""",
+    "a11_topic_report": "select lang, count(*) as n, cast(sum(case when label = 'positive' then 1 else 0 end) as bigint) as good, cast(sum(case when label = 'negative' then 1 else 0 end) as bigint) as bad, case when sum(case when label = 'positive' then 1 else 0 end) >= 0.6 * count(*) then 'bullish' when sum(case when label = 'negative' then 1 else 0 end) >= 0.6 * count(*) then 'bearish' else 'mixed' end as signal from {documents} d join {mood} m on d.doc_id = m.doc_id group by lang",
+    "a17_market_snapshot": "select open_time, count(hist_vol_14) as n, round(avg(hist_vol_14), 9) as mean_v, round(stddev_samp(hist_vol_14), 6) as sd_v, max_by(symbol, hist_vol_14) as wildest, min_by(symbol, hist_vol_14) as calmest from {vol} where hist_vol_14 is not null group by open_time",
     "j08_january_effect": "with r as (select symbol, year(open_time) as y, month(open_time) as m, max_by(close, open_time) / nullif(min_by(close, open_time), 0) - 1 as ret from {d} group by symbol, year(open_time), month(open_time)), j as (select symbol, y, ret as january from r where m = 1), o as (select symbol, y, avg(ret) as others from r where m <> 1 group by symbol, y) select j.symbol, cast(j.y as bigint) as year_no, round(january, 6) as january, round(others, 6) as others, round(january - others, 6) as effect from j join o on j.symbol = o.symbol and j.y = o.y",
     # trend, levels, patterns
     "r03_breakouts": f"""with x as (select b.symbol, b.open_time, b.close, b.high, b.volume, case when w.swing_high = 1 then b.high end as level from {{b}} b left join {{swings}} w on w.symbol = b.symbol and w.open_time = b.open_time),
@@ -98,7 +98,7 @@ TEXTS = {
  select symbol, cast(off as bigint) as bars_back, round(dist, 6) as distance, round(1 / (1 + dist), 6) as similarity from m where n = 20""",
     "y09_turning_points": f"""with k as (select symbol, open_time, close, min(low) over {frame(30, 1)} as low30, max(high) over {frame(30, 1)} as high30, avg(volume) over {frame(30, 1)} as v30, volume, count(close) over {frame(30, 1)} as n from {{b}}),
  s as (select *, case when close <= low30 * 1.2 then 0.5 else 0 end + case when volume > v30 then 0.3 else 0 end as bottom_score, case when close >= high30 * 0.8 then 0.5 else 0 end + case when volume > v30 then 0.3 else 0 end as top_score from k where n = 30)
- select symbol, open_time, round(bottom_score, 6) as bottom_score, round(top_score, 6) as top_score from s where bottom_score >= 0.5 or top_score >= 0.5""",
+ select symbol, open_time, round(cast(bottom_score as double), 6) as bottom_score, round(cast(top_score as double), 6) as top_score from s where bottom_score >= 0.5 or top_score >= 0.5""",
     # volatility, models, evaluation
     "v10_breakout_days": "select symbol, cast(sum(vol_breakout) as bigint) as breakouts, count(*) as bars from {vol} group by symbol",
     "v13_impulse_response": "with k as (select cast(1 as bigint) as h union all select 2 union all select 3 union all select 4 union all select 5 union all select 10 union all select 20), v as (select symbol, var_samp(lr) as base from (select symbol, " + LOGRET + " as lr from {b}) x group by symbol) select symbol, h, round(base * (1 + power(0.9, h)), 8) as shocked, round(base, 8) as base from v cross join k",
