@@ -95,6 +95,21 @@ def trend_metrics(bars: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
+def similar_stretches(bars: DataFrame, n: int = 20) -> DataFrame:
+    """Distance of each symbol's newest n closes to every stretch of n closes that ends before them.
+
+    symbol, bars_back, distance (Euclidean, of closes standardised over the symbol), similarity 1 / (1 + distance).
+    """
+    whole = Window.partitionBy("symbol")
+    rank = F.row_number().over(whole.orderBy(F.desc("open_time")))
+    z = F.try_divide(F.col("close") - F.avg("close").over(whole), F.nullif(F.stddev_pop("close").over(whole), F.lit(0.0)))
+    rows = bars.select("symbol", rank.alias("rk"), z.alias("z"))
+    newest = rows.where(f"rk <= {n}").select("symbol", F.col("rk").alias("now_rk"), F.col("z").alias("now_z"))
+    pairs = rows.where(f"rk > {n}").join(newest, "symbol").withColumn("bars_back", (F.col("rk") - F.col("now_rk")).cast("long")).where(f"bars_back >= {n}")
+    found = pairs.groupBy("symbol", "bars_back").agg(F.sqrt(F.sum((F.col("now_z") - F.col("z")) ** 2)).alias("dist"), F.count("*").alias("n")).where(f"n = {n}")
+    return found.select("symbol", "bars_back", _r(F.col("dist"), "distance"), _r(1 / (1 + F.col("dist")), "similarity"))
+
+
 def cycle_table(states: DataFrame) -> DataFrame:
     """One row per cycle of the bull/bear automaton: kind, first and last bar, bars, start, end and extreme closes, return."""
     rows = states.where("cycle_no is not null and is_bull is not null")

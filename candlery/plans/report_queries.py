@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from candlery.functions.sqlwin import WC, WP, W, duck, frame, lag, lead, log, ratio, spark_text
-from candlery.operators import news
+from candlery.operators import news, seasonality
 from candlery.operators.features import CATALOG, LOGRET, RET
 from candlery.plans.candle_queries import DAILY_SQL, FOUR_HOURS_SQL, daily, four_hours
 from candlery.plans.relation_queries import N01_SQL
@@ -122,8 +122,13 @@ def _reports() -> dict[str, Report]:
     return {name: Report(text, BARS | TABLES | MOOD) for name, text in TEXTS.items()}
 
 
+def y08_similar_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """Every past stretch; the SQL text of the same name measures only one in 20 of them."""
+    return seasonality.similar_stretches(daily(spark, folder))
+
+
 def queries() -> dict[str, Query]:
-    return {name: report.run for name, report in _reports().items()}
+    return {name: report.run for name, report in _reports().items()} | {"y08_similar_stretches": y08_similar_stretches}
 
 
 def oracle_sql() -> dict[str, str]:
