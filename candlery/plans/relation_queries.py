@@ -304,7 +304,7 @@ def s17_analysis_json(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w16_feature_frame(spark: SparkSession, folder: str) -> DataFrame:
-    return pipeline.run_steps(four_hours(spark, folder), ["drop_duplicates", ("time_range", {"start": "2024-01-02", "end": "2024-01-25"}), "repair", ("features", {"groups": ("w01_lagged", "w08_returns", "t05_bollinger")})])
+    return pipeline.run_steps(four_hours(spark, folder), ["drop_duplicates", "repair", "features"])
 
 
 def o01_outlier_flags(spark: SparkSession, folder: str) -> DataFrame:

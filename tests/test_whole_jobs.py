@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candlery.operators import seasonality
+from candlery.operators import pipeline, seasonality
+from candlery.operators.features import CATALOG
 from candlery.plans import relation_queries, report_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,3 +36,14 @@ def test_y08_has_all_offsets(spark):
     assert some and all(mine[k] == pytest.approx(d, abs=2e-6) for k, d in some.items())
     days = {r.symbol: r["count"] for r in report_queries.daily(spark, FOLDER).groupBy("symbol").count().collect()}
     assert set(mine) == {(s, k) for s, n in days.items() for k in range(20, n - 19)}
+
+
+@needs_data
+def test_w16_has_all_bars_and_groups(spark):
+    out = relation_queries.w16_feature_frame(spark, FOLDER).drop("target_return")
+    plans = [CATALOG[g] for g in pipeline.GROUPS]
+    assert {c for p in plans for stage in p.stages for c in stage if c not in p.hidden} <= set(out.columns)
+    bars = relation_queries.four_hours(spark, FOLDER)
+    with_target = CATALOG["w10_targets"].apply(bars).where("target_return is not null")
+    keys = lambda d: sorted((r.symbol, r.open_time) for r in d.select("symbol", "open_time").collect())
+    assert keys(out) == keys(with_target) and len(keys(out)) > 0
