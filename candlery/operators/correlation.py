@@ -77,7 +77,7 @@ def leading_indicators(bars: DataFrame, lags: Sequence[int] = (1, 2, 3, 6), leas
     return both.groupBy(F.col("symbol").alias("target"), "leader", F.col("k").alias("lag_bars")).agg(F.count("*").alias("n"), F.round(safe_corr("ret", "x"), 6).alias("corr")).where(f"n >= {least}")
 
 
-def autocorrelation(bars: DataFrame, value: str = "squared", lags: int = 10) -> DataFrame:
+def autocorrelation(bars: DataFrame, value: str = "squared", lags: int = 30) -> DataFrame:
     """Biased autocorrelation of squared log returns (volatility clustering) or of log returns at lags 1.. per symbol."""
     step = F.ln("close") - F.ln(F.lag("close").over(_order()))
     rows = bars.where("close > 0").select("symbol", "open_time", step.alias("r")).where("r is not null")

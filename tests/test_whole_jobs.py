@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candlery.operators import pipeline, seasonality
+from candlery.operators import correlation, pipeline, seasonality
 from candlery.operators.features import CATALOG
 from candlery.plans import relation_queries, report_queries
 
@@ -47,3 +47,11 @@ def test_w16_has_all_bars_and_groups(spark):
     with_target = CATALOG["w10_targets"].apply(bars).where("target_return is not null")
     keys = lambda d: sorted((r.symbol, r.open_time) for r in d.select("symbol", "open_time").collect())
     assert keys(out) == keys(with_target) and len(keys(out)) > 0
+
+
+def test_autocorrelation_to_lag_30(spark):
+    x = np.exp(np.random.default_rng(5).normal(0, 0.1, 90).cumsum())
+    found = {r.lag_bars: r.acf for r in correlation.autocorrelation(bars_of(spark, x)).collect()}
+    d = np.diff(np.log(x)) ** 2
+    d = d - d.mean()
+    assert found == {k: pytest.approx(float((d[k:] * d[:-k]).sum() / (d * d).sum()), abs=2e-6) for k in range(1, 31)}
