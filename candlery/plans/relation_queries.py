@@ -90,10 +90,9 @@ J01_SQL = f"""with b as ({FOUR_HOURS_SQL}), s as (select symbol, min(open_time)
 
 
 def j02_wide_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Closes of three symbols side by side: an outer join on time as one pivot."""
-    names = ["click", "error", "view"]
-    wide = four_hours(spark, folder).groupBy("open_time").pivot("symbol", names).agg(F.round(F.max("close"), 4))
-    return wide.select("open_time", *[F.col(n).alias(f"close_{n}") for n in names])
+    """Closes of all symbols side by side: an outer join on time as one pivot. The symbols are read first; the SQL twin has three of them."""
+    wide = four_hours(spark, folder).groupBy("open_time").pivot("symbol").agg(F.round(F.max("close"), 4))
+    return wide.toDF("open_time", *[f"close_{n}" for n in wide.columns[1:]])
 
 
 J02_SQL = f"""with b as ({FOUR_HOURS_SQL}) select open_time, {", ".join(f"round(max(case when symbol = '{n}' then close end), 4) as close_{n}" for n in ("click", "error", "view"))} from b group by 1"""

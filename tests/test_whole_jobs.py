@@ -55,3 +55,12 @@ def test_autocorrelation_to_lag_30(spark):
     d = np.diff(np.log(x)) ** 2
     d = d - d.mean()
     assert found == {k: pytest.approx(float((d[k:] * d[:-k]).sum() / (d * d).sum()), abs=2e-6) for k in range(1, 31)}
+
+
+@needs_data
+def test_j02_has_all_symbols(spark):
+    out = relation_queries.j02_wide_panel(spark, FOLDER)
+    bars = relation_queries.four_hours(spark, FOLDER).collect()
+    assert set(out.columns) == {"open_time"} | {f"close_{b.symbol}" for b in bars}
+    found = {(c, r.open_time): r[c] for r in out.collect() for c in out.columns[1:] if r[c] is not None}
+    assert found == {(f"close_{b.symbol}", b.open_time): pytest.approx(b.close, abs=1e-4) for b in bars}
