@@ -15,7 +15,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from candlery.operators.news import cleaned_words
+from candlery.operators.news import STOP_WORDS, cleaned_words, importance
 
 
 def topic_model(documents: DataFrame, k: int = 6, vocabulary: int = 5_000, rounds: int = 10, seed: int = 42) -> DataFrame:
@@ -60,34 +60,69 @@ def price_levels(bars: DataFrame, reach: int = 5, tolerance: float = 0.02, least
     return bars.groupBy("symbol").applyInPandas(run, "symbol string, kind string, level double, touches long")
 
 
-def news_clusters(items: DataFrame, hours: int = 24, similarity: float = 0.5, most: int = 2_000) -> DataFrame:
-    """doc_id, window_start, part, cluster: greedy clusters by shared words within windows of time and language.
+def similar_word_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """a, b of all pairs of sets of one group whose words have at least this Jaccard similarity, a the earlier by ``at``.
 
-    In order of publication each item joins the first cluster whose first item is similar enough. A window with more than
-    ``most`` items is cut into parts by a hash of doc_id, each clustered by itself, so no group grows with the data.
+    sets: id, grp, at (orderable, distinct within a group), ws. Exact: two such sets share one of the words that are rarest
+    in the group, among the first n - ceil(similarity * n) + 1 of each (prefix filter).
     """
+    each = sets.select("id", "grp", F.explode("ws").alias("w"))
+    counts = each.groupBy("grp", "w").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = each.join(counts, ["grp", "w"]).groupBy("id", "grp").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("rare"))
+    n = F.size("ws")
+    # words of this set alone come first in its order and match nothing
+    room = n - F.ceil(F.lit(similarity) * n - 1e-9) + 1 - (n - F.size("rare"))
+    rows = sets.join(ranked, ["id", "grp"]).withColumn("room", room.cast("int")).where("room > 0")
+    keys = rows.select("id", "grp", "at", n.alias("n"), F.explode(F.slice("rare", 1, F.col("room"))).alias("k")).select("id", "grp", "at", "n", "k.w")
+    l, r = keys.alias("l"), keys.alias("r")
+    met = (F.col("l.grp") == F.col("r.grp")) & (F.col("l.w") == F.col("r.w")) & (F.col("l.at") < F.col("r.at"))
+    near = (F.col("l.n") >= similarity * F.col("r.n")) & (F.col("r.n") >= similarity * F.col("l.n"))
+    pairs = l.join(r, met & near).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    for s in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(s), F.col("ws").alias(f"ws_{s}")), s)
+    shared = F.size(F.array_intersect("ws_a", "ws_b"))
+    return pairs.where(shared >= similarity * (F.size("ws_a") + F.size("ws_b") - shared)).select("a", "b")
+
+
+def greedy_followers(pairs: DataFrame) -> DataFrame:
+    """id of the sets that aren't the first of a cluster: those similar to an earlier first one. Settled in rounds over
+    the pairs, each cut off by a checkpoint: whoever has no earlier neighbour left is first, and its neighbours follow."""
+    left, followers = pairs, None
+    while not left.isEmpty():
+        first = left.select("a").distinct().join(left.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        found = left.join(first, "a").select(F.col("b").alias("id")).distinct().checkpoint()
+        left = left.join(found.withColumnRenamed("id", "b"), "b", "left_anti").join(found.withColumnRenamed("id", "a"), "a", "left_anti").checkpoint()
+        followers = found if followers is None else followers.union(found)
+    return pairs.select(F.col("a").alias("id")).limit(0) if followers is None else followers
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["published_at", "doc_id"])
-        heads: list[set] = []
-        labels = []
-        for text in rows["words"]:
-            mine = set(text.split())
-            found = next((k for k, h in enumerate(heads) if mine and len(mine & h) >= similarity * len(mine | h)), None)
-            if found is None:
-                heads.append(mine)
-                found = len(heads) - 1
-            labels.append(found)
-        return rows.assign(cluster=labels)[["doc_id", "window_start", "part", "cluster"]]
-
-    timed = items.where(F.col("published_at").isNotNull())
-    words = cleaned_words(timed).join(timed.select("doc_id", "published_at", "lang"), "doc_id")
-    slots = words.withColumn("window_start", F.window("published_at", f"{hours} hours").start)
+
+def news_clusters(items: DataFrame, hours: int = 24, similarity: float = 0.5, most: int = 2_000) -> DataFrame:
+    """doc_id, window_start, part, cluster, representative: greedy clusters by shared words within windows of time and language.
+
+    In order of publication each item joins the first cluster of its window whose first item is similar enough; items
+    without words stay alone. Copies (equal sets of words) collapse before anything is compared, and no task holds a
+    window. part only spreads the rows of a window with more than ``most`` items; clusters go across parts.
+    representative is the most important item of the cluster, the earliest of equals.
+    """
+    timed = items.where(F.col("published_at").isNotNull() & F.col("doc_id").isNotNull())
+    found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
+    kept = F.filter(found, lambda w: ((F.length(w) > 2) | ~w.rlike("^[a-z]+$")) & ~w.isin(*STOP_WORDS))
+    slots = timed.select("doc_id", "published_at", F.window("published_at", f"{hours} hours").start.alias("window_start"), F.coalesce("lang", F.lit("")).alias("lang"), F.array_sort(F.array_distinct(kept)).alias("ws"))
     key = ["window_start", "lang"]
-    slots = slots.withColumn("lang", F.coalesce("lang", F.lit("")))
+    alone = F.when(F.size("ws") == 0, F.col("doc_id"))
+    slots = slots.withColumns({"grp": F.xxhash64(*key), "id": F.xxhash64(*key, "ws", alone)}).checkpoint()
+    sets = slots.groupBy("id", "grp", *key).agg(F.min(F.struct("published_at", "doc_id")).alias("at"), F.first("ws").alias("ws")).checkpoint()
+    pairs = similar_word_sets(sets.where(F.size("ws") > 0), similarity).checkpoint()
+    followers = greedy_followers(pairs)
+    heads = sets.join(followers, "id", "left_anti")
+    numbers = heads.select("id", "at", (F.row_number().over(Window.partitionBy(*key).orderBy("at")) - 1).cast("long").alias("cluster"))
+    own = pairs.join(numbers.withColumnRenamed("id", "a"), "a").join(followers.withColumnRenamed("id", "b"), "b").groupBy(F.col("b").alias("id")).agg(F.min("cluster").alias("cluster"))
+    labels = numbers.select("id", "cluster").union(own)
     sizes = slots.groupBy(*key).agg(F.ceil(F.count("*") / most).alias("parts"))
-    parted = slots.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).drop("parts")
-    return parted.groupBy(*key, "part").applyInPandas(run, "doc_id long, window_start timestamp_ntz, part long, cluster long")
+    placed = slots.drop("ws").join(labels, "id").join(sizes, key).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    weights = importance(timed).groupBy("doc_id").agg(F.max("importance").alias("importance"))
+    best = placed.join(weights, "doc_id").groupBy(*key, "cluster").agg(F.min(F.struct(-F.col("importance"), "published_at", "doc_id"))["doc_id"].alias("representative"))
+    return placed.join(best, [*key, "cluster"]).select("doc_id", "window_start", "part", "cluster", "representative")
 
 
 def tuned_regression(features: DataFrame, columns: Sequence[str], label: str, folds: int = 3, seed: int = 42) -> DataFrame:

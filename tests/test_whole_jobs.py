@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candlery.operators import correlation, pipeline, seasonality
+from candlery.operators import correlation, learning, pipeline, seasonality
 from candlery.operators.features import CATALOG
 from candlery.plans import relation_queries, report_queries
 
@@ -64,3 +64,20 @@ def test_j02_has_all_symbols(spark):
     assert set(out.columns) == {"open_time"} | {f"close_{b.symbol}" for b in bars}
     found = {(c, r.open_time): r[c] for r in out.collect() for c in out.columns[1:] if r[c] is not None}
     assert found == {(f"close_{b.symbol}", b.open_time): pytest.approx(b.close, abs=1e-4) for b in bars}
+
+
+def test_news_clusters_do_not_depend_on_parts(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = ["біржа", "ринок", "токен", "звіт", "фонд", "банк", "курс", "рада", "вузол", "міст"]
+    sets = [frozenset(rng.choice(vocabulary, rng.integers(0, 6), replace=False).tolist()) for _ in range(60)]
+    rows = [(i, " ".join(s), f"2024-01-01 10:{i:02d}:00", "uk") for i, s in enumerate(sets)]
+    items = spark.createDataFrame(rows, "doc_id long, text string, published_at string, lang string").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+    heads, expected = [], {}
+    for i, s in enumerate(sets):
+        k = next((k for k, h in enumerate(heads) if s and len(s & h) >= 0.5 * len(s | h)), len(heads))
+        heads += [s] if k == len(heads) else []
+        expected[i] = k
+    for most in (7, 2_000):
+        out = learning.news_clusters(items, most=most).collect()
+        assert {r.doc_id: r.cluster for r in out} == expected
+    assert all(r.representative == min(i for i, k in expected.items() if k == r.cluster) for r in out)
