@@ -2,30 +2,52 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: (minima per sketch, sketches) that keep text order, and that don't. Order keeps unrelated texts apart that merely use
-#: the same common words; the orderless ones find texts whose sentences were moved.
-ORDERED, ORDERLESS = (8, 10), (8, 24)
-#: Short texts have too few words for those: texts of at most so many words get these sketches too.
-SHORT_WORDS, SHORT = 24, (2, 12)
+#: (minima per sketch, sketches) that keep text order, and that don't. The first find nearly all; the others are the way
+#: out for texts whose sentences were cut differently, so that their order can't be restored.
+ORDERED, ORDERLESS = (6, 24), (8, 16)
+#: Texts of at most so many words have too few for those and get these sketches, which keep order, besides.
+SHORT_WORDS, SHORT = 24, (3, 12)
 SIMILARITY = 0.7
+#: Stands between the texts of an item and ends a sentence.
+BETWEEN = " "
+# Marks that end a sentence before a space, and those that end one by themselves.
+MARKS, WIDE_MARKS = ".!?…؟", "。！？।" + BETWEEN
+WORD, SPACE, MARK, WIDE_MARK, OTHER, UNKNOWN = 1, 2, 3, 4, 0, 255
 _POSITION_BITS = np.uint64(24)
 _PAD = np.uint64(2**64 - 1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Keys have so many bits; the zeros above them compress. Chance meetings of unlike keys are candidates like any other.
+KEY_BITS = np.uint64(48)
+#: Texts or pairs that one step works on, and cells of the alignment table that advance together.
+TEXTS, CELLS = 2_000, 1 << 18
+_kinds = np.full(0x110000, UNKNOWN, np.uint8)
 
 
-def words(*texts: Column) -> Column:
-    """The longest runs of letters and digits of the lower-cased texts, in order; null texts are empty."""
-    return F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+def _kind(c: str) -> int:
+    if c in WIDE_MARKS:
+        return WIDE_MARK
+    if c in MARKS:
+        return MARK
+    if c.isspace():
+        return SPACE
+    return WORD if unicodedata.category(c)[0] in "LN" else OTHER
+
+
+def _kinds_of(codes: np.ndarray) -> np.ndarray:
+    kinds = _kinds[codes]
+    fresh = np.unique(codes[kinds == UNKNOWN])
+    if len(fresh):
+        _kinds[fresh] = [_kind(chr(c)) for c in fresh.tolist()]
+        kinds = _kinds[codes]
+    return kinds
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -34,6 +56,67 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def tokenised(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of many texts as one run of 64-bit hashes, the number of each text's words, and which words begin a sentence.
+
+    Words are the longest runs of letters and digits of the lower-cased text. All texts are cut at once, by arrays over
+    their code points.
+    """
+    lowered = [t.lower() for t in texts]
+    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
+    codes = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds_of(codes)
+    inside = kinds == WORD
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(lowered), np.int64), np.zeros(0, bool)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    offset = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    powers = np.multiply.accumulate(np.full(int(lengths.max()), _GOLDEN, np.uint64))
+    hashes = _mixed(np.add.reduceat(_mixed(codes[inside] * _GOLDEN) * powers[offset], first) + lengths.astype(np.uint64))
+    owner = np.searchsorted(np.cumsum(sizes), starts, "right")
+    # a sentence begins after a mark and a space, after a mark that needs none, and with the text
+    spots = np.flatnonzero((kinds == MARK) | (kinds == WIDE_MARK))
+    last = np.searchsorted(spots, starts) - 1
+    since = np.concatenate([[0], ends[:-1]])
+    marked = (last >= 0) & (spots[last] >= since) if len(spots) else np.zeros(len(starts), bool)
+    spaces = np.flatnonzero(kinds == SPACE)
+    spaced = np.searchsorted(spaces, starts) - 1
+    where = spots[last] if len(spots) else starts
+    begins = marked & ((kinds[where] == WIDE_MARK) | ((spaced >= 0) & (spaces[spaced] > where)))
+    begins |= np.diff(owner, prepend=-1) != 0
+    return hashes, np.bincount(owner, minlength=len(lowered)), begins
+
+
+def class_of(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A hash of each text's words, counted as often as they occur, whatever their order."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(hashes ^ _GOLDEN))])
+    ends = np.cumsum(lengths)
+    return _mixed(sums[ends] - sums[ends - lengths] + lengths.astype(np.uint64))
+
+
+def _moved(order: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of all members of runs that are put into another order."""
+    n = lengths[order]
+    return np.repeat(starts[order] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def in_sentence_order(hashes: np.ndarray, doc: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The words with the sentences of each text in the order of their least hashes, so that moved sentences meet again."""
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return hashes
+    lengths = np.diff(np.append(starts, len(hashes)))
+    x, keys = _mixed(hashes * _GOLDEN), []
+    for _ in range(3):
+        least = np.minimum.reduceat(x, starts)
+        keys.append(least)
+        x = np.where(x == np.repeat(least, lengths), _PAD, x)
+    return hashes[_moved(np.lexsort((*keys[::-1], doc[starts])), starts, lengths)]
+
+
 def _labelled(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Tokens told apart by their occurrence in their text: the first, the second and so on of equal words differ."""
     order = np.lexsort((tokens, doc))
@@ -43,7 +126,7 @@ def _labelled(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(fresh)
     occurrence = np.arange(len(t)) - np.repeat(starts, np.diff(np.append(starts, len(t))))
     out = np.empty(len(t), np.uint64)
-    out[order] = _mixed(t + _mixed(occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    out[order] = _mixed(t + _mixed(occurrence.astype(np.uint64) * _GOLDEN))
     return out
 
 
@@ -54,7 +137,11 @@ def _keys(matrix: np.ndarray, seeds: Sequence[int], minima: int, ordered: bool)
     pad = matrix == _PAD
     out = np.empty((matrix.shape[0], len(seeds)), np.uint64)
     for s, seed in enumerate(seeds):
-        x = (_mixed(matrix ^ np.uint64(seed)) & ~low) | position
+        x = matrix * np.uint64(2 * seed + 1)
+        x ^= x >> np.uint64(32)
+        x *= _GOLDEN
+        x &= ~low
+        x |= position
         x[pad] = _PAD
         least = np.partition(x, minima - 1, axis=1)[:, :minima] if x.shape[1] > minima else x
         if ordered:
@@ -63,20 +150,20 @@ def _keys(matrix: np.ndarray, seeds: Sequence[int], minima: int, ordered: bool)
             least = np.sort(least, axis=1)
         key = np.full(matrix.shape[0], seed, np.uint64)
         for c in range(least.shape[1]):
-            key = _mixed((key ^ (least[:, c] >> _POSITION_BITS)) * np.uint64(0x9E3779B97F4A7C15))
-        out[:, s] = key
+            key = _mixed((key ^ (least[:, c] >> _POSITION_BITS)) * _GOLDEN)
+        out[:, s] = key >> (np.uint64(64) - KEY_BITS)
     return out
 
 
-def sketch_keys(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all sketches of texts given as one run of token hashes; and the text of each key."""
+def sketch_keys(hashes: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all sketches of texts given as one run of word hashes; and the text of each key."""
     seeds = np.random.default_rng(20_240).integers(1, 2**62, ORDERED[1] + ORDERLESS[1] + SHORT[1]).tolist()
     one, two = ORDERED[1], ORDERED[1] + ORDERLESS[1]
     doc = np.repeat(np.arange(len(lengths)), lengths)
-    labels = _labelled(tokens, doc)
+    labels = _labelled(in_sentence_order(hashes, doc, begins), doc)
     starts = np.cumsum(lengths) - lengths
     keys, owners = [], []
-    width = -(-lengths // 32) * 32
+    width = -(-lengths // 16) * 16
     for w in np.unique(width[lengths > 0]):
         rows = np.flatnonzero((width == w) & (lengths > 0))
         matrix = np.full((len(rows), w), _PAD, np.uint64)
@@ -85,91 +172,157 @@ def sketch_keys(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np
         parts = [(rows, _keys(matrix, seeds[:one], ORDERED[0], True)), (rows, _keys(matrix, seeds[one:two], ORDERLESS[0], False))]
         few = lengths[rows] <= SHORT_WORDS
         if few.any():
-            parts.append((rows[few], _keys(matrix[few], seeds[two:], SHORT[0], False)))
+            parts.append((rows[few], _keys(matrix[few], seeds[two:], SHORT[0], True)))
         for r, k in parts:
             keys.append(k.ravel())
             owners.append(np.repeat(r, k.shape[1]))
     return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2_000):
-            batch = whole.slice(at, 2_000)
-            lists = batch.column(1)
-            lengths = np.diff(lists.offsets.to_numpy())
-            keys, owners = sketch_keys(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lengths)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(owners))], names=["key", "cls"])
-
-
-def banded_edits(a: Sequence[np.ndarray], b: Sequence[np.ndarray], band: np.ndarray) -> np.ndarray:
-    """Edit distance of each pair of word sequences along a band of so many cells on either side of the diagonal; -1
-    where it is larger than the band. All pairs advance together, a row of the alignment at a time."""
-    na, nb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    out = np.full(len(a), -1, np.int64)
-    rows, w = int(na.max(initial=0)), int(band.max(initial=0))
-    left = np.full((len(a), rows), -2, np.int64)
-    right = np.full((len(a), rows + 2 * w + 2), -1, np.int64)  # column j of the table compares with place w + j
-    for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        left[k, : len(x)] = x
-        y = y[: right.shape[1] - w - 1]
-        right[k, w + 1 : w + 1 + len(y)] = y
-    shift = np.arange(-w, w + 1)
-    far = 1 << 30
-    table = np.where(shift >= 0, shift, far) + np.zeros((len(a), 1), np.int64)
-    reach = np.abs(nb - na) <= w
+def banded_edits(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """Insertions and deletions that turn one of each pair of word sequences into the other, along a band of so many cells
+    on either side of the diagonal; -1 where the ends of the sequences lie beyond the band.
+
+    ``a`` and ``b`` are runs of word numbers, ``la`` and ``lb`` the lengths of the sequences in them. All pairs advance
+    together, a row of the alignment at a time.
+    """
+    n, rows, w = len(la), int(la.max(initial=0)), int(band.max(initial=0))
+    left = np.full((n, rows), -2, np.int32)
+    left[np.arange(rows) < la[:, None]] = a
+    right = np.full((n, max(rows + 2 * w + 2, w + 1 + int(lb.max(initial=0)))), -1, np.int32)  # column j of the table compares with place w + j
+    columns = np.arange(right.shape[1]) - w - 1
+    right[(columns >= 0) & (columns < lb[:, None])] = b
+    shift = np.arange(-w, w + 1, dtype=np.int32)
+    far = np.int32(1 << 29)
+    table = np.where(shift >= 0, shift, far) + np.zeros((n, 1), np.int32)
+    out, reach = np.full(n, -1, np.int64), np.abs(lb - la) <= band
     for i in range(rows + 1):
         if i:
-            differs = left[:, i - 1 : i] != right[:, i : i + 2 * w + 1]
-            stepped = table + differs
+            stepped = np.where(left[:, i - 1 : i] == right[:, i : i + 2 * w + 1], table, far)
             stepped[:, :-1] = np.minimum(stepped[:, :-1], table[:, 1:] + 1)
-            stepped[:, i + shift < 0] = far
-            stepped[:, i + shift == 0] = i
-            table = np.minimum.accumulate(stepped - shift, axis=1) + shift
-        done = np.flatnonzero((na == i) & reach)
+            if i <= w:
+                stepped[:, i + shift < 0] = far
+                stepped[:, i + shift == 0] = i
+            table = np.minimum(np.minimum.accumulate(stepped - shift, axis=1) + shift, far)
+        done = np.flatnonzero((la == i) & reach)
         if len(done):
-            out[done] = table[done, (nb - na)[done] + w]
-    out[out > band] = -1
+            out[done] = table[done, (lb - la)[done] + w]
     return out
 
 
-VERDICT = T.StructType([T.StructField("edits", T.LongType()), T.StructField("similar", T.BooleanType())])
-WORD = re.compile(r"[^\W_]+")
-#: Pairs that one alignment advances together.
-ALIGNED = 512
+def _in_order_of(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, begins: np.ndarray, numbers: int) -> np.ndarray:
+    """Sequences ``b`` with their sentences in the order in which their words come in ``a``.
+
+    A sentence stands where the words lie, on average, that are in both texts once; one without such words stays behind
+    the sentence before it.
+    """
+    if not len(b):
+        return b
+    pa_, pb = np.repeat(np.arange(len(la)), la), np.repeat(np.arange(len(lb)), lb)
+    ua, ia, na = np.unique(pa_ * numbers + a, return_index=True, return_counts=True)
+    ub, ib, nb = np.unique(pb * numbers + b, return_index=True, return_counts=True)
+    ua, ia, ub, ib = ua[na == 1], ia[na == 1], ub[nb == 1], ib[nb == 1]
+    _, ka, kb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+    starts = np.flatnonzero(begins)
+    lengths = np.diff(np.append(starts, len(b)))
+    segment = np.searchsorted(starts, ib[kb], "right") - 1
+    met = np.bincount(segment, minlength=len(starts))
+    place = np.bincount(segment, weights=ia[ka], minlength=len(starts)) / np.maximum(met, 1)
+    # a sentence without a place takes that of the last one that has any, within the pair
+    pair = pb[starts]
+    known = np.maximum.accumulate(np.where(met > 0, np.arange(len(starts)), -1))
+    has = (known >= 0) & (pair[known] == pair)
+    place = np.where(has, place[known], -1.0)
+    return b[_moved(np.lexsort((np.arange(len(starts)), place, pair)), starts, lengths)]
+
+
+def _at(lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    return _moved(chosen, np.cumsum(lengths) - lengths, lengths)
+
+
+def judged_pairs(first: Sequence[str], second: Sequence[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, similar) of pairs of texts; edits is -1 where no alignment within the band proves them similar.
+
+    The sentences of one text are put in the order of the other's, then words are aligned: with so few insertions and
+    deletions that enough words are kept, the texts are similar. Where the alignment can't show it, shared words are
+    counted exactly.
+    """
+    ha, la, fa = tokenised(first)
+    hb, lb, fb = tokenised(second)
+    known, ids = np.unique(np.concatenate([ha, hb]), return_inverse=True)
+    a, b = ids[: len(ha)].astype(np.int64), ids[len(ha) :].astype(np.int64)
+    enough = np.ceil(threshold / (1 + threshold) * (la + lb) - 1e-9).astype(np.int64)
+    edits, similar = np.full(len(la), -1, np.int64), np.zeros(len(la), bool)
+    chosen = np.flatnonzero((np.minimum(la, lb) >= enough) & (enough > 0))
+    chosen = chosen[np.argsort(np.maximum(la, lb)[chosen], kind="stable")]
+    # the text with more sentences is the one whose sentences can be moved to where they are in the other
+    sentences = [np.bincount(np.repeat(np.arange(len(n)), n), weights=f, minlength=len(n)) for n, f in ((la, fa), (lb, fb))]
+    more = sentences[0] > sentences[1]
+    at = 0
+    while at < len(chosen):
+        size = max(1, CELLS // (2 * int((np.maximum(la, lb) - enough)[chosen[at]]) + 8))
+        part = chosen[at : at + size]
+        at += len(part)
+        for side, moving in ((more[part], (a, la, fa, b, lb)), (~more[part], (b, lb, fb, a, la))):
+            p = part[side]
+            if len(p):
+                x, lx, fx, y, ly = moving
+                xs, ys = x[_at(lx, p)], y[_at(ly, p)]
+                xs = _in_order_of(ys, ly[p], xs, lx[p], fx[_at(lx, p)], len(known) + 1)
+                edits[p] = banded_edits(ys, ly[p], xs, lx[p], (np.maximum(la, lb) - enough)[p])
+    # so many words are kept by the alignment
+    similar = (edits >= 0) & (la + lb - edits >= 2 * enough)
+    edits[~similar] = -1
+    rest = chosen[~similar[chosen]]
+    if len(rest):
+        counts = []
+        for n, x in ((la, a), (lb, b)):
+            counts.append(np.unique(np.repeat(np.arange(len(rest)), n[rest]) * (len(known) + 1) + x[_at(n, rest)], return_counts=True))
+        (ua, na), (ub, nb) = counts
+        _, ka, kb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
+        shared = np.bincount(ua[ka] // (len(known) + 1), weights=np.minimum(na[ka], nb[kb]), minlength=len(rest))
+        similar[rest] = shared >= enough[rest]
+    return edits, similar
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, TEXTS):
+            yield whole.slice(at, TEXTS)
+
+
+def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        hashes, lengths, _ = tokenised(batch.column("text").to_pylist())
+        cls = pa.array(class_of(hashes, lengths).view(np.int64))
+        worded = pa.array(lengths > 0)
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("text"), cls], names=["item", "text", "cls"]).filter(worded)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches):
+        keys, owners = sketch_keys(*tokenised(batch.column("text").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("cls").take(pa.array(owners))], names=["key", "cls"])
 
 
 def _verifier(threshold: float):
-    @F.pandas_udf(VERDICT)
-    def verdict(first: pd.Series, second: pd.Series) -> pd.DataFrame:
-        known: dict[str, int] = {}
-        a, b = ([np.array([known.setdefault(w, len(known)) for w in WORD.findall(t.lower())], np.int64) for t in s] for s in (first, second))
-        na, nb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-        # so many words shared make a pair similar; with no more edits than the band, so many are
-        enough = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9).astype(np.int64)
-        band = np.maximum(na, nb) - enough
-        edits, possible = np.full(len(a), -1, np.int64), np.minimum(na, nb) >= enough
-        order = np.flatnonzero(possible)
-        order = order[np.argsort(np.maximum(na, nb)[order], kind="stable")]
-        for at in range(0, len(order), ALIGNED):
-            part = order[at : at + ALIGNED]
-            edits[part] = banded_edits([a[k] for k in part], [b[k] for k in part], band[part])
-        similar = edits >= 0
-        for k in np.flatnonzero(possible & ~similar):
-            similar[k] = sum((Counter(a[k].tolist()) & Counter(b[k].tolist())).values()) >= enough[k]
-        return pd.DataFrame({"edits": pd.Series(edits).where(edits >= 0).astype("Int64"), "similar": similar})
-
-    return verdict
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            edits, similar = judged_pairs(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), threshold)
+            columns = [batch.column("cls_a"), batch.column("cls_b"), pa.array(edits, mask=edits < 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls_a", "cls_b", "edits"]).filter(pa.array(similar))
+
+    return verified
 
 
 def text_classes(items: DataFrame, key: str, *texts: str) -> tuple[DataFrame, DataFrame]:
-    """(key, cls) of every item with a word, each key once; and (cls, text), one text for each class.
+    """(item, cls) of every item with a word, each key once; and (cls, text), one text for each class.
 
-    A class holds the texts with the same words, counted as often as they occur: cls is a 64-bit hash of the sorted words
-    (of n texts two unlike ones share it with probability n²/2⁶⁵). Copies collapse before anything is compared.
+    A class holds the texts with the same words, counted as often as they occur: cls is a 64-bit hash of the words (of n
+    texts two unlike ones share it with probability n²/2⁶⁵). Copies collapse before anything is compared.
     """
-    rows = items.select(F.col(key).alias("item"), F.concat_ws(" ", *texts).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    rows = rows.select("item", "text", F.xxhash64(F.sort_array(words(F.col("text")))).alias("cls"))
+    kind = items.schema[key].dataType.simpleString()
+    rows = items.select(F.col(key).alias("item"), F.concat_ws(BETWEEN, *texts).alias("text")).mapInArrow(_classes, f"item {kind}, text string, cls long")
     members = rows.where("item is not null").groupBy("item").agg(F.min("cls").alias("cls"))
     return members, rows.groupBy("cls").agg(F.min("text").alias("text"))
 
@@ -177,12 +330,12 @@ def text_classes(items: DataFrame, key: str, *texts: str) -> tuple[DataFrame, Da
 def similar_classes(classes: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """cls_a < cls_b, edits (null if many) of the pairs of classes whose texts are similar.
 
-    Order MinHash sketches put texts into buckets; texts that share one are candidates. A banded alignment of their words
-    proves most of them similar; the exact count of shared words decides the rest (moved sentences align badly). Buckets
-    hold each class once and are joined, not collected, so adaptive execution splits a large one.
+    Order MinHash sketches of the words, sentences in an order of their own, put texts into buckets; texts that share one
+    are candidates. A banded alignment of their words, sentence by sentence, proves most of them similar; the exact count
+    of shared words decides the rest. Buckets hold each class once and are joined, not collected, so adaptive execution
+    splits a large one.
     """
-    hashes = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    buckets = classes.select("cls", hashes.alias("tokens")).mapInArrow(_buckets, "key long, cls long")
+    buckets = classes.mapInArrow(_buckets, "key long, cls long")
     left, right = buckets.alias("l"), buckets.alias("r")
     pairs = (
         left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") < F.col("r.cls")))
@@ -191,8 +344,7 @@ def similar_classes(classes: DataFrame, threshold: float = SIMILARITY) -> DataFr
     )
     texts = pairs.join(classes.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
     texts = texts.join(classes.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")
-    judged = texts.select("cls_a", "cls_b", _verifier(threshold)("text_a", "text_b").alias("v"))
-    return judged.where("v.similar").select("cls_a", "cls_b", "v.edits")
+    return texts.select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(_verifier(threshold), "cls_a long, cls_b long, edits long")
 
 
 def similar_pairs(items: DataFrame, key: str, *texts: str, threshold: float = SIMILARITY) -> DataFrame:

@@ -5,16 +5,18 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from candlery.llm import retellings
 
 
 def distance(a, b):
+    """Insertions and deletions between two sequences."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            new.append(row[j - 1] if x == y else min(row[j], new[-1]) + 1)
         row = new
     return row[-1]
 
@@ -30,13 +32,57 @@ def edited(rng, words, n):
     return words
 
 
+def flat(sequences):
+    return np.concatenate([np.asarray(x, np.int64) for x in sequences]), np.array([len(x) for x in sequences])
+
+
 def test_banded_alignment():
     rng = np.random.default_rng(1)
     a = [rng.integers(0, 6, rng.integers(0, 14)) for _ in range(300)]
     b = [np.array([hash(w) % 97 if isinstance(w, str) else w for w in edited(rng, x, int(rng.integers(5)))], np.int64) for x in a]
     band = rng.integers(0, 7, 300)
     truth = np.array([distance(x.tolist(), y.tolist()) for x, y in zip(a, b, strict=True)])
-    assert (retellings.banded_edits(a, b, band) == np.where(truth <= band, truth, -1)).all()
+    found = retellings.banded_edits(*flat(a), *flat(b), band)
+    assert (found[truth <= band] == truth[truth <= band]).all()
+    assert ((found == -1) | (found >= truth)).all()
+
+
+def test_words_of_many_texts_at_once():
+    texts = ["One, two.  TWO 1.5 x", "", "…", "да́та і मूल्य 价格上涨 ราคา١٢ e\u0301", "İstanbul ΣΑΣ, a_b", "x" * 70_000]
+    hashes, lengths, begins = retellings.tokenised(texts)
+    expected = [re.findall(r"[^\W_]+", t.lower()) for t in texts]
+    assert lengths.tolist() == [len(w) for w in expected]
+    seen = {}
+    for word, h in zip([w for words in expected for w in words], hashes.tolist(), strict=True):
+        assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert begins.tolist()[:6] == [True, False, True, False, False, False]
+
+
+def test_moved_sentences_are_aligned():
+    a = "The bank sold nine rigs. Lenders froze forty accounts at noon! A court in Pell cut its fee? Miners moved north."
+    b = "A court in Pell cut its fee. Miners moved north. Lenders froze forty accounts at noon. The bank sold nine rigs."
+    edits, similar = retellings.judged_pairs([a, a, a], [b, a, "nothing of that"], 0.7)
+    assert edits.tolist() == [0, 0, -1] and similar.tolist() == [True, True, False]
+    keys = [set(retellings.sketch_keys(*retellings.tokenised([t]))[0].tolist()) for t in (a, b)]
+    assert keys[0] == keys[1]
+
+
+@pytest.mark.parametrize(("replaced", "least"), [(12, 0.6), (10, 0.85), (8, 0.95)])
+def test_recall_by_similarity(replaced, least):
+    """Texts of 80 words, some replaced, with their sentences moved: how many pairs share a sketch."""
+    rng = np.random.default_rng(3)
+    met, n = 0, 200
+    for _ in range(n):
+        words = [f"w{k}" for k in rng.integers(0, 10**6, 80)]
+        other = list(words)
+        for k in rng.choice(80, replaced, replace=False):
+            other[k] = f"n{rng.integers(10**6)}"
+        first, second = (" ".join(w + ("." if k % 10 == 9 else "") for k, w in enumerate(x)) for x in (words, other))
+        second = " ".join(second.split(". ")[::-1])
+        a, b = (set(retellings.sketch_keys(*retellings.tokenised([t]))[0].tolist()) for t in (first, second))
+        met += bool(a & b)
+    assert met >= least * n
 
 
 def stories(rng, n):
