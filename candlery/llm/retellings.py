@@ -361,25 +361,44 @@ def similar_pairs(items: DataFrame, key: str, *texts: str, threshold: float = SI
     return both.select(F.least("i_a", "i_b").alias("item_a"), F.greatest("i_a", "i_b").alias("item_b"))
 
 
-def story_groups(items: DataFrame, key: str, *texts: str, threshold: float = SIMILARITY, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """(node, least) of every node of (a, b): the least node of its connected component.
+
+    Alternates large-star and small-star: every node hands its neighbours to the least of them, so the number of rounds
+    grows with the logarithm of a component's size, not with its diameter. Minima are combined before each shuffle and a
+    star's rows are joined, never collected. Rounds end when one of them leaves the edges as they are.
+    """
+
+    def star(pairs: DataFrame, large: bool) -> DataFrame:
+        near = pairs.union(pairs.select("b", "a")).toDF("u", "v") if large else pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        moved = near.join(least, "u")
+        if large:
+            return moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        ends = moved.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
+        return ends.where("a != b").distinct()
+
+    edges = edges.toDF("a", "b").where("a != b").distinct().checkpoint()
+    seen = None
+    while True:
+        edges = star(star(edges, True), False).checkpoint()
+        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        if state == seen:
+            break
+        seen = state
+    return edges.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), "least").union(edges.select("b", "b").distinct())
+
+
+def story_groups(items: DataFrame, key: str, *texts: str, threshold: float = SIMILARITY) -> DataFrame:
     """item, story, links, copies: one row per item with a word.
 
     story is the smallest class of the connected component of similar classes; links counts the other classes linked to
-    the item's, copies the items of its own class. Components by repeated minimum over neighbours, each round cut off by
-    a checkpoint in the shared folder; raises if they aren't settled after ``rounds``.
+    the item's, copies the items of its own class. Links are cut off by a checkpoint in the shared folder.
     """
     members, classes = text_classes(items, key, *texts)
-    linked = similar_classes(classes, threshold).select("cls_a", "cls_b")
-    edges = linked.union(linked.select("cls_b", "cls_a")).toDF("cls", "other").checkpoint()
-    labels = edges.groupBy("cls").agg(F.least(F.min("other"), F.col("cls")).alias("story"), F.count("*").alias("links")).checkpoint()
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("cls").alias("other"), F.col("story").alias("near")), "other").groupBy("cls").agg(F.min("near").alias("near"))
-        after = labels.join(near, "cls").select("cls", F.least("story", "near").alias("story"), "links", (F.col("near") < F.col("story")).alias("moved")).checkpoint()
-        labels = after.drop("moved")
-        if after.where("moved").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components aren't settled after {rounds} rounds")
+    linked = similar_classes(classes, threshold).select("cls_a", "cls_b").checkpoint()
+    links = linked.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    stories = components(linked).toDF("cls", "story")
     copies = members.groupBy("cls").agg(F.count("*").alias("copies"))
-    known = members.join(copies, "cls").join(labels, "cls", "left")
+    known = members.join(copies, "cls").join(stories, "cls", "left").join(links, "cls", "left")
     return known.select("item", F.coalesce("story", "cls").alias("story"), F.coalesce("links", F.lit(0)).alias("links"), "copies")

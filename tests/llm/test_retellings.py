@@ -127,3 +127,13 @@ def test_empty(spark):
     empty = spark.createDataFrame([], "news_id long, title string, summary string")
     assert retellings.similar_pairs(empty, "news_id", "title", "summary").count() == 0
     assert retellings.story_groups(empty, "news_id", "title", "summary").count() == 0
+
+
+def test_components_of_long_chains_and_stars(spark):
+    chain = [(k, k + 1) for k in range(100, 300)]
+    star = [(1_000, 2_000 + k) for k in range(50)]
+    pairs = [(7, 5), (5, 7), (9, 9)]
+    edges = spark.createDataFrame(chain + star + pairs, "a long, b long")
+    found = {r.node: r.least for r in retellings.components(edges).collect()}
+    expected = {k: 100 for k in range(100, 301)} | {k: 1_000 for k in [1_000, *range(2_000, 2_050)]} | {5: 5, 7: 5}
+    assert found == expected
