@@ -7,12 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: (minima per sketch, sketches) that keep text order, and that don't. The first find nearly all; the others are the way
 #: out for texts whose sentences were cut differently, so that their order can't be restored.
-ORDERED, ORDERLESS = (6, 24), (8, 16)
+ORDERED, ORDERLESS = (6, 22), (8, 16)
 #: Texts of at most so many words have too few for those and get these sketches, which keep order, besides.
 SHORT_WORDS, SHORT = 24, (3, 12)
 SIMILARITY = 0.7
@@ -21,7 +22,6 @@ BETWEEN = " "
 # Marks that end a sentence before a space, and those that end one by themselves.
 MARKS, WIDE_MARKS = ".!?…؟", "。！？।" + BETWEEN
 WORD, SPACE, MARK, WIDE_MARK, OTHER, UNKNOWN = 1, 2, 3, 4, 0, 255
-_POSITION_BITS = np.uint64(24)
 _PAD = np.uint64(2**64 - 1)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Keys have so many bits; the zeros above them compress. Chance meetings of unlike keys are candidates like any other.
@@ -119,39 +119,48 @@ def in_sentence_order(hashes: np.ndarray, doc: np.ndarray, begins: np.ndarray) -
 
 def _labelled(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Tokens told apart by their occurrence in their text: the first, the second and so on of equal words differ."""
-    order = np.lexsort((tokens, doc))
+    order = np.argsort((doc.astype(np.uint64) << np.uint64(52)) | (tokens >> np.uint64(12)), kind="stable")
     t, d = tokens[order], doc[order]
     fresh = np.ones(len(t), bool)
     fresh[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
     starts = np.flatnonzero(fresh)
     occurrence = np.arange(len(t)) - np.repeat(starts, np.diff(np.append(starts, len(t))))
     out = np.empty(len(t), np.uint64)
-    out[order] = _mixed(t + _mixed(occurrence.astype(np.uint64) * _GOLDEN))
+    out[order] = t
+    again = occurrence > 0
+    out[order[again]] = _mixed(t[again] + _mixed(occurrence[again].astype(np.uint64) * _GOLDEN))
     return out
 
 
 def _keys(matrix: np.ndarray, seeds: Sequence[int], minima: int, ordered: bool) -> np.ndarray:
-    """A key per row and seed: the minima of a random order of the row's tokens, in text order or in that of the minima."""
-    position = np.arange(matrix.shape[1], dtype=np.uint64)
-    low = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
+    """A key per row and seed: the minima of a random order of the row's tokens, in text order or in none.
+
+    Tokens are ordered by 20 bits of a hash, ties by position, in 32 bits while the position fits beside them.
+    """
     pad = matrix == _PAD
-    out = np.empty((matrix.shape[0], len(seeds)), np.uint64)
+    width = matrix.shape[1]
+    position = np.arange(width)
+    half = (matrix >> np.uint64(32)).astype(np.uint32)
+    narrow = width <= 1 << 12
+    kind, low, most = (np.uint32, 0xFFF, 0xFFFFFFFF) if narrow else (np.uint64, 0xFFFFFFFF, 2**64 - 1)
+    powers = np.multiply.accumulate(np.full(minima, _GOLDEN, np.uint64)) if ordered else np.ones(minima, np.uint64)
+    rows, out = np.arange(len(matrix))[:, None], np.empty((len(matrix), len(seeds)), np.uint64)
     for s, seed in enumerate(seeds):
-        x = matrix * np.uint64(2 * seed + 1)
-        x ^= x >> np.uint64(32)
-        x *= _GOLDEN
-        x &= ~low
-        x |= position
-        x[pad] = _PAD
-        least = np.partition(x, minima - 1, axis=1)[:, :minima] if x.shape[1] > minima else x
+        x = half * np.uint32((2 * seed + 1) & 0xFFFFFFFF)
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x7FEB352D)
+        x &= np.uint32(0xFFFFF000)
+        if not narrow:
+            x = x.astype(np.uint64) << np.uint64(32)
+        x |= position.astype(kind)
+        x[pad] = kind(most)
+        least = np.partition(x, minima - 1, axis=1)[:, :minima] if width > minima else x
+        none = least == most
+        place = np.where(none, width, least & kind(low)).astype(np.int64)
         if ordered:
-            least = np.take_along_axis(least, np.argsort(np.where(least == _PAD, _PAD, least & low), axis=1), axis=1)
-        else:
-            least = np.sort(least, axis=1)
-        key = np.full(matrix.shape[0], seed, np.uint64)
-        for c in range(least.shape[1]):
-            key = _mixed((key ^ (least[:, c] >> _POSITION_BITS)) * _GOLDEN)
-        out[:, s] = key >> (np.uint64(64) - KEY_BITS)
+            place.sort(axis=1)
+        label = np.where(place == width, np.uint64(0), matrix[rows, np.minimum(place, width - 1)])
+        out[:, s] = _mixed((label * powers[: label.shape[1]]).sum(axis=1, dtype=np.uint64) + np.uint64(seed)) >> (np.uint64(64) - KEY_BITS)
     return out
 
 
@@ -184,29 +193,37 @@ def banded_edits(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, b
     on either side of the diagonal; -1 where the ends of the sequences lie beyond the band.
 
     ``a`` and ``b`` are runs of word numbers, ``la`` and ``lb`` the lengths of the sequences in them. All pairs advance
-    together, a row of the alignment at a time.
+    together, a counterdiagonal of the alignment at a time: its cells depend on the two before it, not on each other.
     """
-    n, rows, w = len(la), int(la.max(initial=0)), int(band.max(initial=0))
-    left = np.full((n, rows), -2, np.int32)
-    left[np.arange(rows) < la[:, None]] = a
-    right = np.full((n, max(rows + 2 * w + 2, w + 1 + int(lb.max(initial=0)))), -1, np.int32)  # column j of the table compares with place w + j
-    columns = np.arange(right.shape[1]) - w - 1
-    right[(columns >= 0) & (columns < lb[:, None])] = b
-    shift = np.arange(-w, w + 1, dtype=np.int32)
-    far = np.int32(1 << 29)
-    table = np.where(shift >= 0, shift, far) + np.zeros((n, 1), np.int32)
+    n, w, steps = len(la), int(band.max(initial=0)), int((la + lb).max(initial=0))
+    padded = []
+    for x, lengths, nothing in ((a, la, -2), (b, lb, -1)):
+        table = np.full((n, int(lengths.max(initial=0))), nothing, np.int32)
+        table[np.arange(table.shape[1]) < lengths[:, None]] = x
+        around = np.full((steps + 2 * w + 4, n), nothing, np.int32)  # word i in row w + 1 + i
+        around[w + 1 : w + 1 + table.shape[1]] = table.T
+        padded.append(around)
+    left, right = padded
+    small = np.int16 if steps < 8_000 else np.int32
+    far = small(16_000 if small is np.int16 else 1 << 29)
+    cost = np.full((2 * w + 3, n), far, small)  # of the last cell on each diagonal k = j - i, in row w + 1 + k
+    cost[w + 1] = 0
     out, reach = np.full(n, -1, np.int64), np.abs(lb - la) <= band
-    for i in range(rows + 1):
-        if i:
-            stepped = np.where(left[:, i - 1 : i] == right[:, i : i + 2 * w + 1], table, far)
-            stepped[:, :-1] = np.minimum(stepped[:, :-1], table[:, 1:] + 1)
-            if i <= w:
-                stepped[:, i + shift < 0] = far
-                stepped[:, i + shift == 0] = i
-            table = np.minimum(np.minimum.accumulate(stepped - shift, axis=1) + shift, far)
-        done = np.flatnonzero((la == i) & reach)
+    ends = np.argsort(la + lb, kind="stable")
+    bounds = np.searchsorted((la + lb)[ends], np.arange(steps + 2))
+    for d in range(steps + 1):
+        if d:
+            k = min(w, d)
+            k -= (k + d) & 1  # diagonals -k, -k + 2, ..., k
+            i, j = (d + k) // 2, (d - k) // 2
+            cells = slice(w + 1 - k, w + 2 + k, 2)
+            same = left[w + i - k : w + i + 1][::-1] == right[w + j : w + j + k + 1]
+            step = np.minimum(cost[w - k : w + 1 + k : 2], cost[w + 2 - k : w + 3 + k : 2]) + small(1)
+            cost[cells] = np.minimum(step, np.where(same, cost[cells], far))
+        done = ends[bounds[d] : bounds[d + 1]]
+        done = done[reach[done]]
         if len(done):
-            out[done] = table[done, (lb - la)[done] + w]
+            out[done] = cost[w + 1 + (lb - la)[done], done]
     return out
 
 
@@ -291,12 +308,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(at, TEXTS)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _slices(batches):
-        hashes, lengths, _ = tokenised(batch.column("text").to_pylist())
-        cls = pa.array(class_of(hashes, lengths).view(np.int64))
-        worded = pa.array(lengths > 0)
-        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("text"), cls], names=["item", "text", "cls"]).filter(worded)
+@F.arrow_udf(T.LongType())
+def _class(texts: pa.Array) -> pa.Array:
+    found = []
+    for at in range(0, len(texts), TEXTS):
+        hashes, lengths, _ = tokenised(texts.slice(at, TEXTS).to_pylist())
+        found.append(class_of(hashes, lengths).view(np.int64))
+    return pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +339,8 @@ def text_classes(items: DataFrame, key: str, *texts: str) -> tuple[DataFrame, Da
     A class holds the texts with the same words, counted as often as they occur: cls is a 64-bit hash of the words (of n
     texts two unlike ones share it with probability n²/2⁶⁵). Copies collapse before anything is compared.
     """
-    kind = items.schema[key].dataType.simpleString()
-    rows = items.select(F.col(key).alias("item"), F.concat_ws(BETWEEN, *texts).alias("text")).mapInArrow(_classes, f"item {kind}, text string, cls long")
+    rows = items.select(F.col(key).alias("item"), F.concat_ws(BETWEEN, *texts).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
+    rows = rows.select("item", "text", _class("text").alias("cls"))
     members = rows.where("item is not null").groupBy("item").agg(F.min("cls").alias("cls"))
     return members, rows.groupBy("cls").agg(F.min("text").alias("text"))
 
