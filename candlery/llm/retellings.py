@@ -340,7 +340,7 @@ def text_classes(items: DataFrame, key: str, *texts: str) -> tuple[DataFrame, Da
     texts two unlike ones share it with probability n²/2⁶⁵). Copies collapse before anything is compared.
     """
     rows = items.select(F.col(key).alias("item"), F.concat_ws(BETWEEN, *texts).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    rows = rows.select("item", "text", _class("text").alias("cls"))
+    rows = rows.select("item", "text", F.coalesce(_class("text"), F.lit(0).cast("long")).alias("cls"))  # never null: no filters that tell its uses apart
     members = rows.where("item is not null").groupBy("item").agg(F.min("cls").alias("cls"))
     return members, rows.groupBy("cls").agg(F.min("text").alias("text"))
 
@@ -353,7 +353,7 @@ def similar_classes(classes: DataFrame, threshold: float = SIMILARITY) -> DataFr
     of shared words decides the rest. Buckets hold each class once and are joined, not collected, so adaptive execution
     splits a large one.
     """
-    buckets = classes.mapInArrow(_buckets, "key long, cls long")
+    buckets = classes.mapInArrow(_buckets, "key long not null, cls long not null")
     left, right = buckets.alias("l"), buckets.alias("r")
     pairs = (
         left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.cls") < F.col("r.cls")))
@@ -362,7 +362,7 @@ def similar_classes(classes: DataFrame, threshold: float = SIMILARITY) -> DataFr
     )
     texts = pairs.join(classes.select(F.col("cls").alias("cls_a"), F.col("text").alias("text_a")), "cls_a")
     texts = texts.join(classes.select(F.col("cls").alias("cls_b"), F.col("text").alias("text_b")), "cls_b")
-    return texts.select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(_verifier(threshold), "cls_a long, cls_b long, edits long")
+    return texts.select("cls_a", "cls_b", "text_a", "text_b").mapInArrow(_verifier(threshold), "cls_a long not null, cls_b long not null, edits long")
 
 
 def similar_pairs(items: DataFrame, key: str, *texts: str, threshold: float = SIMILARITY) -> DataFrame:
