@@ -52,26 +52,31 @@ def feed() -> Column:
     return F.nullif(F.col("feed_id"), F.lit(NO_FEED)).alias("feed_id")
 
 
-def row_blocks(rows: DataFrame, size: int, before: int, after: int) -> DataFrame:
-    """Cut each series into blocks of ``size`` consecutive rows, whatever gaps lie between them.
+def edged_blocks(rows: DataFrame, edge: int, carried: str) -> DataFrame:
+    """Cut each series into time blocks, each with the ``edge`` bars before it and behind it, whatever gaps lie between.
 
-    Adds blk and own (false for the ``before`` rows ahead and the ``after`` rows behind a block, which are copies). Row
-    numbers come from counts by time block, so no task ever holds a whole series: only the block counts are summed
-    along a series.
+    Adds blk, own (false for those copies) and seed: on the first bar of a block the last value of ``carried`` that any
+    bar before the block has. Only the edges of blocks are ordered along a series, so no task ever holds a whole one,
+    and the bars themselves move once, to their blocks.
     """
-    rows = rows.withColumn("tb", floor_div(F.col("per"), BLOCK_PERIODS))
-    keys = [*SERIES, "tb"]
-    along = Window.partitionBy(*SERIES).orderBy("tb").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, F.coalesce(F.sum("n").over(along), F.lit(0)).alias("ahead"))
-    numbered = rows.join(offsets, keys, "inner")
-    rn = F.col("ahead") + F.row_number().over(Window.partitionBy(*keys).orderBy("per")) - 1
-    numbered = numbered.withColumn("rn", rn)
-    home, place = floor_div(F.col("rn"), size), F.col("rn") % size
-    blocks = F.array_compact(
-        F.array(
-            home,
-            F.when((place < after) & (home > 0), home - 1),
-            F.when(place >= size - before, home + 1),
-        )
+    rows = rows.withColumn("blk", floor_div(F.col("per"), BLOCK_PERIODS))
+    inside = Window.partitionBy(*SERIES, "blk")
+    spots = rows.select(*SERIES, "blk", "per", carried).withColumns(
+        {
+            "place": F.row_number().over(inside.orderBy("per")),
+            "size": F.count("*").over(inside),
+            "valued": F.max(F.when(F.col(carried).isNotNull(), F.col("per"))).over(inside),
+        }
     )
-    return numbered.withColumn("blk", F.explode(blocks)).withColumn("own", F.col("blk") == floor_div(F.col("rn"), size)).drop("tb", "ahead")
+    edges = spots.where(f"place <= {edge} or place > size - {edge} or per = valued")
+    along = Window.partitionBy(*SERIES).orderBy("per")
+    near = [f("blk", i).over(along) for f in (F.lag, F.lead) for i in range(1, edge + 1)]
+    before = F.last(carried, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.withColumns({"near": F.array_distinct(F.array_compact(F.array(*near))), "before": before})
+    copies = F.filter("near", lambda b: b != F.col("blk"))
+    edges = edges.select(*SERIES, "per", copies.alias("copies"), F.when(F.col("place") == 1, F.col("before")).alias("seed"))
+    edges = edges.where("size(copies) > 0 or seed is not null")
+    home = rows.withColumnRenamed("blk", "home").join(edges, [*SERIES, "per"], "left")
+    blocks = F.concat(F.array("home"), F.coalesce("copies", F.array().cast("array<bigint>")))
+    placed = home.withColumn("blk", F.explode(blocks)).withColumn("own", F.col("blk") == F.col("home"))
+    return placed.withColumn("seed", F.when(F.col("own"), F.col("seed"))).drop("home", "copies")

@@ -86,7 +86,6 @@ def test_blocks_are_invisible(spark, monkeypatch):
     flags = sorted(map(tuple, spikes.flagged_bars(frame(spark, rows)).drop("residual").collect()))
     for module in (bars_module, gridding):
         monkeypatch.setattr(module, "BLOCK_PERIODS", 16)
-    monkeypatch.setattr(spikes, "BLOCK_ROWS", 32)
     monkeypatch.setattr(gridding, "GAP_CHUNK", 2)
     assert sorted(map(tuple, gridding.regular_closes(frame(spark, rows)).collect())) == whole
     assert sorted(map(tuple, spikes.flagged_bars(frame(spark, rows)).drop("residual").collect())) == flags
@@ -110,6 +109,63 @@ def test_implausible_bars(spark):
     assert not found & {118, 119, 120, 121, 122, 10, 89, 92}
 
 
+ROSNER = """-0.25 0.68 0.94 1.15 1.20 1.26 1.26 1.34 1.38 1.43 1.49 1.49 1.55 1.56 1.58 1.65 1.69 1.70 1.76 1.77 1.81 1.91 1.94 1.96 1.99 2.06 2.09
+ 2.10 2.14 2.15 2.23 2.24 2.26 2.35 2.37 2.40 2.47 2.54 2.62 2.64 2.90 2.92 2.92 2.93 3.21 3.26 3.30 3.59 3.68 4.30 4.64 5.34 5.42 6.01"""
+
+
+def esd_rows(spark, y, near, scale):
+    """What the decomposition hands on, of residuals y: sums of those under ``near`` scales, the others one by one."""
+    z = np.abs(y) / scale
+    bulk = y[z < near]
+    columns = "feed_id string, tf long, per long, y_price double, z_price double, n_price long, s_price double, q_price double, y_volume double, z_volume double, n_volume long, s_volume double, q_volume double"
+    rows = [("f", 60, None, None, None, len(bulk), float(bulk.sum()), float((bulk**2).sum()), None, None, 0, None, None)]
+    rows += [("f", 60, i, float(y[i]), float(z[i]), 0, None, None, None, None, 0, None, None) for i in np.flatnonzero(z >= near)]
+    return spark.createDataFrame([tuple(int(v) if isinstance(v, np.integer) else v for v in r) for r in rows], columns)
+
+
+def test_esd_on_a_published_example(spark):
+    x = np.array(ROSNER.split(), float)
+    y = x - np.median(x)
+    bound = spikes.esd_bounds(esd_rows(spark, y, 1.5, 0.9), share=10 / 54).first().price_bound
+    assert sorted(x[np.abs(y) / 0.9 >= bound - 1e-9]) == [5.34, 5.42, 6.01]
+    limits = spikes.with_esd_limit(spark.createDataFrame([(54,), (53,), (52,), (45,)], "left long")).orderBy(F.desc("left")).collect()
+    assert [round(r.esd_limit, 2) for r in limits] == [3.16, 3.15, 3.14, 3.09]
+
+
+def test_esd_removes_one_by_one(spark):
+    rng = np.random.default_rng(4)
+    y = rng.normal(0, 1, 400)
+    y[:25] += rng.choice([-1, 1], 25) * rng.uniform(4, 60, 25)
+    order = np.argsort(-np.abs(y))
+    limits = {r.left: r.esd_limit for r in spikes.with_esd_limit(spark.range(300, 401).withColumnRenamed("id", "left")).collect()}
+    last = 0
+    for i in range(40):
+        rest = y[order[i:]]
+        if abs(rest[0] - rest.mean()) > limits[len(rest)] * rest.std(ddof=1):
+            last = i + 1
+    bound = spikes.esd_bounds(esd_rows(spark, y, 2.0, 1.0)).first().price_bound
+    assert set(np.flatnonzero(np.abs(y) >= bound - 1e-9)) == set(order[:last]) and last > 15
+
+
+def test_the_esd_stage_decides(spark):
+    rng = np.random.default_rng(12)
+    close, volume = 100 + np.cumsum(rng.normal(0, 0.1, 300)), rng.uniform(1, 2, 300)
+    close[40] += 9.0
+    volume[60:70] = 40.0  # a burst longer than any running median would notice
+    rows = [bar(i, float(close[i]), float(volume[i])) for i in range(300)]
+    flags = {r.id: r for r in spikes.flagged_bars(frame(spark, rows)).collect()}
+    assert flags[40].outlier and flags[40].spike and all(flags[i].volume_outlier for i in range(60, 70))
+    few = {r.id for r in spikes.flagged_bars(frame(spark, rows), share=0.0).where("volume_outlier").collect()}
+    assert len(few) <= 1  # with no more than one value to remove, the others mask each other
+
+
+def test_moves_across_closes_that_are_missing(spark, monkeypatch):
+    monkeypatch.setattr(bars_module, "BLOCK_PERIODS", 8)
+    rows = [bar(i, None if 3 <= i < 30 else 100.0 + i, 1.0 + i % 3) for i in range(40)]
+    moves = {r.id: r.move for r in spikes._features(frame(spark, rows)).collect()}
+    assert moves[30] == 28.0 and moves[31] == 1.0 and moves[10] is None
+
+
 def test_empty_and_null_tables(spark):
     empty = frame(spark, [])
     odd = frame(spark, [(None,) * 13, bar(1, None, None), bar(1, None, None), bar(2, tf="?"), bar(3, feed=None)])
