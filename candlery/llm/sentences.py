@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,6 @@ REPORTING = re.compile(
 REPORTING_CASED = re.compile(
     r"^[^.!?…]{0,60}?\b(?:said|says|asked|asks|added|adds|wrote|writes|noted|notes|sagte|sagt|schreibt|fragte|fragt|demande|déclare|dit|précise|dijo|añadió|preguntó|пише|каже|сказав|сказала|питає|додав|додала)\b"
 )
-YEAR_OPENING = re.compile(r"[.!?…»)]\s+[УВ]\s+\d{4}\s*$")
 TERMINAL = ".!?…。！？।॥؟۔｡‼⁇⁈⁉"
 FULL = "。！？।॥｡"
 CLUSTER = re.compile(rf"[{TERMINAL}]+(?:[\u00a0\u202f\u2009][!?…]+)*")
@@ -58,6 +58,7 @@ CLOSERS = set(PAIRS.values()) | set("”’»")
 QUOTES = set("”’»«“\"」』›")
 OPENERS = "“„«»‹「『（([【《\"‘'¿¡"
 THAI = "ก-ฺเ-๎"
+THAI_LETTER = re.compile(rf"[{THAI}]")
 THAI_SPACE = re.compile(rf"(?<=[{THAI}])\s+(?=[{THAI}])")
 #: What stands between words without being one: symbols, emoji, tags, entities.
 NOISE = re.compile(r"(?:</?\w+>|<\|\w+\|>|&\w+;|[^\w\s\"“”„«»‘’'()\[\]{}$#@%—–,;:!?.…¿¡+-]+)\s+")
@@ -65,13 +66,18 @@ NOISE = re.compile(r"(?:</?\w+>|<\|\w+\|>|&\w+;|[^\w\s\"“”„«»‘’'()\[
 GLUED, GLUED_BEFORE = re.compile(r"[^\W\d_a-zа-яіїєґ][^\W\d_A-Z]*(?=[\s,])"), re.compile(r"(?:^|\s|[(“«])[^\W\d_]{3,}$|[\d%)]$")
 WIDE = re.compile(r"[　-〿぀-ヿ㐀-䶿一-鿿豈-﫿＀-￯가-힯]")
 CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ가-힯]")
-BLANK_LINE = re.compile(r"(?:\r\n|[\n\r\u2028\u2029])[^\S\n\r]*(?:\r\n|[\n\r\u2028\u2029])\s*")
+# a carriage return and the line feed after it are one break
+BLANK_LINE = re.compile(r"(?:\r\n|\r(?!\n)|[\n\u2028\u2029])[^\S\n\r]*(?:\r\n|\r(?!\n)|[\n\u2028\u2029])\s*")
 LINE = re.compile(r"(?:\r\n|[\n\r\u2028\u2029])")
 ITEM = re.compile(r"[^\S\n\r]*(?:([•*·▪‣◦●○–-])|(\d{1,3})[.)])[^\S\n\r]+")
-#: Scores: inside a quotation or bracket; before a lower-case word or after an abbreviation; ordinary and doubtful ends.
-INSIDE, NO, YES, LIKELY, PERHAPS = -20.0, -9.0, 6.0, 4.0, 2.0
-#: Spans under so many characters are scored down; longer ones all score alike.
-SHORT_SPAN, SHORT_PENALTY = 4, 3.0
+#: Scores of ends by their closing and the next opening word: no end; ordinary and doubtful ends.
+NO, YES, LIKELY, PERHAPS = -9.0, 6.0, 4.0, 2.0
+#: Cost of a span that holds only one end of a matched quotation or bracket.
+BROKEN = 12.0
+#: Characters of an ordinary sentence: in Chinese and Japanese, in Thai, elsewhere.
+TYPICAL_WIDE, TYPICAL_THAI, TYPICAL = 30, 50, 80
+#: Cost of a short span: it grows with the square of how far its logarithm lies under the ordinary one, beyond a free part.
+SHORT_FREE, SHORT_COST, SHORT_MOST = 1.0, 1.6, 3.5
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -214,8 +220,7 @@ def _end_score(text: str, a: int, b: int, m: re.Match, end: int, after: int, clo
         if word in "дп" and prior.endswith("т."):
             return PERHAPS
         if word == "р":
-            # "In the year ..." opens a sentence rather than being one
-            return NO if YEAR_OPENING.search(text[max(a, k - 14) : k] if k - 14 > a else f". {text[a:k]}") else PERHAPS
+            return PERHAPS
         return NO
     if "ऀ" <= word[-1:] <= "ॿ":
         return NO
@@ -223,7 +228,7 @@ def _end_score(text: str, a: int, b: int, m: re.Match, end: int, after: int, clo
         return NO if first.isdigit() else LIKELY
     if lower in ("sr", "jr"):
         prior = text[max(a, k - 30) : k].split()
-        return PERHAPS if len(prior) > 1 and prior[-1][-1].isalnum() and prior[-1][0].isupper() and prior[-2][0].isupper() else NO
+        return PERHAPS if len(prior) > 1 and prior[-1][-1].isalnum() and prior[-1][0].isupper() and prior[-2][0].isupper() and prior[-2][-1].isalnum() else NO
     if lower in NEVER:
         return NO
     if lower in MAYBE or re.fullmatch(r"(?:\w\.)+\w", word):
@@ -233,17 +238,16 @@ def _end_score(text: str, a: int, b: int, m: re.Match, end: int, after: int, clo
     return YES if first.isalpha() and not first.isdigit() else LIKELY
 
 
-def _candidates(text: str, a: int, b: int) -> tuple[list[int], list[int], list[float]]:
-    """Places where a sentence may end in a block, where the next word starts, and the score of each end."""
+def _candidates(text: str, a: int, b: int) -> tuple[list[int], list[int], list[float], list[int]]:
+    """Places where a sentence may end in a block, where the next word starts, the score of each end by the words around it,
+    and the outermost quotation or bracket that it lies in (-1: none)."""
     starts, ends, closing = _enclosed(text, a, b)
-    found: list[tuple[int, int, float]] = []
+    found: list[tuple[int, int, float, int]] = []
 
     def add(end: int, after: int, score: float) -> None:
-        i = bisect_left(starts, end) - 1
-        if i >= 0 and end <= ends[i]:
-            score = INSIDE
-        if score > -15:
-            found.append((end, after, score))
+        if score > NO:
+            i = bisect_left(starts, end) - 1
+            found.append((end, after, score, i if i >= 0 and end <= ends[i] else -1))
 
     for m in CLUSTER.finditer(text, a, b):
         end = m.end()
@@ -282,16 +286,30 @@ def _candidates(text: str, a: int, b: int) -> tuple[list[int], list[int], list[f
         for m in THAI_SPACE.finditer(text, a, b):
             add(m.start(), m.end(), YES)
         found.sort()
-    return [x[0] for x in found], [x[1] for x in found], [x[2] for x in found]
+    return [x[0] for x in found], [x[1] for x in found], [x[2] for x in found], [x[3] for x in found]
+
+
+def _typical(text: str, a: int, b: int) -> int:
+    if WIDE.search(text, a, b):
+        wide = len(CJK.findall(text, a, b))
+        return TYPICAL_WIDE if 4 * wide > b - a else TYPICAL
+    return TYPICAL_THAI if THAI_LETTER.search(text, a, b) else TYPICAL
+
+
+def _length_cost(n: int, typical: int) -> float:
+    under = log(typical / n) - SHORT_FREE
+    return min(SHORT_MOST, SHORT_COST * under * under) if under > 0 else 0.0
 
 
 def block_sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """The best division of one block into sentences.
 
-    A sentence is scored as a whole: its closing word and marks, the word that opens the next one, its quotations and
-    brackets (an end inside one is as good as forbidden) and its length. best[j] is the best score of a division whose last
-    sentence ends at candidate j; only sentences too short to be likely need the pair of both ends, all longer ones
-    score alike, so the running maximum of the earlier ends stands for them.
+    A sentence is scored as a whole: by the word and marks that close it and the word that opens the next one; by its
+    length, so that a doubtful end closes no span too short to be a sentence; and by its quotations and brackets, of which
+    it should hold both ends or none. A pair costs the same however many ends lie in it, so one sentence or two stay
+    together in a quotation, but a stray mark doesn't hold five together. best[j] is the best score of a division whose
+    last sentence ends at candidate j. Only short spans need the pair of both ends; of the earlier ends, running maxima
+    are kept apart by the quotation that they lie in.
     """
     while a < b and text[a].isspace():
         a += 1
@@ -299,22 +317,55 @@ def block_sentences(text: str, a: int, b: int) -> list[tuple[int, int]]:
         b -= 1
     if a == b:
         return []
-    ends, nexts, scores = _candidates(text, a, b)
+    ends, nexts, scores, held = _candidates(text, a, b)
     if not ends:
         return [(a, b)]
     begin, stop, gain = [a, *nexts], [*ends, b], [*scores, 0.0]
+    within = [-1, *held, -1]  # of the place where span i begins; that of the end j is within[j + 1]
+    typical = _typical(text, a, b)
+    free = int(typical / exp(SHORT_FREE)) + 1
     best, back = [], []
-    settled, settled_at, k = float("-inf"), -1, 0  # best division before the spans that count as short; 0: from the start
-    value = lambda i: 0.0 if i == 0 else best[i - 1]
+    low = float("-inf")
+    # best division up to the spans that count as short: outside quotations, and in the one that was open last
+    outer, outer_at, inner, inner_at, before, before_at, pair = low, -1, low, -1, low, -1, -1
+    k = 0
     for j, end in enumerate(stop):
-        while k <= j and end - begin[k] >= SHORT_SPAN:
-            if value(k) > settled:
-                settled, settled_at = value(k), k
+        while k <= j and end - begin[k] >= free:
+            v = best[k - 1] if k else 0.0
+            p = within[k]
+            if p != pair:
+                if pair >= 0 and inner - BROKEN > outer:
+                    outer, outer_at = inner - BROKEN, inner_at
+                if p >= 0:
+                    before, before_at, inner, inner_at = outer, outer_at, low, -1
+                pair = p
+            if p >= 0:
+                if v > inner:
+                    inner, inner_at = v, k
+            elif v > outer:
+                outer, outer_at = v, k
             k += 1
-        top, top_at = settled, settled_at
+        p = within[j + 1]
+        if p >= 0 and p == pair:
+            top, top_at = (inner, inner_at) if inner >= before - BROKEN else (before - BROKEN, before_at)
+        else:
+            top, top_at = outer, outer_at
+            if pair >= 0 and inner - BROKEN > top:
+                top, top_at = inner - BROKEN, inner_at
+            if p >= 0:
+                top -= BROKEN
         for i in range(k, j + 1):
-            if end > begin[i] and value(i) - SHORT_PENALTY > top:
-                top, top_at = value(i) - SHORT_PENALTY, i
+            n = end - begin[i]
+            if n <= 0:
+                continue
+            v = best[i - 1] if i else 0.0
+            if j < len(ends):  # a heading, an item or a text cut off may be as short as it likes
+                v -= _length_cost(n, typical)
+            q = within[i]
+            if q != p:
+                v -= BROKEN * ((q >= 0) + (p >= 0))
+            if v > top:
+                top, top_at = v, i
         best.append(top + gain[j])
         back.append(top_at)
     spans, j = [], len(stop) - 1

@@ -29,6 +29,30 @@ def test_boundaries(marked):
     assert [text[a:b] for a, b in sentences(text)] == [s.strip() for s in marked.split("|")]
 
 
+def test_spans_are_judged_as_a_whole():
+    """The same doubtful end closes a sentence or not, as the span before it is long enough to be one."""
+    cases = [
+        "У 2023 р. ТОВ «Пел» зросла.| Вона зросла порівняно з 2019 р.| ТОВ «Пел» зупинила вивід.",
+        "У 2023 \u200b р. біржа зросла.| У 2021 р. Ульвенко знизив комісію.",
+        "Según Sr. Nymippa, el precio sube.",
+    ]
+    for marked in cases:
+        text = marked.replace("|", "")
+        assert [text[a:b] for a, b in sentences(text)] == [x.strip() for x in marked.split("|")]
+
+
+def test_quotations_hold_a_few_sentences_but_stray_marks_hold_none():
+    text = "He said: “It works. It does! It will.” Then “ it rained. It poured all day. Nobody came here. They all left. It was late. The end came.” Done."
+    found = [text[a:b] for a, b in sentences(text)]
+    assert found[0] == "He said: “It works. It does! It will.”"
+    assert "It poured all day." in found and "They all left." in found
+
+
+def test_carriage_returns_wrap_lines():
+    text = "Key levels:\r\n1. first\r\n2. second\r\n\r\nA line that\r\ngoes on. Next one\r\nhere."
+    assert [text[a:b] for a, b in sentences(text)] == ["Key levels:", "first", "second", "A line that\r\ngoes on.", "Next one\r\nhere."]
+
+
 def test_blocks_and_items():
     text = "\tTitle here\n\nWrapped line\ngoes on. Next.\r\n \r\nKey levels:\n1. first, approx. 2.5\n2. second. Third\n• dot\n* star\n\nam\n17. Oktober ging es.\n"
     assert [text[a:b] for a, b in sentences(text)] == ["Title here", "Wrapped line\ngoes on.", "Next.", "Key levels:", "first, approx. 2.5", "second.", "Third", "dot", "star", "am\n17. Oktober ging es."]
