@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from math import exp, log
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ THAI_SPACE = re.compile(rf"(?<=[{THAI}])\s+(?=[{THAI}])")
 #: What stands between words without being one: symbols, emoji, tags, entities.
 NOISE = re.compile(r"(?:</?\w+>|<\|\w+\|>|&\w+;|[^\w\s\"“”„«»‘’'()\[\]{}$#@%—–,;:!?.…¿¡+-]+)\s+")
 #: A capitalised word right after the mark, where a space got lost; the word before it.
-GLUED, GLUED_BEFORE = re.compile(r"[^\W\d_a-zа-яіїєґ][^\W\d_A-Z]*(?=[\s,])"), re.compile(r"(?:^|\s|[(“«])[^\W\d_]{3,}$|[\d%)]$")
+GLUED, GLUED_BEFORE = re.compile(r"[^\W\d_a-zа-яіїєґ][^\W\d_A-Z]*(?=[\s,])"), re.compile(r"(?:^|\s|[(“«])[^\W\d_]{2,}$|[\d%)]$|\b[ap]\.m$")
 WIDE = re.compile(r"[　-〿぀-ヿ㐀-䶿一-鿿豈-﫿＀-￯가-힯]")
 CJK = re.compile(r"[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ가-힯]")
 # a carriage return and the line feed after it are one break
@@ -196,6 +197,7 @@ def _end_score(text: str, a: int, b: int, m: re.Match, end: int, after: int, clo
                 while stop and clause[-1] == "." and len(clause.split()[-1]) <= 4 and stop.end() < b:
                     stop = CLUSTER.search(text, stop.end(), min(b, after + 160))
                     clause = text[after : stop.end() if stop else min(b, after + 120)]
+                clause = normalize("NFC", clause)
                 if first.isupper():
                     if len(clause) <= 80 and c not in OPENERS and REPORTING_CASED.match(clause) and not REPORTING_CASED.match(clause.split(" ", 1)[0]):
                         return NO if ":" not in clause and "“" not in clause and '"' not in clause else YES
@@ -208,10 +210,10 @@ def _end_score(text: str, a: int, b: int, m: re.Match, end: int, after: int, clo
     while k > a and not text[k - 1].isspace() and text[k - 1] not in "(（[«“„\"‘—":
         k -= 1
     word = text[k : m.start()]
-    lower = word.lower()
+    lower = normalize("NFC", word).lower()
     if closers:
         return YES
-    next_word = re.match(r"\w+", text[look : look + 24])
+    next_word = re.match(r"\w+", normalize("NFC", text[look : look + 24]))
     following = next_word.group().lower() if next_word else ""
     if len(word) == 1 and word.isalpha():
         prior = text[max(a, k - 4) : k].rstrip()

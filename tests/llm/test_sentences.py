@@ -1,6 +1,7 @@
 """Problem 9: sentences of many scripts, given as texts with bars at the boundaries."""
 
 import time
+import unicodedata
 
 import pytest
 
@@ -48,6 +49,13 @@ def test_quotations_hold_a_few_sentences_but_stray_marks_hold_none():
     assert "It poured all day." in found and "They all left." in found
 
 
+def test_decomposed_letters_and_lost_spaces():
+    text = unicodedata.normalize("NFD", "Le 24 avril, la sté. Syluvia publie. Pese a todo, el núm. 14 sube.")
+    assert [text[a:b] for a, b in sentences(text)] == [unicodedata.normalize("NFD", x) for x in ("Le 24 avril, la sté. Syluvia publie.", "Pese a todo, el núm. 14 sube.")]
+    text = "Traders sold rigs at 5 p.m.In a note, Mr.Fenn is how they put it.On Thursday it fell."
+    assert [text[a:b] for a, b in sentences(text)] == ["Traders sold rigs at 5 p.m.", "In a note, Mr.Fenn is how they put it.", "On Thursday it fell."]
+
+
 def test_carriage_returns_wrap_lines():
     text = "Key levels:\r\n1. first\r\n2. second\r\n\r\nA line that\r\ngoes on. Next one\r\nhere."
     assert [text[a:b] for a, b in sentences(text)] == ["Key levels:", "first", "second", "A line that\r\ngoes on.", "Next one\r\nhere."]
