@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlery.functions.timeaxis import floor_div, micros, utc_text
+from candlery.session import ensure_checkpoint_dir
 
 # Spellings of the levels in two languages.
 LEVELS = {
@@ -189,12 +190,11 @@ def level_name(text: Column) -> Column:
     return found
 
 
-def attached_lines(logs: DataFrame) -> DataFrame:
-    """Every line of every stream once, with its fields if it begins an entry, and first_line, the line that its entry begins at.
+def parsed_lines(logs: DataFrame) -> DataFrame:
+    """Every line of every stream once: stream_id, line_no, block, head (line_no if it begins an entry) and its fields.
 
     Of repeated or resent lines the one stored first counts. Rows without stream or line number have no place in a file
-    and are left out; lines before the first header of a stream have a null first_line. Lines are ordered in blocks; only
-    the last header of each block is carried along a stream, so one stream may hold any share of all rows.
+    and are left out.
     """
     lines = logs.select("stream_id", "line_no", "log_level", "component", "message", "id", micros(logs, "stored_at").alias("stored_us")).where(
         "stream_id is not null and line_no is not null"
@@ -204,33 +204,43 @@ def attached_lines(logs: DataFrame) -> DataFrame:
     whole = F.col("stream_id").startswith("event_")
     # rows written whole need no parser
     parsed = lines.withColumn("p", _parsed(F.when(~whole, F.col("message")), F.col("stored_us")))
-    lines = parsed.select(
+    return parsed.select(
         "stream_id",
         "line_no",
-        F.when(whole, F.lit(True)).otherwise(F.col("p.header")).alias("header"),
-        F.when(whole, F.col("stored_us")).otherwise(F.col("p.at_us")).alias("at_us"),
-        F.when(whole, level_name(F.col("log_level"))).otherwise(F.col("p.level")).alias("level"),
-        F.when(whole, F.trim("component")).otherwise(F.col("p.component")).alias("part"),
-        F.when(whole, F.col("message")).otherwise(F.col("p.text")).alias("text"),
         floor_div(F.col("line_no"), BLOCK_LINES).alias("block"),
-    ).withColumn("head", F.when(F.col("header"), F.col("line_no")))
-    heads = lines.groupBy("stream_id", "block").agg(F.max("head").alias("head"))
-    ahead = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("stream_id", "block", F.last("head", ignorenulls=True).over(ahead).alias("carried"))
-    inside = Window.partitionBy("stream_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return lines.join(heads, ["stream_id", "block"]).withColumn("first_line", F.coalesce(F.last("head", ignorenulls=True).over(inside), F.col("carried")))
+        F.when(whole | F.col("p.header"), F.col("line_no")).alias("head"),
+        F.when(whole, F.col("stored_us")).otherwise(F.col("p.at_us")).alias("at_us"),
+        F.when(whole, level_name(F.col("log_level"))).otherwise(F.col("p.level")).alias("log_level"),
+        F.when(whole, F.trim("component")).otherwise(F.col("p.component")).alias("component"),
+        F.coalesce(F.when(whole, F.col("message")).otherwise(F.col("p.text")), F.lit("")).alias("text"),
+    )
 
 
 def log_entries(logs: DataFrame, with_message: bool = True) -> DataFrame:
     """stream_id, line_no, n_lines, logged_at, log_level, component and, if asked for, message: one row per entry.
 
     The message is the text after the header and all further lines, joined by line feeds. Lines before the first header
-    of a stream belong to no entry and are left out. Lines are counted before the shuffle, whatever an entry's length.
+    of a stream belong to no entry and are left out. Lines are parsed once, ordered in blocks of a stream and joined to
+    the last header of their block; what stands before the first header of a block is one row, which goes to the last
+    header of an earlier block. So one stream may hold any share of all rows. Blocks are cut off by a checkpoint in the
+    shared folder.
     """
-    lines = attached_lines(logs).where("first_line is not null")
-    message = [F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("message")]
-    entries = lines.groupBy("stream_id", "first_line").agg(
-        F.count("*").alias("n_lines"), F.max("at_us").alias("at_us"), F.max("level").alias("log_level"), F.max("part").alias("component"), *message * with_message
+    ensure_checkpoint_dir(logs.sparkSession)
+    inside = Window.partitionBy("stream_id", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    lines = parsed_lines(logs).withColumn("first_line", F.last("head", ignorenulls=True).over(inside))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("message")
+    # grouped where the blocks lie
+    parts = lines.groupBy("stream_id", "block", "first_line").agg(
+        F.count("*").alias("n_lines"), F.max("at_us").alias("at_us"), F.max("log_level").alias("log_level"), F.max("component").alias("component"), *[texts] * with_message
+    )
+    parts = parts.checkpoint()
+    ahead = Window.partitionBy("stream_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.groupBy("stream_id", "block").agg(F.max("first_line").alias("head")).select("stream_id", "block", F.last("head", ignorenulls=True).over(ahead).alias("carried"))
+    orphans = parts.where("first_line is null").drop("first_line").join(carried, ["stream_id", "block"]).withColumnRenamed("carried", "first_line")
+    whole = parts.where("first_line is not null").unionByName(orphans.where("first_line is not null"))
+    message = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "message"))), lambda x: x["message"]), "\n").alias("message") if with_message else None
+    entries = whole.groupBy("stream_id", "first_line").agg(
+        F.sum("n_lines").alias("n_lines"), F.max("at_us").alias("at_us"), F.max("log_level").alias("log_level"), F.max("component").alias("component"), *[message] * with_message
     )
     return entries.select(
         "stream_id", F.col("first_line").alias("line_no"), "n_lines", utc_text(F.col("at_us")).alias("logged_at"), "log_level", "component", *["message"] * with_message
