@@ -12,25 +12,31 @@ from pyspark.sql import functions as F
 from candlery.llm.encode import VOCABULARY, token_counts
 
 CAPACITY = 2_048
-#: Pieces that one group packs at a time; the number of groups follows from the number of documents.
-GROUP_ITEMS = 50_000
+#: Containers' worth of tokens that one group packs at a time; the number of groups follows from the tokens.
+GROUP_CONTAINERS = 64
 #: Groups that exchange what lies in their containers with space left become one group in the next round.
 MERGED = 32
-#: Containers that a group gives away in any case, and again for each one that it uses beyond its bound.
+#: Containers that a group gives away for each one that it uses beyond its bound.
 GIVEN = 8
-ITEM = "doc_id long, piece int, token_start long, n_tokens long"
+#: Containers that a certified group gives: its remainder and the next emptiest ones, which take documents of other groups.
+SPARED = 2
+ITEM = "doc_id long, known boolean, piece int, token_start long, n_tokens long"
 PLACED = f"{ITEM}, grp long, bin long, free long, kept boolean, bound long, bins long"
 
 
 def lower_bound(sizes: np.ndarray, capacity: int = CAPACITY) -> int:
-    """Containers that any packing needs, by two families of dual feasible functions (1 to capacity each).
+    """Containers that any packing of these sizes needs (1 to capacity each)."""
+    return counted_bound(np.bincount(sizes, minlength=capacity + 1).astype(np.int64), capacity)
+
+
+def counted_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The same of so many items of each size, by two families of dual feasible functions.
 
     The first counts sizes above capacity - e as whole containers and drops those under e, for every e; the second
     rounds sizes up to multiples of capacity / k.
     """
-    if not len(sizes):
+    if not counts.any():
         return 0
-    counts = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
     weight = counts * np.arange(capacity + 1)
     many, heavy = np.cumsum(counts), np.cumsum(weight)
     best = -(-int(heavy[-1]) // capacity)
@@ -80,9 +86,10 @@ def _pack(last: bool, capacity: int):
         placed, left = best_fit(sizes, capacity)
         bound = lower_bound(sizes, capacity)
         items["grp"], items["bin"], items["free"] = key[0], placed, left[placed]
-        # the emptiest containers give their documents to the next round: more of them the farther the group is from
-        # its bound, and a few even if it is certified, since they may still fill with other groups' documents
-        give = 0 if last else min(int((left > capacity // 64).sum()), GIVEN * (1 + len(left) - bound))
+        # a group gives what lies in its emptiest containers to the next round: of a certified group only those around
+        # its remainder, of others more, the farther they are from their bound
+        gap = len(left) - bound
+        give = 0 if last else min(int((left > capacity // 64).sum()), max(SPARED, GIVEN * gap))
         given = np.zeros(len(left), bool)
         given[np.argsort(-left, kind="stable")[:give]] = True
         items["kept"] = ~given[placed]
@@ -95,44 +102,52 @@ def _pack(last: bool, capacity: int):
 def pack_items(items: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """Items of up to ``capacity`` tokens into containers: the items' columns, round, grp, bin, free, bound and bins.
 
-    Each group is packed by best fit decreasing and its number of containers certified against its lower bound. What lies
-    in the emptiest containers is exchanged: groups merge, a fixed number at a time, and those documents are packed
-    again, until one group is left. A group hands on a few containers, more only in proportion to its gap, so later
-    groups stay small. Each round is cut off by a checkpoint in the shared folder.
+    Each group is packed by best fit decreasing and its number of containers certified against its lower bound. Groups
+    with gaps exchange: what lies in their emptiest containers is packed again together with that of other groups, a
+    fixed number of which merge, until nothing is given away. Each round is cut off by a checkpoint in the shared folder.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups))
+    salt = F.pmod(F.xxhash64("doc_id", "known", "piece"), F.lit(groups))
+    columns = [c.split()[0] for c in ITEM.split(", ")]
     todo, level, done = items.withColumn("g", salt), 0, None
     while True:
         last = groups == 1
         packed = todo.groupBy("g").applyInPandas(_pack(last, capacity), PLACED).checkpoint()
         kept = packed.where("kept").withColumn("round", F.lit(level))
         done = kept if done is None else done.unionByName(kept)
-        if last:
+        if last or packed.where("not kept").isEmpty():
             return done.drop("kept")
         groups, level = -(-groups // MERGED), level + 1
-        todo = packed.where("not kept").select("doc_id", "piece", "token_start", "n_tokens", F.floor(F.col("grp") / F.lit(MERGED**level)).alias("g"))
-        todo = todo.withColumn("g", F.pmod("g", F.lit(groups)))
+        todo = packed.where("not kept").select(*columns, F.pmod(F.floor(F.col("grp") / F.lit(MERGED)), F.lit(groups)).alias("g"))
 
 
 def pack_documents(documents: DataFrame, path: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, token_start, n_tokens, container, free, bound, bins: every document, assigned.
+    """doc_id, piece, token_start, n_tokens, container, free, bound, bins, least, containers: every document, assigned.
 
     A document longer than a container is split into full containers and a rest; every other one stays whole. Documents
     without tokens (null, empty) take no space and have a null container. free is the space left in the container;
     bound and bins are the certificate of the group that packed it: the containers any packing of the group's documents
-    needs, and those it used. A repeated doc_id is told apart by nothing but its piece and packed as often as it is.
+    needs, and those it used; least and containers are the same of all documents together. A null doc_id is kept; a
+    repeated one is told apart by nothing but its piece and packed as often as it is.
     """
-    groups = max(1, -(-documents.count() // GROUP_ITEMS))
-    sizes = token_counts(documents, path).where("doc_id is not null")
+    sizes = token_counts(documents, path)
     starts = F.when(F.col("n_tokens") > 0, F.sequence(F.lit(0).cast("long"), F.col("n_tokens") - 1, F.lit(capacity).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
-    pieces = sizes.select("doc_id", F.posexplode(starts).alias("piece", "token_start"), F.col("n_tokens").alias("whole"))
-    pieces = pieces.select("doc_id", "piece", "token_start", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("token_start")).alias("n_tokens"))
+    known = F.col("doc_id").isNotNull()
+    pieces = sizes.select(F.coalesce("doc_id", F.lit(0).cast("long")).alias("doc_id"), known.alias("known"), F.posexplode(starts).alias("piece", "token_start"), F.col("n_tokens").alias("whole"))
+    pieces = pieces.select("doc_id", "known", "piece", "token_start", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("token_start")).alias("n_tokens"))
     pieces = pieces.checkpoint()
-    packed = pack_items(pieces.where("n_tokens > 0"), groups, capacity)
+    filled = pieces.where("n_tokens > 0")
+    # at most a row for each size: the bound of all documents together
+    counts = np.zeros(capacity + 1, np.int64)
+    for size, n in filled.groupBy("n_tokens").agg(F.count("*")).collect():
+        counts[size] = n
+    groups = max(1, -(-int((counts * np.arange(capacity + 1)).sum()) // (GROUP_CONTAINERS * capacity)))
+    packed = pack_items(filled, groups, capacity)
+    used = packed.select(F.count_distinct("round", "grp", "bin")).first()[0]
     container = F.concat_ws("-", F.col("round"), F.col("grp"), F.col("bin"))
-    columns = ["doc_id", "piece", "token_start", "n_tokens"]
-    empty = pieces.where("n_tokens = 0").select(*columns, *[F.lit(None).cast(t).alias(n) for n, t in (("container", "string"), ("free", "long"), ("bound", "long"), ("bins", "long"))])
-    return packed.select(*columns, container.alias("container"), "free", "bound", "bins").unionByName(empty)
+    columns = [F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "piece", "token_start", "n_tokens"]
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("container", "string"), ("free", "long"), ("bound", "long"), ("bins", "long"))]
+    both = packed.select(*columns, container.alias("container"), "free", "bound", "bins").unionByName(pieces.where("n_tokens = 0").select(*columns, *none))
+    return both.withColumns({"least": F.lit(counted_bound(counts, capacity)).cast("long"), "containers": F.lit(used).cast("long")})
 
 
 def packing_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -44,14 +44,14 @@ def exact(sizes, capacity):
 
 def test_many_groups(spark):
     rng = np.random.default_rng(2)
-    rows = [(int(i), 0, 0, int(s)) for i, s in enumerate(rng.integers(1, 2049, 4000))]
-    items = spark.createDataFrame(rows, "doc_id long, piece int, token_start long, n_tokens long")
+    rows = [(int(i), True, 0, 0, int(s)) for i, s in enumerate(rng.integers(1, 2049, 4000))]
+    items = spark.createDataFrame(rows, packing.ITEM)
     for groups, slack in ((4, 1.02), (40, 1.04)):  # sizes up to a whole container are the hardest to pack in small groups
         out = packing.pack_items(items, groups).toPandas()
         assert sorted(out.doc_id) == list(range(4000))
         used = out.groupby(["round", "grp", "bin"]).n_tokens.sum()
         assert used.max() <= 2048
-        assert len(used) <= slack * packing.lower_bound(np.array([r[3] for r in rows]))
+        assert len(used) <= slack * packing.lower_bound(np.array([r[4] for r in rows]))
 
 
 def test_documents(spark):
@@ -62,4 +62,18 @@ def test_documents(spark):
     assert long.n_tokens.tolist()[:2] == [2048, 2048] and long.token_start.tolist() == [0, 2048, 4096]
     assert out[out.doc_id.isin([2, 3])].container.isna().all() and len(out) == 7
     assert out.groupby("container").n_tokens.sum().max() <= 2048
+    assert set(out.containers) == {out.container.nunique()} and (out.least <= out.containers).all()
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_groups_exchange_at_any_scale_and_ids_may_be_null(spark, monkeypatch):
+    pytest.importorskip("tiktoken")
+    monkeypatch.setattr(packing, "GROUP_CONTAINERS", 2)
+    rng = np.random.default_rng(5)
+    rows = [(None if i % 10 == 0 else i + 2**60, "word " * int(n)) for i, n in enumerate(rng.integers(1, 1500, 80))]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert len(out) == 80 and out.doc_id.isna().sum() == 8
+    assert out.groupby("container").n_tokens.sum().max() <= 2048
+    rounds = {c.split("-")[0] for c in out.container}
+    assert len({c.split("-")[1] for c in out.container if c[0] == "0"}) > 4 and len(rounds) > 1
+    assert out.container.nunique() <= out.least.iloc[0] + 2
