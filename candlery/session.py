@@ -26,9 +26,11 @@ def build_session(app: str = "candlery", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; fall back to a local one only where none is set."""
+    """Use the checkpoint folder the cluster names; a local one only where all runs in this process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "candlery-checkpoints"))
