@@ -74,12 +74,18 @@ class Features:
     keys: tuple[str, ...] = ("symbol", "open_time")
     hidden: set[str] = field(default_factory=set)
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    def apply(self, df: DataFrame, by: tuple[str, ...] = ("symbol",), keep: tuple[str, ...] = ()) -> DataFrame:
+        """The plan over series told apart by the columns ``by``; columns of the input named in ``keep`` come along."""
+        df = self.stacked(df, by)
+        return df.selectExpr(*by, *[k for k in self.keys if k != "symbol"], *keep, *self._outputs("try_cast"))
+
+    def stacked(self, df: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+        """The input with the columns of all stages, hidden ones too."""
+        series = f"partition by {', '.join(by)}"
         for stage in self.stages:
-            df = df.selectExpr("*", *[f"{spark_text(x if isinstance(x, str) else x[0])} as {name}" for name, x in stage.items()])
-        if self.where:
-            df = df.where(spark_text(self.where))
-        return df.selectExpr(*self.keys, *self._outputs("try_cast"))
+            texts = {name: spark_text(x if isinstance(x, str) else x[0]) for name, x in stage.items()}
+            df = df.selectExpr("*", *[f"{x.replace('partition by symbol', series)} as {name}" for name, x in texts.items()])
+        return df.where(spark_text(self.where)) if self.where else df
 
     def sql(self, base: str) -> str:
         parts, last = [f"s0 as ({base})"], "s0"

@@ -150,7 +150,7 @@ def microstructure() -> Features:
 
 
 def sma() -> Features:
-    return Features([{f"sma_{n}": roll("avg", "close", n) for n in (5, 9, 10, 20, 50)}])
+    return Features([{f"sma_{n}": roll("avg", "close", n) for n in (5, 9, 10, 20, 50, 200)}])
 
 
 def rsi_simple(n: int = 14) -> Features:
@@ -215,18 +215,18 @@ def custom() -> Features:
         full = f"count(close) over {around(n)} >= {n}"
         one |= {f"local_max_{n}": _bool(f"{full} and close = max(close) over {around(n)}"), f"local_min_{n}": _bool(f"{full} and close = min(close) over {around(n)}")}
     five = f"({W} rows between 2 preceding and 2 following)"
-    inner = f"count(high) over {five} >= 5"
+    inner = f"count(close) over {five} >= 5"
     one |= {
-        "fractal_high": _bool(f"{inner} and high = max(high) over {five} and high <> {lag('high', 2)} and high <> {lead('high', 2)}"),
-        "fractal_low": _bool(f"{inner} and low = min(low) over {five} and low <> {lag('low', 2)} and low <> {lead('low', 2)}"),
+        "fractal_high": _bool(f"{inner} and close = max(close) over {five} and close <> {lag('close', 2)} and close <> {lead('close', 2)}"),
+        "fractal_low": _bool(f"{inner} and close = min(close) over {five} and close <> {lag('close', 2)} and close <> {lead('close', 2)}"),
     }
     whole = set(one)
     for n in (55, 89):
-        top, bottom = f"max(high) over {frame(n)}", f"min(low) over {frame(n)}"
+        top, bottom = f"max(close) over {frame(n)}", f"min(close) over {frame(n)}"
         for level in (0.236, 0.382, 0.5, 0.618, 0.786):
-            at = f"({top} - {level} * ({top} - {bottom}))"
+            at = f"({bottom} + {level} * ({top} - {bottom}))"
             name = f"near_fib_{str(level).replace('.', '_')}_{n}"
-            one[name] = _bool(f"count(close) over {frame(n)} >= {n} and abs(close - {at}) <= 0.005 * close")
+            one[name] = _bool(f"count(close) over {frame(n)} >= {n} and abs(close - {at}) < 0.005 * close")
             whole.add(name)
     one |= {"daily_range_ratio": f"abs({ratio(f'close - {lag("close", 24)}', lag('close', 24))})", "sign_move": f"sign(close - {lag('close')})", "volume_price_ratio": ratio("volume", "close")}
     one["cycle_position_90"] = f"({_arg('max', 'close', 90)}) / 89.0"
@@ -236,24 +236,27 @@ def custom() -> Features:
     return Features([one, two], whole=whole, hidden={"sign_move"})
 
 
-def candle_patterns() -> Features:
-    """Single and multi-bar candle patterns as 0/1 columns."""
-    one = {"body": "abs(close - open)", "rng": "high - low", "upper": "high - greatest(open, close)", "lower": "least(open, close) - low", "dir": "sign(close - open)"}
-    two = {f"{c}_{k}": lag(c, k) for c in ("open", "close", "high", "low", "body", "dir") for k in (1, 2)} | {"rel_body": ratio("body", "rng"), "body_ma": roll("avg", "body", 20, 1)}
-    two |= {"prior_high": f"max(high) over {frame(5, 1)}", "prior_low": f"min(low) over {frame(5, 1)}"}
+def candle_patterns(tolerance: float = 0.001) -> Features:
+    """Body, shadows and candle patterns of one, two and three bars as 0/1 columns; a pattern whose bars aren't all there is 0."""
+    one = {"body": "abs(close - open)", "rng": "high - low", "upper_shadow": "high - greatest(open, close)", "lower_shadow": "least(open, close) - low", "direction": "sign(close - open)"}
+    two = {"rel_body": ratio("body", "rng"), "body_ma": roll("avg", "body", 20), "rng_ma": roll("avg", "rng", 20), "low5": roll("min", "low", 5), "high5": roll("max", "high", 5)}
+    three = {f"{c}_1": lag(c) for c in ("open", "close", "high", "low", "body", "direction", "rel_body", "low5", "high5")} | {f"{c}_2": lag(c, 2) for c in ("open", "close", "direction")} | {"rel_candle": ratio("rng", "rng_ma")}
+    same = lambda a, b, c: f"abs({a} - {b}) < {tolerance} * {c}"
     flags = {
-        "doji": "rel_body < 0.1", "hammer": "lower > 2 * body and upper < body and body > 0", "inverted_hammer": "upper > 2 * body and lower < body and body > 0",
-        "long_candle": "body > 1.5 * body_ma", "marubozu": "rel_body > 0.95", "high_wave": "rel_body < 0.3 and upper > body and lower > body",
-        "bullish_engulfing": "dir_1 = -1 and dir = 1 and open <= close_1 and close >= open_1", "bearish_engulfing": "dir_1 = 1 and dir = -1 and open >= close_1 and close <= open_1",
-        "morning_star": "dir_2 = -1 and body_1 < 0.3 * body_2 and dir = 1 and close > (open_2 + close_2) / 2",
-        "evening_star": "dir_2 = 1 and body_1 < 0.3 * body_2 and dir = -1 and close < (open_2 + close_2) / 2",
-        "three_soldiers": "dir = 1 and dir_1 = 1 and dir_2 = 1 and close > close_1 and close_1 > close_2",
-        "three_crows": "dir = -1 and dir_1 = -1 and dir_2 = -1 and close < close_1 and close_1 < close_2",
-        "doji_star": "rel_body < 0.1 and body_1 > body_ma", "top_pinbar": "upper > 2 * body and abs(high - prior_high) <= 0.001 * high", "bottom_pinbar": "lower > 2 * body and abs(low - prior_low) <= 0.001 * low",
-        "bullish_harami": "dir_1 = -1 and dir = 1 and open > close_1 and close < open_1", "bearish_harami": "dir_1 = 1 and dir = -1 and open < close_1 and close > open_1",
-        "ascending_triangle": "abs(high - prior_high) <= 0.005 * high and low > prior_low", "descending_triangle": "abs(low - prior_low) <= 0.005 * low and high < prior_high",
+        "doji": "rel_body < 0.1", "hammer": "rel_body < 0.3 and lower_shadow > 2 * body and upper_shadow < 0.2 * lower_shadow",
+        "inverted_hammer": "rel_body < 0.3 and upper_shadow > 2 * body and lower_shadow < 0.2 * upper_shadow", "long_candle": "body > 1.5 * body_ma",
+        "marubozu": "upper_shadow < 0.05 * rng and lower_shadow < 0.05 * rng and rel_body > 0.9", "high_wave": "rel_body < 0.3 and (upper_shadow > 3 * body or lower_shadow > 3 * body)",
+        "firefly": "rel_body < 0.25 and upper_shadow < 0.1 * rng and lower_shadow > 2.5 * body",
+        "bullish_engulfing": "direction_1 = -1 and direction = 1 and open < close_1 and close > open_1", "bearish_engulfing": "direction_1 = 1 and direction = -1 and open > close_1 and close < open_1",
+        "morning_star": "direction_2 = -1 and rel_body_1 < 0.3 and direction = 1 and close > (open_2 + close_2) / 2", "evening_star": "direction_2 = 1 and rel_body_1 < 0.3 and direction = -1 and close < (open_2 + close_2) / 2",
+        "three_white_soldiers": "direction_2 = 1 and direction_1 = 1 and direction = 1 and close_1 > close_2 and close > close_1",
+        "three_black_crows": "direction_2 = -1 and direction_1 = -1 and direction = -1 and close_1 < close_2 and close < close_1",
+        "doji_star": "rel_body < 0.1 and low_1 is not null and coalesce(rel_body_1, 1) >= 0.1", "top_pinbar": f"{same('high', 'high_1', 'high')} and direction_1 <> direction", "bottom_pinbar": f"{same('low', 'low_1', 'low')} and direction_1 <> direction",
+        "bullish_harami": "direction_1 = -1 and direction = 1 and open > close_1 and close < open_1 and body < 0.6 * body_1", "bearish_harami": "direction_1 = 1 and direction = -1 and open < close_1 and close > open_1 and body < 0.6 * body_1",
+        "ascending_triangle": f"low > low5_1 and {same('high', 'high5_1', 'high')}", "descending_triangle": f"high < high5_1 and {same('low', 'low5_1', 'low')}",
     }
-    return Features([one, two, {k: _bool(v) for k, v in flags.items()}], whole=set(flags), hidden={*one, *two} - {"rel_body"})
+    hidden = {"body_ma", "rng_ma", "low5", "high5", *three} - {"rel_candle"}
+    return Features([one, two, three, {k: _bool(v) for k, v in flags.items()}], whole={*flags, "direction"}, hidden=hidden)
 
 
 def volatility(windows: tuple[int, ...] = (14, 30), year: int = 365) -> Features:
@@ -306,15 +309,22 @@ def swings(k: int = 5) -> Features:
 
 
 def market_phase(n: int = 30) -> Features:
-    """accumulation 1, uptrend 2, distribution 3, downtrend 4 (the later rule wins), carried forward."""
-    one = {"ma": roll("avg", "close", n), "vol": roll("stddev_samp", "close", n), "top": f"max(close) over {frame(n)}", "bottom": f"min(close) over {frame(n)}"}
-    two = {"slope": f"ma - {lag('ma', 5)}", "place": ratio("close - bottom", "top - bottom"), "cv": ratio("vol", "ma")}
-    rules = "case when slope < 0 and close < ma and place < 0.3 then 4 when slope <= 0 and place > 0.7 then 3 when slope > 0 and close > ma then 2 when slope >= 0 and place < 0.3 then 1 end"
-    return Features([one, two, {"rule": rules}, {"phase": f"last_value(rule) ignore nulls over {WC}"}], whole={"phase"}, hidden={*one, "slope", "rule"})
-
-
-def bull_bear(move: float = 0.2) -> Features:
-    """Two-state automaton: a rise of ``move`` off the lowest close so far sets bull, a fall off the highest bear; both
+    """accumulation 1, uptrend 2, distribution 3, downtrend 4, 0 none of them; of several that hold the later rule wins.
+
+    Short and long mean, momentum, volume against its mean, volatility against its own mean, and plain relative strength
+    with a first move of nothing.
+    """
+    one = {"fast": roll("avg", "close", n // 3), "slow": roll("avg", "close", n), "volume_mean": roll("avg", "volume", n // 2), "cv": ratio(roll("stddev_samp", "close", n // 2), "close"),
+           "momentum": ratio(f"close - {lag('close', n // 4)}", lag("close", n // 4)), "gain": f"greatest(coalesce(close - {lag('close')}, 0), 0)", "loss": f"greatest(coalesce({lag('close')} - close, 0), 0)"}
+    two = {"up": roll("avg", "gain", 14), "down": roll("avg", "loss", 14), "cv_mean": roll("avg", "cv", 2 * n)}
+    three = {"rsi": "100 - 100 / (1 + up / case when down = 0 then 0.00001 else down end)"}
+    calm = "momentum > -0.05 and momentum < 0.05 and cv < cv_mean"
+    rules = f"case when fast < slow and momentum < 0 then 4 when fast > slow and {calm} and rsi > 50 then 3 when fast > slow and momentum > 0 and volume > volume_mean then 2 when fast < slow and {calm} and rsi < 50 then 1 else 0 end"
+    return Features([one, two, three, {"phase": rules}], whole={"phase"}, hidden={*one, *two, "rsi"})
+
+
+def bull_bear(move: float = 0.2, least_days: int = 20) -> Features:
+    """kept is 1 in cycles that last ``least_days`` from their first bar to their last one. Two-state automaton: a rise of ``move`` off the lowest close so far sets bull, a fall off the highest bear; both
     toggle. The state is the last bar that set it, turned round by the toggles since."""
     one = {"rise": ratio(f"close - min(close) over {WC}", f"(min(close) over {WC})"), "fall": ratio(f"close - max(close) over {WC}", f"(max(close) over {WC})"), "rn": ROWNO}
     two = {"bull": _bool(f"rise >= {move}"), "bear": _bool(f"fall <= -{move}")}
@@ -326,7 +336,8 @@ def bull_bear(move: float = 0.2) -> Features:
     eight = {"is_bull": "case when started = 1 then case when cast(flips - flips_at as bigint) % 2 = 0 then base else 1 - base end end"}
     nine = f"case when is_bull is not null and coalesce({lag('is_bull')}, -1) <> is_bull then 1 else 0 end"
     hidden = {*two, *three, *four, *five, *six, *seven, "rn"}
-    return Features([one, two, three, four, five, six, seven, eight, {"cycle_start": nine}, {"cycle_no": f"sum(cycle_start) over {WC}"}], whole={"is_bull", "cycle_start", "cycle_no"}, hidden=hidden)
+    cycle = "(partition by symbol, cycle_no)"
+    return Features([one, two, three, four, five, six, seven, eight, {"cycle_start": nine}, {"cycle_no": f"sum(cycle_start) over {WC}"}, {"kept": _bool(f"is_bull is not null and days_between(min(open_time) over {cycle}, max(open_time) over {cycle}) >= {least_days}")}], whole={"is_bull", "cycle_start", "cycle_no", "kept"}, hidden=hidden)
 
 
 def stationary(season: int = 6) -> Features:
@@ -342,17 +353,22 @@ def robust_outliers(limit: float = 5.0) -> Features:
     three = {f"mad_{c}": f"percentile(dev_{c}, 0.5) over {WP}" for c in ("close", "volume")}
     four = {f"z_{c}": ratio(f"dev_{c}", f"1.4826 * mad_{c}") for c in ("close", "volume")}
     five = {f"anomaly_z_{c}": _bool(f"z_{c} > {limit}") for c in ("close", "volume")}
-    five |= {f"anomaly_iqr_{c}": _bool(f"{c} > {c}_p90 + 1.5 * ({c}_p90 - {c}_p10) or {c} < {c}_p10 - 1.5 * ({c}_p90 - {c}_p10)") for c in ("close", "volume")}
+    # a range of nothing is replaced by eight of the least deviations from the median, around the median
+    near = {c: f"abs({c}_p90 - {c}_p10) <= 1e-8 + 1e-5 * abs({c}_p90)" for c in ("close", "volume")}
+    for c in ("close", "volume"):
+        reach = f"{limit} * 8 * (min(case when dev_{c} > 0 then dev_{c} end) over {WP})"
+        five[f"anomaly_iqr_{c}"] = _bool(f"case when {near[c]} then dev_{c} > {reach} else {c} > {c}_p90 + {limit} * ({c}_p90 - {c}_p10) or {c} < {c}_p10 - {limit} * ({c}_p90 - {c}_p10) end")
     six = {"is_anomaly": _bool(" or ".join(f"{k} = 1" for k in five))}
     return Features([one, two, three, four, five, six], whole={*five, "is_anomaly"}, hidden={*one, *two, *three})
 
 
 def domain_rules(step: int = 14_400) -> Features:
-    one = {"pct": RET, "amplitude": ratio("high - low", "low"), "gap_s": f"seconds_between({lag('open_time')}, open_time)", "med24": f"percentile(nullif(volume, 0), 0.5) over {frame(24)}"}
+    one = {"pct": RET, "amplitude": "case when high + low > 0 then (high - low) / (0.5 * (high + low)) end", "gap_s": f"seconds_between({lag('open_time')}, open_time)", "med24": f"percentile(nullif(volume, 0), 0.5) over {frame(24)}"}
     two = {"amp95": f"percentile(amplitude, 0.95) over {WP}"}
     flags = {
         "anomaly_jump": "abs(pct) > 0.15", "anomaly_price": "close <= 0 or open <= 0 or high <= 0 or low <= 0", "anomaly_ohlc": "high < low or close > high or close < low or open > high or open < low",
-        "anomaly_zero_volume": "volume = 0", "anomaly_negative_volume": "volume < 0", "anomaly_volume": "volume > 20 * med24", "anomaly_flash": "amplitude > 3 * amp95", "anomaly_gap": f"gap_s > {3 * step}",
+        "anomaly_zero_volume": "volume = 0", "anomaly_negative_volume": "volume < 0", "anomaly_volume": "volume > 20 * med24", "anomaly_flash": "amplitude > 3 * amp95",
+        "anomaly_reversal": f"amplitude > 2 * amp95 and ({ratio('high - close', 'high')} < 0.01 or {ratio('close - low', 'close')} < 0.01)", "anomaly_gap": f"gap_s > {3 * step}",
     }
     return Features([one, two, {k: _bool(v) for k, v in flags.items()}], whole=set(flags), hidden={"amplitude", "gap_s", "med24", "amp95"})
 

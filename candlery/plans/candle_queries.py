@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from candlery.operators.features import CATALOG
 from candlery.sources.candles import EVENTS, ORDERS, candles, candles_sql
+from candlery.plans.twins import TWINS, twin
 from candlery.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +35,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {name: plan.sql(FOUR_HOURS_SQL) for name, plan in CATALOG.items()}
-    found |= {f"{name}_daily": CATALOG[name].sql(DAILY_SQL) for name in DAILY}
+    own = lambda name, bars: twin(name, bars) if name in TWINS else CATALOG[name].sql(bars)
+    found = {name: own(name, FOUR_HOURS_SQL) for name in CATALOG} | {f"{name}_daily": own(name, DAILY_SQL) for name in DAILY}
     return found | {"s01_candles": FOUR_HOURS_SQL, "s02_daily_bars": DAILY_SQL}

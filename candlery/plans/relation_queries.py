@@ -90,12 +90,12 @@ J01_SQL = f"""with b as ({FOUR_HOURS_SQL}), s as (select symbol, min(open_time)
 
 
 def j02_wide_panel(spark: SparkSession, folder: str) -> DataFrame:
-    """Closes of all symbols side by side: an outer join on time as one pivot. The symbols are read first; the SQL twin has three of them."""
+    """Closes of all symbols side by side: an outer join on time as one pivot. The symbols are read first."""
     wide = four_hours(spark, folder).groupBy("open_time").pivot("symbol").agg(F.round(F.max("close"), 4))
     return wide.toDF("open_time", *[f"close_{n}" for n in wide.columns[1:]])
 
 
-J02_SQL = f"""with b as ({FOUR_HOURS_SQL}) select open_time, {", ".join(f"round(max(case when symbol = '{n}' then close end), 4) as close_{n}" for n in ("click", "error", "view"))} from b group by 1"""
+J02_SQL = f"""with b as ({FOUR_HOURS_SQL}) from (pivot (select open_time, 'close_' || symbol as name, close from b) on name using round(max(close), 4) group by open_time)"""
 
 
 def j07_next_day_pairs(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,8 +266,8 @@ X10_SQL = f"""with b as ({FOUR_HOURS_SQL}), r as ({RET_SQL}), s as ({" union all
  select r.symbol as target, leader, k as lag_bars, count(*) as n, round(covar_samp(ret, x) / nullif(stddev_samp(ret) * stddev_samp(x), 0), 6) as corr from r join s on r.open_time = s.open_time and r.symbol <> leader
  where ret is not null and x is not null group by 1, 2, 3 having count(*) >= 10"""
 V09_SQL = f"""with b as ({FOUR_HOURS_SQL}), r as (select symbol, open_time, power(ln(close) - ln({A}), 2) as x from b where close > 0), d as (select *, x - avg(x) over (partition by symbol) as d from r where x is not null),
- p as (select symbol, d * d as d2, {", ".join(f"d * lag(d, {k}) over (partition by symbol order by open_time) as p{k}" for k in range(1, 11))} from d), s as (select symbol, sum(d2) as d2, {", ".join(f"sum(p{k}) as p{k}" for k in range(1, 11))} from p group by 1)
- {" union all ".join(f"select symbol, {k} as lag_bars, round(p{k} / nullif(d2, 0), 6) as acf from s" for k in range(1, 11))}"""
+ p as (select symbol, d * d as d2, {", ".join(f"d * lag(d, {k}) over (partition by symbol order by open_time) as p{k}" for k in range(1, 31))} from d), s as (select symbol, sum(d2) as d2, {", ".join(f"sum(p{k}) as p{k}" for k in range(1, 31))} from p group by 1)
+ {" union all ".join(f"select symbol, {k} as lag_bars, round(p{k} / nullif(d2, 0), 6) as acf from s" for k in range(1, 31))}"""
 P04_SQL = f"""with b as ({FOUR_HOURS_SQL}), n as (select * from b qualify row_number() over (partition by symbol order by open_time desc) <= 30), s as (select symbol, max(high) t, min(low) l, max_by(open_time, high) ta, min_by(open_time, low) la from n group by 1),
  e as (select *, unnest([0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0, 1.272, 1.414, 1.618, 2.0, 2.618]::double[]) as level from s)
  select symbol, level, round(case when la < ta then t - level * (t - l) else l + level * (t - l) end, 6) as price, case when la < ta then 1 else 0 end as rising from e"""

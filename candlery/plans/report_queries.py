@@ -94,7 +94,7 @@ TEXTS = {
     + ") select symbol, lag_days, count(*) as n, round(covar_samp(ret, x) / nullif(stddev_samp(ret) * stddev_samp(x), 0), 6) as corr from a where ret is not null and x is not null group by symbol, lag_days",
     "y07_quarter_cycle_roi": "with q as (select symbol, open_time, close, first_value(close) over (partition by symbol, date_trunc('quarter', open_time) order by open_time) as first_close, row_number() over (partition by symbol, date_trunc('quarter', open_time) order by open_time) as day_no from {d}), r as (select symbol, day_no, close / nullif(first_close, 0) - 1 as roi from q) select symbol, cast(day_no as bigint) as day_no, count(*) as n, round(avg(roi), 6) as mean_roi, round(stddev_samp(roi), 6) as sd_roi from r group by symbol, day_no",
     "y08_similar_stretches": """with k as (select symbol, open_time, close, row_number() over (partition by symbol order by open_time desc) as rk, avg(close) over (partition by symbol) as mu, stddev_pop(close) over (partition by symbol) as sd from {d}), z as (select symbol, rk, (close - mu) / nullif(sd, 0) as z from k), now_z as (select symbol, rk, z from z where rk <= 20),
- offs as (select distinct symbol, rk - 1 as off from z where (rk - 1) % 20 = 0 and rk > 20), m as (select o.symbol, o.off, sqrt(sum(power(n.z - p.z, 2))) as dist, count(*) as n from offs o join now_z n on n.symbol = o.symbol join z p on p.symbol = o.symbol and p.rk = n.rk + o.off group by o.symbol, o.off)
+ offs as (select distinct symbol, rk - 1 as off from z where rk > 20), m as (select o.symbol, o.off, sqrt(sum(power(n.z - p.z, 2))) as dist, count(*) as n from offs o join now_z n on n.symbol = o.symbol join z p on p.symbol = o.symbol and p.rk = n.rk + o.off group by o.symbol, o.off)
  select symbol, cast(off as bigint) as bars_back, round(dist, 6) as distance, round(1 / (1 + dist), 6) as similarity from m where n = 20""",
     "y09_turning_points": f"""with k as (select symbol, open_time, close, min(low) over {frame(30, 1)} as low30, max(high) over {frame(30, 1)} as high30, avg(volume) over {frame(30, 1)} as v30, volume, count(close) over {frame(30, 1)} as n from {{b}}),
  s as (select *, case when close <= low30 * 1.2 then 0.5 else 0 end + case when volume > v30 then 0.3 else 0 end as bottom_score, case when close >= high30 * 0.8 then 0.5 else 0 end + case when volume > v30 then 0.3 else 0 end as top_score from k where n = 30)
@@ -123,7 +123,7 @@ def _reports() -> dict[str, Report]:
 
 
 def y08_similar_stretches(spark: SparkSession, folder: str) -> DataFrame:
-    """Every past stretch; the SQL text of the same name measures only one in 20 of them."""
+    """Every past stretch by lists of twenty bars; its twin joins bars by their distance."""
     return seasonality.similar_stretches(daily(spark, folder))
 
 
