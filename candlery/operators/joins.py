@@ -65,14 +65,18 @@ def latest_versions(rows: DataFrame, keys: Sequence[str], version: Sequence[str]
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in (*version, *rest)])
 
 
-def upserted(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], partial: bool = False) -> DataFrame:
-    """stored with incoming merged in: incoming rows replace those of their key, or with ``partial`` only where not null."""
+def upserted(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], partial: bool = False, version: Sequence[str] = ()) -> DataFrame:
+    """stored with incoming merged in: incoming rows replace those of their key, or with ``partial`` only where not null.
+
+    Of incoming rows with one key the greatest ``version`` counts, then the greatest values.
+    """
     a, b = stored.withColumn("_side", F.lit(0)), incoming.withColumn("_side", F.lit(1))
     both = a.unionByName(b, allowMissingColumns=True)
     rest = [c for c in stored.columns if c not in keys]
     if not partial:
-        return latest_versions(both, keys, ["_side"]).select(*stored.columns)
-    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_side"))).alias(c) for c in rest]
+        return latest_versions(both, keys, ["_side", *version]).select(*stored.columns)
+    order = lambda c: F.when(F.col(c).isNotNull(), F.struct("_side", *version, c))
+    newest = [F.max_by(c, order(c)).alias(c) for c in rest]
     return both.groupBy(*keys).agg(*newest).select(*stored.columns)
 
 
