@@ -79,6 +79,14 @@ class Features:
         df = self.stacked(df, by)
         return df.selectExpr(*by, *[k for k in self.keys if k != "symbol"], *keep, *self._outputs("try_cast"))
 
+    def apply_blocked(self, bars: DataFrame, reach: int) -> DataFrame:
+        """The plan over bars with feed_id, tf and per, in time blocks: no task holds a series. ``reach`` is how many bars
+        before or after a bar its columns may look at; plans that carry values along a whole series have none."""
+        from candlery.operators.bars import SERIES, edged_blocks
+
+        rows = self.stacked(edged_blocks(bars, reach, "close"), (*SERIES, "blk")).where("own")
+        return rows.selectExpr(*SERIES, *[k for k in self.keys if k != "symbol"], *self._outputs("try_cast"))
+
     def stacked(self, df: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
         """The input with the columns of all stages, hidden ones too."""
         series = f"partition by {', '.join(by)}"

@@ -70,9 +70,9 @@ def edged_blocks(rows: DataFrame, edge: int, carried: str) -> DataFrame:
     )
     edges = spots.where(f"place <= {edge} or place > size - {edge} or per = valued")
     along = Window.partitionBy(*SERIES).orderBy("per")
-    near = [f("blk", i).over(along) for f in (F.lag, F.lead) for i in range(1, edge + 1)]
+    near = F.array_union(*[F.collect_set("blk").over(along.rowsBetween(*b)) for b in ((-edge, -1), (1, edge))])
     before = F.last(carried, ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.withColumns({"near": F.array_distinct(F.array_compact(F.array(*near))), "before": before})
+    edges = edges.withColumns({"near": near, "before": before})
     copies = F.filter("near", lambda b: b != F.col("blk"))
     edges = edges.select(*SERIES, "per", copies.alias("copies"), F.when(F.col("place") == 1, F.col("before")).alias("seed"))
     edges = edges.where("size(copies) > 0 or seed is not null")

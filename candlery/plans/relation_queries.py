@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from candlery.operators import correlation, joins, learning, models, news, pipeline, recursive, registry, seasonality
 from candlery.operators.features import CATALOG
 from candlery.plans.candle_queries import DAILY_SQL, FOUR_HOURS_SQL, daily, four_hours
+from candlery.plans.twins import twin
 from candlery.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -311,8 +312,8 @@ def o01_outlier_flags(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("symbol", "open_time", F.col("is_outlier").cast("long").alias("is_outlier"))
 
 
-O01_SQL = f"""with a as ({CATALOG["o02_robust_outliers"].sql(FOUR_HOURS_SQL)}), r as ({CATALOG["o05_domain_rules"].sql(FOUR_HOURS_SQL)}) select a.symbol, a.open_time, greatest(anomaly_z_close, anomaly_z_volume, anomaly_iqr_close, anomaly_iqr_volume,
- anomaly_jump, anomaly_price, anomaly_ohlc, anomaly_zero_volume, anomaly_negative_volume, anomaly_volume, anomaly_flash, anomaly_gap) as is_outlier from a join r on a.symbol = r.symbol and a.open_time = r.open_time"""
+O01_SQL = f"""with a as ({twin("o02_robust_outliers", FOUR_HOURS_SQL)}), r as ({twin("o05_domain_rules", FOUR_HOURS_SQL)}) select a.symbol, a.open_time, greatest(anomaly_z_close, anomaly_z_volume, anomaly_iqr_close, anomaly_iqr_volume,
+ anomaly_jump, anomaly_price, anomaly_ohlc, anomaly_zero_volume, anomaly_negative_volume, anomaly_volume, anomaly_flash, anomaly_reversal, anomaly_gap) as is_outlier from a join r on a.symbol = r.symbol and a.open_time = r.open_time"""
 
 
 def queries() -> dict[str, Query]:

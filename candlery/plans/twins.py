@@ -18,7 +18,7 @@ def _flags(rules: dict[str, str]) -> str:
 
 
 K01 = f"""with x as (select *, abs(close - open) as body, high - low as rng, high - case when open > close then open else close end as us, case when open < close then open else close end - low as ls,
-  case when close > open then 1 when close < open then -1 when close = open then 0 end as d, abs(close - open) / case when high > low then high - low end as rel from {{b}}),
+  case when close > open then 1 when close < open then -1 when close = open then 0 end as d, abs(close - open) / nullif(high - low, 0) as rel from {{b}}),
  y as (select *, lag({{'o': open, 'c': close, 'h': high, 'l': low, 'd': d, 'rel': rel, 'body': body}}) over ({W}) as p, lag({{'o': open, 'c': close, 'd': d}}, 2) over ({W}) as q,
   {_last(20, "body")} as bodies, {_last(20, "rng")} as rngs, {_last(6, "low")} as lows, {_last(6, "high")} as highs from x)
  select symbol, open_time, round(body, 6) as body, round(rng, 6) as rng, round(us, 6) as upper_shadow, round(ls, 6) as lower_shadow, cast(d as bigint) as direction, round(rel, 6) as rel_body,
