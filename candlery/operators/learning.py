@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlery.operators.news import STOP_WORDS, cleaned_words, importance
+from candlery.operators.trend import price_levels  # noqa: F401  levels were here first
 
 
 def topic_model(documents: DataFrame, k: int = 6, vocabulary: int = 5_000, rounds: int = 10, seed: int = 42) -> DataFrame:
@@ -39,27 +40,6 @@ def embedding_clusters(vectors: DataFrame, k: int = 8, seed: int = 42) -> DataFr
     return found.select("vec_id", "cluster", F.sqrt(square).alias("distance"), F.lit(float(quality)).alias("silhouette"))
 
 
-def price_levels(bars: DataFrame, reach: int = 5, tolerance: float = 0.02, least: int = 3) -> DataFrame:
-    """symbol, kind (support or resistance), level, touches: local extremes grouped around the first price of each group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("open_time")
-        out = []
-        for kind, column, pick in (("resistance", "high", "max"), ("support", "low", "min")):
-            x = rows[column]
-            extreme = getattr(x.rolling(2 * reach + 1, center=True), pick)()
-            group: list[float] = []
-            for price in [*np.sort(x[x == extreme].to_numpy()), np.inf]:
-                if group and price > group[0] * (1 + tolerance):
-                    if len(group) >= least:
-                        out.append((rows["symbol"].iloc[0], kind, float(np.mean(group)), len(group)))
-                    group = []
-                group.append(price)
-        return pd.DataFrame(out, columns=["symbol", "kind", "level", "touches"])
-
-    return bars.groupBy("symbol").applyInPandas(run, "symbol string, kind string, level double, touches long")
-
-
 def similar_word_sets(sets: DataFrame, similarity: float) -> DataFrame:
     """a, b of all pairs of sets of one group whose words have at least this Jaccard similarity, a the earlier by ``at``.
 

@@ -30,6 +30,22 @@ def ewm_mean(x: np.ndarray, alpha: float, adjust: bool = False) -> np.ndarray:
     return out
 
 
+def ewm_moments(x: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentially weighted mean and bias-corrected variance over all values so far (weights fall by 1 - 2 / (span + 1))."""
+    keep, mean, var = 1 - 2 / (span + 1), np.full(len(x), np.nan), np.full(len(x), np.nan)
+    w = w2 = m = spread = 0.0  # sums of weights and of their squares, weighted mean, weighted sum of squared deviations
+    for i, v in enumerate(x):
+        w, w2, spread = w * keep, w2 * keep * keep, spread * keep
+        if v == v:
+            w, w2 = w + 1, w2 + 1
+            step = v - m
+            m += step / w
+            spread += step * (v - m)
+        mean[i] = m if w else np.nan
+        var[i] = spread / w * (w * w / (w * w - w2)) if w * w - w2 > 1e-12 else np.nan
+    return mean, var
+
+
 def seeded_ema(x: np.ndarray, n: int, alpha: float | None = None) -> np.ndarray:
     """Exponential mean that starts from the plain mean of the first n values; null before. Leading nulls are skipped."""
     out, alpha = np.full(len(x), np.nan), alpha or 2 / (n + 1)
@@ -110,7 +126,7 @@ def macd(close: np.ndarray, fast: int = 12, slow: int = 26, signal: int = 9) ->
 def indicator_columns(bars: pd.DataFrame) -> dict[str, np.ndarray]:
     """All recursive indicators of one symbol's bars in time order."""
     high, low, close = (bars[c].to_numpy(float) for c in ("high", "low", "close"))
-    out = {f"ema_{n}": seeded_ema(close, n) for n in (5, 10, 20, 50)} | {f"rsi_{n}": rsi(close, n) for n in (7, 14, 21)}
+    out = {f"ema_{n}": seeded_ema(close, n) for n in (5, 10, 20, 50, 200)} | {f"rsi_{n}": rsi(close, n) for n in (7, 14, 21)}
     out["macd"], out["macd_signal"] = macd(close)
     out["macd_hist"] = out["macd"] - out["macd_signal"]
     out["atr_14"] = wilder(true_range(high, low, close), 14)
@@ -118,14 +134,15 @@ def indicator_columns(bars: pd.DataFrame) -> dict[str, np.ndarray]:
     out["keltner_upper"], out["keltner_lower"] = middle + 2 * width, middle - 2 * width
     out["supertrend"], out["supertrend_side"] = supertrend(high, low, close)
     out["psar"] = parabolic_sar(high, low)
-    mean = ewm_mean(close, 2 / 15, adjust=True)
-    out["ewm_mean_14"], out["ewm_var_14"] = mean, ewm_mean(close**2, 2 / 15, adjust=True) - mean**2
+    for span in (7, 14, 30):
+        mean, var = ewm_moments(close, span)
+        out |= {f"ewm_mean_{span}": mean, f"ewm_std_{span}": np.sqrt(var), f"ewm_var_{span}": var}
     return out
 
 
 NAMES = [
-    "ema_5", "ema_10", "ema_20", "ema_50", "rsi_7", "rsi_14", "rsi_21", "macd", "macd_signal", "macd_hist", "atr_14", "keltner_upper", "keltner_lower", "supertrend",
-    "supertrend_side", "psar", "ewm_mean_14", "ewm_var_14",
+    "ema_5", "ema_10", "ema_20", "ema_50", "ema_200", "rsi_7", "rsi_14", "rsi_21", "macd", "macd_signal", "macd_hist", "atr_14", "keltner_upper", "keltner_lower", "supertrend",
+    "supertrend_side", "psar", *[f"ewm_{m}_{n}" for n in (7, 14, 30) for m in ("mean", "std", "var")],
 ]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlery.operators import correlation, joins, learning, models, news, pipeline, recursive, registry, seasonality
+from candlery.operators import correlation, joins, learning, models, news, pipeline, registry, seasonality
 from candlery.operators.features import CATALOG
 from candlery.plans.candle_queries import DAILY_SQL, FOUR_HOURS_SQL, daily, four_hours
 from candlery.plans.twins import twin
@@ -347,7 +347,6 @@ def queries() -> dict[str, Query]:
         "n08_cosine": lambda s, d: news.cosine(table(s, d, "embeddings")),
         "f11_keyword_hits": lambda s, d: news.keyword_hits(documents(s, d), KEYWORDS, 2),
         "a14_topic_trends": lambda s, d: news.topic_trends(documents(s, d), "published_at"),
-        "t02_recursive_indicators": lambda s, d: recursive.recursive_indicators(four_hours(s, d)),
         "g06_stationarity": lambda s, d: models.stationarity(daily(s, d)),
         "g09_seasonality": lambda s, d: models.seasonality(four_hours(s, d)),
         "g12_arima_forecast": lambda s, d: models.arima_forecast(four_hours(s, d)),
@@ -362,7 +361,6 @@ def queries() -> dict[str, Query]:
         "n06_topic_model": lambda s, d: learning.topic_model(documents(s, d)),
         "n09_news_clusters": lambda s, d: learning.news_clusters(documents(s, d)),
         "l04_embedding_clusters": lambda s, d: learning.embedding_clusters(table(s, d, "embeddings")),
-        "r06_price_levels": lambda s, d: learning.price_levels(four_hours(s, d)),
         "l11_tuned_regression": lambda s, d: learning.tuned_regression(lagged(s, d), columns, "target_return"),
         "l12_permutation_importance": lambda s, d: learning.permutation_importance(lagged(s, d), columns, "target_return"),
         "l05_sequences": lambda s, d: models.sequences(four_hours(s, d), ["close", "volume"]),
