@@ -258,6 +258,14 @@ def garch(bars: DataFrame, horizon: int = 5) -> DataFrame:
     return _per_symbol(bars, "omega double, alpha double, beta double, persistence double, half_life double, path string", kernel)
 
 
+def impulse_response(fits: DataFrame, horizons: tuple[int, ...] = (1, 2, 3, 4, 5, 10, 20)) -> DataFrame:
+    """symbol, horizon, base (long-run variance), shocked (variance so many steps after a return of one deviation beyond the
+    expected square), half_life: closed form of the fitted GARCH(1,1)."""
+    rows = fits.withColumn("base", F.try_divide("omega", 1 - F.col("persistence"))).withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    shocked = F.col("base") + F.col("alpha") * F.col("base") * F.pow("persistence", F.col("horizon") - 1)
+    return rows.select("symbol", "horizon", "base", shocked.alias("shocked"), "half_life")
+
+
 def isolation_scores(bars: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
     """symbol, open_time, score of an isolation forest on returns, range and volume (near 1: easily set apart)."""
 

@@ -61,33 +61,19 @@ TEXTS = {
     "j12_join_nation": "select n_name, count(*) as customers, round(sum(c_acctbal), 2) as balance from {customer} join {nation} on c_nationkey = n_nationkey group by n_name",
     "s08_gaps_from_second_source": "with slots as (select distinct open_time from {b}), mine as (select * from {b} where symbol = 'click'), other as (select * from {b} where symbol = 'view') select s.open_time, coalesce(m.close, o.close) as close, case when m.close is null then 1 else 0 end as filled from slots s left join mine m on m.open_time = s.open_time left join other o on o.open_time = s.open_time",
     # fills and scaling
-    "m01_fill_methods": f"""with h as (select symbol, open_time, case when hour(open_time) = 8 then null else close end as x from {{b}}), r as (select *, row_number() over ({W}) as rn from h),
- f as (select *, last_value(x) ignore nulls over {WC} as ffill, first_value(x) ignore nulls over {BACK} as bfill, max(case when x is not null then rn end) over {WC} as r0, min(case when x is not null then rn end) over {BACK} as r1, avg(x) over {WP} as mu, percentile(x, 0.5) over {WP} as med from r)
- select symbol, open_time, round(coalesce(ffill, bfill), 6) as filled_forward, round(coalesce(x, mu), 6) as filled_mean, round(coalesce(x, med), 6) as filled_median,
- round(coalesce(case when r1 > r0 then ffill + (bfill - ffill) * (rn - r0) / (r1 - r0) end, ffill, bfill), 6) as filled_line, case when rn - r0 <= 2 then round(ffill, 6) end as filled_limited from f""",
     "m05_minmax_inverse": f"with s as (select *, min(close) over {WP} as mn, max(close) over {WP} as mx from {{b}}), t as (select *, {ratio('close - mn', 'mx - mn')} as scaled from s) select symbol, open_time, round(scaled, 6) as scaled, round(scaled * (mx - mn) + mn, 6) as restored from t",
     "m07_skewed_logs": "with s as (select symbol, avg(volume) as mu, stddev_pop(volume) as sd from {b} group by symbol), m as (select b.symbol, avg(power((b.volume - s.mu) / nullif(s.sd, 0), 3)) as skew from {b} b join s on b.symbol = s.symbol group by b.symbol) select b.symbol, b.open_time, round(case when abs(m.skew) > 0.3 then ln(1 + b.volume) else b.volume end, 6) as volume_t from {b} b join m on b.symbol = m.symbol",
     # aggregates
-    "a04_term_structure": "with x as (select 'four hours' as tf, hist_vol_14 as v from {vol} union all select 'one day', hist_vol_14 from {dvol}), s as (select tf, avg(v) as mean_v, percentile(v, 0.5) as median_v, max(v) as max_v, min(v) as min_v, stddev_samp(v) as sd_v from x where v is not null group by tf) select tf, round(mean_v, 6) as mean_v, round(median_v, 6) as median_v, round(max_v, 6) as max_v, round(min_v, 6) as min_v, round(sd_v, 6) as sd_v, round(mean_v / (select mean_v from s where tf = 'one day'), 6) as to_daily from s",
     "a05_volatility_by_phase": "select p.symbol, p.phase, count(v.hist_vol_14) as n, round(avg(v.hist_vol_14), 6) as mean_v, round(percentile(v.hist_vol_14, 0.25), 6) as p25, round(percentile(v.hist_vol_14, 0.75), 6) as p75 from {phase} p join {dvol} v on p.symbol = v.symbol and p.open_time = v.open_time where p.phase is not null group by p.symbol, p.phase having count(v.hist_vol_14) >= 10",
     "a07_volatility_summary": f"""with k as (select symbol, open_time, hist_vol_14 as v, row_number() over (partition by symbol order by open_time desc) as rk, avg(hist_vol_14) over {WP} as mu from {{vol}} where hist_vol_14 is not null), c as (select symbol, max(case when rk = 1 then v end) as now_v, max(case when rk = 8 then v end) as then_v from k group by symbol)
  select k.symbol, round(max(c.now_v), 6) as now_v, round(avg(v), 6) as mean_v, round(percentile(v, 0.9), 6) as p90, round(percentile(v, 0.1), 6) as p10, cast(sum(case when v > mu then 1 else 0 end) as bigint) as above_mean, round(max(c.now_v) / max(c.then_v) - 1, 6) as trend,
  round(cast(100 as double) * (sum(case when v < c.now_v then 1 else 0 end) + sum(case when v <= c.now_v then 1 else 0 end)) / 2 / count(*), 6) as percentile_now from k join c on k.symbol = c.symbol group by k.symbol""",
-    "a11_topic_report": "select lang, count(*) as n, cast(sum(case when label = 'positive' then 1 else 0 end) as bigint) as good, cast(sum(case when label = 'negative' then 1 else 0 end) as bigint) as bad, case when sum(case when label = 'positive' then 1 else 0 end) >= 0.6 * count(*) then 'bullish' when sum(case when label = 'negative' then 1 else 0 end) >= 0.6 * count(*) then 'bearish' else 'mixed' end as signal from {documents} d join {mood} m on d.doc_id = m.doc_id group by lang",
-    "a17_market_snapshot": "select open_time, count(hist_vol_14) as n, round(avg(hist_vol_14), 9) as mean_v, round(stddev_samp(hist_vol_14), 6) as sd_v, max_by(symbol, hist_vol_14) as wildest, min_by(symbol, hist_vol_14) as calmest from {vol} where hist_vol_14 is not null group by open_time",
     "j08_january_effect": "with r as (select symbol, year(open_time) as y, month(open_time) as m, max_by(close, open_time) / nullif(min_by(close, open_time), 0) - 1 as ret from {d} group by symbol, year(open_time), month(open_time)), j as (select symbol, y, ret as january from r where m = 1), o as (select symbol, y, avg(ret) as others from r where m <> 1 group by symbol, y) select j.symbol, cast(j.y as bigint) as year_no, round(january, 6) as january, round(others, 6) as others, round(january - others, 6) as effect from j join o on j.symbol = o.symbol and j.y = o.y",
     # trend, levels, patterns
-    "r03_breakouts": f"""with x as (select b.symbol, b.open_time, b.close, b.high, b.volume, case when w.swing_high = 1 then b.high end as level from {{b}} b left join {{swings}} w on w.symbol = b.symbol and w.open_time = b.open_time),
- p as (select *, last_value(level) ignore nulls over ({W} rows between unbounded preceding and 6 preceding) as top_level, {lag('close')} as before, avg(volume) over {frame(20)} as v20 from x)
- select symbol, open_time, round(top_level, 6) as top_level, round(close / top_level - 1, 6) as strength, round(volume / nullif(v20, 0), 6) as volume_factor from p where before < top_level and high > top_level and close > top_level * 1.001""",
     "r10_double_tops": f"""with x as (select b.symbol, b.open_time, b.high, b.low, coalesce(w.swing_high, 0) as s from {{b}} b left join {{swings}} w on w.symbol = b.symbol and w.open_time = b.open_time), g as (select *, sum(s) over {WC} as top_no from x),
  t as (select symbol, top_no, min(case when s = 1 then open_time end) as open_time, max(case when s = 1 then high end) as first_top, min(case when s = 0 then low end) as neckline from g where top_no > 0 group by symbol, top_no),
  n as (select *, lead(first_top) over (partition by symbol order by top_no) as second_top, lead(open_time) over (partition by symbol order by top_no) as at2 from t)
  select symbol, open_time, at2, round(first_top, 6) as first_top, round(second_top, 6) as second_top, round(neckline, 6) as neckline from n where abs(second_top / first_top - 1) <= 0.1""",
-    "r11_divergence": f"""with s as (select x.symbol, x.open_time, x.close, r.rsi_14 as r from {{swings}} w join {{b}} x on w.symbol = x.symbol and w.open_time = x.open_time join {{rsi}} r on r.symbol = x.symbol and r.open_time = x.open_time where swing_high = 1),
- n as (select *, {lag('close')} as c0, {lag('r')} as r0 from s) select symbol, open_time, case when close > c0 and r < r0 then 'bearish' when close < c0 and r > r0 then 'hidden bearish' else 'none' end as kind from n where c0 is not null and r is not null and r0 is not null""",
-    "r08_regime_labels": f"""with k as (select symbol, open_time, close, avg(close) over {frame(10)} as fast, avg(close) over {frame(40)} as slow, stddev_samp(close) over {frame(20)} / nullif(avg(close) over {frame(20)}, 0) as cv, count(close) over {frame(40)} as n from {{b}})
- select symbol, open_time, case when n < 40 then 'insufficient_data' when cv > 0.8 then 'volatile' when fast > slow * 1.05 then 'uptrend' when fast < slow * 0.95 then 'downtrend' else 'range' end as regime from k""",
     # cycles
     "y06_cycle_length": "with r as (select symbol, open_time, close / nullif(lag(close) over (partition by symbol order by open_time), 0) - 1 as ret from {d}), a as ("
     + " union all ".join(f"select symbol, {k} as lag_days, ret, lag(ret, {k}) over (partition by symbol order by open_time) as x from r" for k in (7, 14, 30, 60, 90, 180, 365))
@@ -101,17 +87,10 @@ TEXTS = {
  select symbol, open_time, round(cast(bottom_score as double), 6) as bottom_score, round(cast(top_score as double), 6) as top_score from s where bottom_score >= 0.5 or top_score >= 0.5""",
     # volatility, models, evaluation
     "v10_breakout_days": "select symbol, cast(sum(vol_breakout) as bigint) as breakouts, count(*) as bars from {vol} group by symbol",
-    "v13_impulse_response": "with k as (select cast(1 as bigint) as h union all select 2 union all select 3 union all select 4 union all select 5 union all select 10 union all select 20), v as (select symbol, var_samp(lr) as base from (select symbol, " + LOGRET + " as lr from {b}) x group by symbol) select symbol, h, round(base * (1 + power(0.9, h)), 8) as shocked, round(base, 8) as base from v cross join k",
     "v14_ml_features": f"with x as (select symbol, open_time, hist_vol_14 as v, parkinson_14 as p from {{vol}}), y as (select *, v - {lag('v')} as change, {lag('v')} as before, avg(v) over {frame(30)} as m30, stddev_samp(v) over {frame(30)} as s30, count(v) over {frame(30)} as n30 from x) select symbol, open_time, round(change, 6) as vol_change, round(before, 6) as vol_lag, round({log('v')}, 6) as log_vol, round(case when n30 = 30 then {ratio('v - m30', 's30')} end, 6) as vol_z30, round({ratio('p', 'v')}, 6) as hl_ratio from y",
     "g02_transforms": f"with t as (select symbol, open_time, close, {log('close')} as lg, sqrt(greatest(close, 0)) as sq, (power(greatest(close, 0.000001), 0.5) - 1) / 0.5 as bc, case when close >= 0 then (power(close + 1, 0.5) - 1) / 0.5 end as yj from {{b}}) select symbol, open_time, round(lg, 6) as log_x, round(sq, 6) as sqrt_x, round(bc, 6) as boxcox_x, round(yj, 6) as yeojohnson_x, round(exp(lg), 6) as log_back, round(power(bc * 0.5 + 1, 2), 6) as boxcox_back from t",
-    "g14_naive_forecast_metrics": f"with f as (select symbol, close, {lag('close')} as last_close, avg(close) over {frame(5, 1)} as mean5 from {{b}}), e as (select symbol, close, 'last' as model, last_close as p from f union all select symbol, close, 'mean5', mean5 from f), s as (select *, avg(close) over (partition by symbol, model) as mu from e where p is not null) select symbol, model, count(*) as n, round(avg(power(close - p, 2)), 6) as mse, round(avg(abs(close - p)), 6) as mae, round(100 * avg(abs((close - p) / nullif(close, 0))), 6) as mape, round(1 - sum(power(close - p, 2)) / nullif(sum(power(close - mu, 2)), 0), 6) as r2 from s group by symbol, model",
-    "j15_forecasts_wide": f"with f as (select symbol, open_time, close, {lag('close')} as last_close, avg(close) over {frame(5, 1)} as mean5 from {{b}}) select symbol, open_time, round(close, 6) as actual, round(last_close, 6) as f_last, round(mean5, 6) as f_mean5, round(0.6 * last_close + 0.4 * mean5, 6) as f_ensemble, round(abs(close - (0.6 * last_close + 0.4 * mean5)), 6) as abs_error from f where last_close is not null",
     "l03_polynomials": f"with z as (select symbol, open_time, (close - avg(close) over {WP}) / nullif(stddev_pop(close) over {WP}, 0) as a, (volume - avg(volume) over {WP}) / nullif(stddev_pop(volume) over {WP}, 0) as v from {{b}}), c as (select symbol, open_time, least(greatest(a, -5), 5) as a, least(greatest(v, -5), 5) as v from z) select symbol, open_time, round(a * a, 6) as close_sq, round(a * v, 6) as close_volume, round(v * v, 6) as volume_sq from c",
     "l06_chrono_split": "with p as (select symbol, open_time, percent_rank() over (partition by symbol order by open_time) as place from {b}) select symbol, case when place < 0.8 then 'train' else 'test' end as part, count(*) as n, min(open_time) as first_at, max(open_time) as last_at from p group by symbol, case when place < 0.8 then 'train' else 'test' end",
-    "x02_volume_winsorised": """with l as (select symbol, avg(volume) + 2 * stddev_samp(volume) as hi, percentile(volume, 0.5) as med from {b} group by symbol), w as (select b.symbol, b.open_time, case when b.volume > l.hi then l.med else b.volume end as v from {b} b join l on b.symbol = l.symbol)
- select a.symbol as symbol_a, c.symbol as symbol_b, round(covar_samp(a.v, c.v) / nullif(stddev_samp(a.v) * stddev_samp(c.v), 0), 6) as corr from w a join w c on a.open_time = c.open_time and a.symbol < c.symbol group by a.symbol, c.symbol""",
-    "x05_strong_pairs": "with r as (select symbol, open_time, " + RET + " as ret from {b}), m as (select a.symbol as symbol_a, c.symbol as symbol_b, covar_samp(a.ret, c.ret) / nullif(stddev_samp(a.ret) * stddev_samp(c.ret), 0) as corr from r a join r c on a.open_time = c.open_time and a.symbol < c.symbol where a.ret is not null and c.ret is not null group by a.symbol, c.symbol) select symbol_a, symbol_b, round(corr, 6) as corr, case when corr > 0 then 'together' else 'against' end as kind from m where abs(corr) >= 0.02",
-    "x12_regime_correlation": "with g as (select open_time, case when day(open_time) <= 15 then 'first half' else 'second half' end as regime, symbol, close from {b}) select a.regime, a.symbol as symbol_a, c.symbol as symbol_b, count(*) as n, round(covar_samp(a.close, c.close) / nullif(stddev_samp(a.close) * stddev_samp(c.close), 0), 6) as corr from g a join g c on a.open_time = c.open_time and a.symbol < c.symbol group by a.regime, a.symbol, c.symbol",
     "w07_one_hot": "select symbol, open_time, " + ", ".join(f"case when phase = {k} then 1 else 0 end as phase_{n}" for k, n in ((1, "accumulation"), (2, "uptrend"), (3, "distribution"), (4, "downtrend"))) + " from {phase}",
     "o08_cycle_anomalies": f"with c as (select symbol, open_time, {RET} as r1, close / nullif({lag('close', 7)}, 0) - 1 as r7 from {{d}}), z as (select *, (r1 - avg(r1) over {frame(365)}) / nullif(stddev_samp(r1) over {frame(365)}, 0) as z1, (r7 - avg(r7) over {frame(365)}) / nullif(stddev_samp(r7) over {frame(365)}, 0) as z7, count(r7) over {frame(365)} as n from c) select symbol, open_time, round(z1, 5) as z1, round(z7, 5) as z7 from z where n >= 30 and (abs(z1) > 3 or abs(z7) > 3)",
     "q01_daily_shipments": "select l_shipdate, l_returnflag, count(*) as n, round(sum(l_quantity), 2) as quantity, round(avg(l_discount), 6) as discount from {lineitem} group by l_shipdate, l_returnflag",

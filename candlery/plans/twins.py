@@ -132,14 +132,18 @@ def _w02(n: int) -> str:
 
 W02 = f"with x as (select symbol, open_time, list(close) over ({W} rows 4 preceding) as l5, list(close) over ({W} rows 13 preceding) as l14 from {{b}}) select symbol, open_time, {_w02(5)}, {_w02(14)} from x"
 
-V01 = f"""with x as (select *, lag(close) over ({W}) as pc from {{b}}), y as (select symbol, open_time, ln(close / nullif(pc, 0)) as lr, ln(high / nullif(low, 0)) as hl, ln(close / nullif(open, 0)) as oc, ln(open / nullif(pc, 0)) as ov,
+def volatility_twin(ns: tuple[int, ...]) -> str:
+    return f"""with x as (select *, lag(close) over ({W}) as pc from {{b}}), y as (select symbol, open_time, ln(close / nullif(pc, 0)) as lr, ln(high / nullif(low, 0)) as hl, ln(close / nullif(open, 0)) as oc, ln(open / nullif(pc, 0)) as ov,
   ln(high / nullif(close, 0)) * ln(high / nullif(open, 0)) + ln(low / nullif(close, 0)) * ln(low / nullif(open, 0)) as rs from x),
- z as (select symbol, open_time, {', '.join(f"{_last(n, '{r: lr, h: hl, c: oc, v: ov, s: rs}')} as l{n}" for n in (14, 30))} from y),
- k as (select *, {', '.join(f"case when len(list_filter(l{n}, lambda e: e.r is not null)) = {n} then list_stddev_samp(list_transform(l{n}, lambda e: e.r)) * sqrt(365) end as hist_vol_{n}, sqrt(list_avg(list_transform(l{n}, lambda e: e.h * e.h)) / (4 * ln(2)) * 365) as parkinson_{n}, sqrt(greatest(list_avg(list_transform(l{n}, lambda e: 0.5 * e.h * e.h - (2 * ln(2) - 1) * e.c * e.c)), 0) * 365) as garman_klass_{n}, case when len(list_filter(l{n}, lambda e: e.v is not null)) = {n} then sqrt(365 * (list_var_samp(list_transform(l{n}, lambda e: e.v)) + 0.34 * list_var_samp(list_transform(l{n}, lambda e: e.c)) + 0.66 * list_avg(list_transform(l{n}, lambda e: e.s)))) end as yang_zhang_{n}" for n in (14, 30))} from z),
+ z as (select symbol, open_time, {', '.join(f"{_last(n, '{r: lr, h: hl, c: oc, v: ov, s: rs}')} as l{n}" for n in ns)} from y),
+ k as (select *, {', '.join(f"case when len(list_filter(l{n}, lambda e: e.r is not null)) = {n} then list_stddev_samp(list_transform(l{n}, lambda e: e.r)) * sqrt(365) end as hist_vol_{n}, sqrt(list_avg(list_transform(l{n}, lambda e: e.h * e.h)) / (4 * ln(2)) * 365) as parkinson_{n}, sqrt(greatest(list_avg(list_transform(l{n}, lambda e: 0.5 * e.h * e.h - (2 * ln(2) - 1) * e.c * e.c)), 0) * 365) as garman_klass_{n}, case when len(list_filter(l{n}, lambda e: e.v is not null)) = {n} then sqrt(365 * (list_var_samp(list_transform(l{n}, lambda e: e.v)) + 0.34 * list_var_samp(list_transform(l{n}, lambda e: e.c)) + 0.66 * list_avg(list_transform(l{n}, lambda e: e.s)))) end as yang_zhang_{n}" for n in ns)} from z),
  m as (select *, {_last(20, "hist_vol_14")} as v20, {_last(14, "hist_vol_14")} as v14 from k), q as (select *, len(list_filter(v20, lambda v: v is not null)) = 20 as full20, len(list_filter(v14, lambda v: v is not null)) = 14 as full14 from m)
- select symbol, open_time, {', '.join(f'round({c}_{n}, 6) as {c}_{n}' for n in (14, 30) for c in ('hist_vol', 'parkinson', 'garman_klass', 'yang_zhang'))}, case when full14 then round(list_stddev_samp(v14), 6) end as vol_of_vol, round(hist_vol_14 / nullif(hist_vol_30, 0), 6) as rel_vol,
+ select symbol, open_time, {', '.join(f'round({c}_{n}, 6) as {c}_{n}' for n in ns for c in ('hist_vol', 'parkinson', 'garman_klass', 'yang_zhang'))}, case when full14 then round(list_stddev_samp(v14), 6) end as vol_of_vol, round(hist_vol_14 / nullif(hist_vol_30, 0), 6) as rel_vol,
  cast(coalesce(full20 and hist_vol_14 > list_avg(v20) + 2 * list_stddev_samp(v20), false) as bigint) as vol_breakout from q"""
 
+
+V01 = volatility_twin((14, 30))
+
 #: Name of the query -> its twin over bars named b.
 TWINS = {
     "k01_candle_patterns": K01, "c01_custom": C01, "y04_market_phase": Y04, "y05_bull_bear": Y05, "o02_robust_outliers": O02, "o05_domain_rules": O05, "t01_sma": T01, "t03_rsi_simple": T03,
