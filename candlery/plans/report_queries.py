@@ -59,7 +59,6 @@ TEXTS = {
     "u04_adjacent_sets": "with w as (select distinct symbol, cast(floor((day(open_time) - 1) / 7) as bigint) as week_no from {b}) select a.symbol, a.week_no from w a join w n on a.symbol = n.symbol and n.week_no = a.week_no + 1",
     "j14_semi_anti": "select 'with orders' as side, count(*) as n from {customer} where c_custkey in (select o_custkey from {orders}) union all select 'without', count(*) from {customer} where not exists (select 1 from {orders} where o_custkey = c_custkey)",
     "j12_join_nation": "select n_name, count(*) as customers, round(sum(c_acctbal), 2) as balance from {customer} join {nation} on c_nationkey = n_nationkey group by n_name",
-    "s08_gaps_from_second_source": "with slots as (select distinct open_time from {b}), mine as (select * from {b} where symbol = 'click'), other as (select * from {b} where symbol = 'view') select s.open_time, coalesce(m.close, o.close) as close, case when m.close is null then 1 else 0 end as filled from slots s left join mine m on m.open_time = s.open_time left join other o on o.open_time = s.open_time",
     # fills and scaling
     "m05_minmax_inverse": f"with s as (select *, min(close) over {WP} as mn, max(close) over {WP} as mx from {{b}}), t as (select *, {ratio('close - mn', 'mx - mn')} as scaled from s) select symbol, open_time, round(scaled, 6) as scaled, round(scaled * (mx - mn) + mn, 6) as restored from t",
     "m07_skewed_logs": "with s as (select symbol, avg(volume) as mu, stddev_pop(volume) as sd from {b} group by symbol), m as (select b.symbol, avg(power((b.volume - s.mu) / nullif(s.sd, 0), 3)) as skew from {b} b join s on b.symbol = s.symbol group by b.symbol) select b.symbol, b.open_time, round(case when abs(m.skew) > 0.3 then ln(1 + b.volume) else b.volume end, 6) as volume_t from {b} b join m on b.symbol = m.symbol",
@@ -75,9 +74,6 @@ TEXTS = {
  n as (select *, lead(first_top) over (partition by symbol order by top_no) as second_top, lead(open_time) over (partition by symbol order by top_no) as at2 from t)
  select symbol, open_time, at2, round(first_top, 6) as first_top, round(second_top, 6) as second_top, round(neckline, 6) as neckline from n where abs(second_top / first_top - 1) <= 0.1""",
     # cycles
-    "y06_cycle_length": "with r as (select symbol, open_time, close / nullif(lag(close) over (partition by symbol order by open_time), 0) - 1 as ret from {d}), a as ("
-    + " union all ".join(f"select symbol, {k} as lag_days, ret, lag(ret, {k}) over (partition by symbol order by open_time) as x from r" for k in (7, 14, 30, 60, 90, 180, 365))
-    + ") select symbol, lag_days, count(*) as n, round(covar_samp(ret, x) / nullif(stddev_samp(ret) * stddev_samp(x), 0), 6) as corr from a where ret is not null and x is not null group by symbol, lag_days",
     "y07_quarter_cycle_roi": "with q as (select symbol, open_time, close, first_value(close) over (partition by symbol, date_trunc('quarter', open_time) order by open_time) as first_close, row_number() over (partition by symbol, date_trunc('quarter', open_time) order by open_time) as day_no from {d}), r as (select symbol, day_no, close / nullif(first_close, 0) - 1 as roi from q) select symbol, cast(day_no as bigint) as day_no, count(*) as n, round(avg(roi), 6) as mean_roi, round(stddev_samp(roi), 6) as sd_roi from r group by symbol, day_no",
     "y08_similar_stretches": """with k as (select symbol, open_time, close, row_number() over (partition by symbol order by open_time desc) as rk, avg(close) over (partition by symbol) as mu, stddev_pop(close) over (partition by symbol) as sd from {d}), z as (select symbol, rk, (close - mu) / nullif(sd, 0) as z from k), now_z as (select symbol, rk, z from z where rk <= 20),
  offs as (select distinct symbol, rk - 1 as off from z where rk > 20), m as (select o.symbol, o.off, sqrt(sum(power(n.z - p.z, 2))) as dist, count(*) as n from offs o join now_z n on n.symbol = o.symbol join z p on p.symbol = o.symbol and p.rk = n.rk + o.off group by o.symbol, o.off)
@@ -88,8 +84,6 @@ TEXTS = {
     # volatility, models, evaluation
     "v10_breakout_days": "select symbol, cast(sum(vol_breakout) as bigint) as breakouts, count(*) as bars from {vol} group by symbol",
     "v14_ml_features": f"with x as (select symbol, open_time, hist_vol_14 as v, parkinson_14 as p from {{vol}}), y as (select *, v - {lag('v')} as change, {lag('v')} as before, avg(v) over {frame(30)} as m30, stddev_samp(v) over {frame(30)} as s30, count(v) over {frame(30)} as n30 from x) select symbol, open_time, round(change, 6) as vol_change, round(before, 6) as vol_lag, round({log('v')}, 6) as log_vol, round(case when n30 = 30 then {ratio('v - m30', 's30')} end, 6) as vol_z30, round({ratio('p', 'v')}, 6) as hl_ratio from y",
-    "g02_transforms": f"with t as (select symbol, open_time, close, {log('close')} as lg, sqrt(greatest(close, 0)) as sq, (power(greatest(close, 0.000001), 0.5) - 1) / 0.5 as bc, case when close >= 0 then (power(close + 1, 0.5) - 1) / 0.5 end as yj from {{b}}) select symbol, open_time, round(lg, 6) as log_x, round(sq, 6) as sqrt_x, round(bc, 6) as boxcox_x, round(yj, 6) as yeojohnson_x, round(exp(lg), 6) as log_back, round(power(bc * 0.5 + 1, 2), 6) as boxcox_back from t",
-    "l03_polynomials": f"with z as (select symbol, open_time, (close - avg(close) over {WP}) / nullif(stddev_pop(close) over {WP}, 0) as a, (volume - avg(volume) over {WP}) / nullif(stddev_pop(volume) over {WP}, 0) as v from {{b}}), c as (select symbol, open_time, least(greatest(a, -5), 5) as a, least(greatest(v, -5), 5) as v from z) select symbol, open_time, round(a * a, 6) as close_sq, round(a * v, 6) as close_volume, round(v * v, 6) as volume_sq from c",
     "l06_chrono_split": "with p as (select symbol, open_time, percent_rank() over (partition by symbol order by open_time) as place from {b}) select symbol, case when place < 0.8 then 'train' else 'test' end as part, count(*) as n, min(open_time) as first_at, max(open_time) as last_at from p group by symbol, case when place < 0.8 then 'train' else 'test' end",
     "w07_one_hot": "select symbol, open_time, " + ", ".join(f"case when phase = {k} then 1 else 0 end as phase_{n}" for k, n in ((1, "accumulation"), (2, "uptrend"), (3, "distribution"), (4, "downtrend"))) + " from {phase}",
     "o08_cycle_anomalies": f"with c as (select symbol, open_time, {RET} as r1, close / nullif({lag('close', 7)}, 0) - 1 as r7 from {{d}}), z as (select *, (r1 - avg(r1) over {frame(365)}) / nullif(stddev_samp(r1) over {frame(365)}, 0) as z1, (r7 - avg(r7) over {frame(365)}) / nullif(stddev_samp(r7) over {frame(365)}, 0) as z7, count(r7) over {frame(365)} as n from c) select symbol, open_time, round(z1, 5) as z1, round(z7, 5) as z7 from z where n >= 30 and (abs(z1) > 3 or abs(z7) > 3)",
