@@ -13,7 +13,7 @@ from candlery.operators.features import CATALOG
 Step = Callable[..., DataFrame]
 STEPS: dict[str, Step] = {}
 #: Catalogue entries that make up the full feature frame, in order.
-GROUPS = ("w01_lagged", "w08_returns", "w09_volumes", "w14_microstructure", "t01_sma", "t05_bollinger", "t10_momentum", "k01_candle_patterns", "v01_volatility")
+GROUPS = ("w01_lagged", "w08_returns", "w09_volumes", "w14_microstructure", "t01_sma", "t05_bollinger", "t10_momentum", "k01_candle_patterns", "v01_volatility", "w04_calendar", "w11_ratios", "w12_crossover", "c01_custom", "v05_volatility_features")
 KEY = ["symbol", "open_time"]
 
 
@@ -37,10 +37,11 @@ def run_steps(df: DataFrame, steps: Sequence[str | tuple[str, dict]]) -> DataFra
 
 
 @step("drop_duplicates")
-def drop_duplicates(df: DataFrame, order: str = "volume") -> DataFrame:
-    """One row per symbol and time: the first by ``order``."""
+def drop_duplicates(df: DataFrame, order: str | None = None) -> DataFrame:
+    """One row per symbol and time: the first by ``order``, or by all columns where rows have no order of their own."""
     rest = [c for c in df.columns if c not in (*KEY, order)]
-    return df.groupBy(*KEY).agg(F.min(F.struct(order, *rest)).alias("r")).select(*KEY, *[F.col(f"r.{c}").alias(c) for c in (order, *rest)])
+    first = [order] if order else []
+    return df.groupBy(*KEY).agg(F.min(F.struct(*first, *rest)).alias("r")).select(*KEY, *[F.col(f"r.{c}").alias(c) for c in (*first, *rest)])
 
 
 @step("time_range")
@@ -50,21 +51,30 @@ def time_range(df: DataFrame, start: str, end: str) -> DataFrame:
 
 @step("repair")
 def repair(df: DataFrame) -> DataFrame:
-    clean = CATALOG["f05_repaired"].apply(df)
-    return df.join(clean, KEY).select(*KEY, "open", F.col("high_clean").alias("high"), F.col("low_clean").alias("low"), F.col("close_clean").alias("close"), F.col("volume_clean").alias("volume"))
+    clean = CATALOG["f05_repaired"].apply(df, keep=("open",))
+    return clean.select(*KEY, "open", F.col("high_clean").alias("high"), F.col("low_clean").alias("low"), F.col("close_clean").alias("close"), F.col("volume_clean").alias("volume"))
 
 
 @step("outlier_flags")
 def outlier_flags(df: DataFrame, methods: Sequence[str] = ("o02_robust_outliers", "o05_domain_rules")) -> DataFrame:
-    """The bars with is_outlier: 1 if any method flags them."""
-    flagged = df
-    names = []
+    """The bars with is_outlier: 1 if any method flags them; one chain of windows, no join."""
+    flagged, names = df, []
     for method in methods:
-        found = CATALOG[method].apply(df)
-        own = [c for c in found.columns if c.startswith("anomaly")]
-        names += own
-        flagged = flagged.join(found.select(*KEY, *own), KEY)
-    return flagged.withColumn("is_outlier", F.greatest(*names, F.lit(0))).drop(*names)
+        flagged, own = _extended(flagged, method)
+        names += [c for c in own if c.startswith("anomaly")]
+    return flagged.select(*df.columns, F.greatest(*names, F.lit(0)).alias("is_outlier"))
+
+
+def _extended(df: DataFrame, group: str) -> tuple[DataFrame, list[str]]:
+    """The frame with a group's columns beside its own; columns that it has already are left as they are."""
+    plan = CATALOG[group]
+    kept = tuple(c for c in df.columns if c not in KEY)
+    taken = {c for stage in plan.stages for c in stage} & set(kept)
+    # stages see what the group itself makes; a column of the same name waits under another one
+    hidden = df.select(*[F.col(c).alias(f"_held_{c}") if c in taken else F.col(c) for c in df.columns])
+    made = plan.apply(hidden, keep=tuple(f"_held_{c}" if c in taken else c for c in kept))
+    own = [c for c in made.columns if c not in (*KEY, *kept) and not c.startswith("_held_") and c not in taken]
+    return made.select(*KEY, *[F.col(f"_held_{c}").alias(c) if c in taken else F.col(c) for c in kept], *own), own
 
 
 @step("features")
@@ -72,10 +82,9 @@ def feature_frame(df: DataFrame, groups: Sequence[str] = GROUPS, target: str | N
     """All columns of the groups, computed in one chain over the same windows, with the target; rows without one left out."""
     frame = df
     for group in groups:
-        plan = CATALOG[group]
-        own = [c for stage in plan.stages for c in stage if c not in plan.hidden]
-        made = plan.apply(df).select(*KEY, *[c for c in own if c not in frame.columns])
-        frame = frame.join(made, KEY)
+        frame, _ = _extended(frame, group)
     if target:
-        frame = frame.join(CATALOG["w10_targets"].apply(df).select(*KEY, target), KEY).where(F.col(target).isNotNull())
+        names = frame.columns
+        frame, _ = _extended(frame, "w10_targets")
+        frame = frame.select(*names, target).where(F.col(target).isNotNull())
     return frame

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from candlery.operators import correlation, joins, learning, models, news, pipeline, registry, seasonality
 from candlery.operators.features import CATALOG
 from candlery.plans.candle_queries import DAILY_SQL, FOUR_HOURS_SQL, daily, four_hours
-from candlery.plans.twins import twin
+from candlery.plans.twins import TWINS, twin
 from candlery.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -316,6 +316,21 @@ O01_SQL = f"""with a as ({twin("o02_robust_outliers", FOUR_HOURS_SQL)}), r as ({
  anomaly_jump, anomaly_price, anomaly_ohlc, anomaly_zero_volume, anomaly_negative_volume, anomaly_volume, anomaly_flash, anomaly_reversal, anomaly_gap) as is_outlier from a join r on a.symbol = r.symbol and a.open_time = r.open_time"""
 
 
+def w16_sql() -> str:
+    """The groups' twins side by side, over bars that the pipeline has repaired; a name that two groups have counts once."""
+    cleaned = f"select f.symbol, f.open_time, b.open, f.high_clean as high, f.low_clean as low, f.close_clean as close, f.volume_clean as volume from ({CATALOG['f05_repaired'].sql(FOUR_HOURS_SQL)}) f join ({FOUR_HOURS_SQL}) b on f.symbol = b.symbol and f.open_time = b.open_time"
+    seen, columns, joins_ = {"symbol", "open_time", "open", "high", "low", "close", "volume"}, [], []
+    for k, group in enumerate([*pipeline.GROUPS, "w10_targets"]):
+        plan = CATALOG[group]
+        names = [c for stage in plan.stages for c in stage if c not in plan.hidden and c not in seen]
+        if group == "w10_targets":
+            names = ["target_return"]
+        seen |= set(names)
+        columns += [f"g{k}.{c}" for c in names]
+        joins_.append(f"join ({twin(group, 'select * from cleaned') if group in TWINS else plan.sql('select * from cleaned')}) g{k} on g{k}.symbol = c.symbol and g{k}.open_time = c.open_time")
+    return f"with cleaned as ({cleaned}) select c.symbol, c.open_time, c.open, c.high, c.low, c.close, c.volume, {', '.join(columns)} from cleaned c {' '.join(joins_)} where target_return is not null"
+
+
 def queries() -> dict[str, Query]:
     named = [
         s06_backfill_slices, s17_analysis_json, w16_feature_frame, o01_outlier_flags,
@@ -397,5 +412,5 @@ def oracle_sql() -> dict[str, str]:
         "a14_topic_trends": f"""with n as (select max(published_at) as newest from documents), b as (select doc_id, cast(floor(date_diff('second', published_at, newest) / 2592000) as bigint) as bucket from documents, n where published_at is not null),
  e as (select topic, bucket, count(*) as n, coalesce(sum(pos - neg) / nullif(sum(pos + neg), 0), 0) as mood from ({n05}) t join ({N01_SQL}) s on t.doc_id = s.doc_id join b on b.doc_id = t.doc_id group by 1, 2)
  select topic, bucket, n, round(mood, 6) as mood, round(case when lag(bucket) over w = bucket + 1 then mood - lag(mood) over w end, 4) as mood_change from e window w as (partition by topic order by bucket desc)""",
-        "s06_backfill_slices": S06_SQL, "o01_outlier_flags": O01_SQL, "l01_feature_scores": L01_SQL, "l05_sequences": L05_SQL,
+        "w16_feature_frame": w16_sql(), "s06_backfill_slices": S06_SQL, "o01_outlier_flags": O01_SQL, "l01_feature_scores": L01_SQL, "l05_sequences": L05_SQL,
     }
