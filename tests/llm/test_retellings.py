@@ -1,6 +1,7 @@
 """Problem 1: pairs against brute force, alignment against the textbook, groups."""
 
 import itertools
+import os
 import re
 from collections import Counter
 
@@ -137,3 +138,22 @@ def test_components_of_long_chains_and_stars(spark):
     found = {r.node: r.least for r in retellings.components(edges).collect()}
     expected = {k: 100 for k in range(100, 301)} | {k: 1_000 for k in [1_000, *range(2_000, 2_050)]} | {5: 5, 7: 5}
     assert found == expected
+
+
+# all pairs of items by the words they share, through an inverted index of words told apart by their occurrence.
+P1_FOUND_SQL = r"""with i as (select distinct news_id, regexp_extract_all(lower(concat_ws(' ', title, summary)), '([\p{L}\p{N}]+)', 1) as ws from news_items where news_id is not null),
+ d as (select news_id, ws, len(ws) as n from i where len(ws) > 0), w as (select news_id, n, unnest(ws) as word from d), l as (select news_id, n, word, row_number() over (partition by news_id, word) as k from w),
+ s as (select a.news_id as news_id_a, b.news_id as news_id_b, a.n as na, b.n as nb, count(*) as shared from l a join l b on a.word = b.word and a.k = b.k and a.news_id < b.news_id and a.n >= 0.7 * b.n and b.n >= 0.7 * a.n group by 1, 2, 3, 4)
+ select news_id_a, news_id_b from s where shared >= 0.7 * (na + nb - shared) - 1e-9"""
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data here")
+def test_recall_on_news(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    connection = duckdb.connect()
+    connection.execute(f"create view news_items as select * from '{folder}/news_items.parquet'")
+    expected = set(connection.execute(P1_FOUND_SQL).fetchall())
+    found = {tuple(r) for r in retellings.similar_pairs(spark.read.parquet(f"{folder}/news_items.parquet"), "news_id", "title", "summary").collect()}
+    assert found <= expected and len(found) >= 0.995 * len(expected) > 100
