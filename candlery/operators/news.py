@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # This project's own word lists.
-POSITIVE = "gain gains rose surge bullish growth profit rally adoption upgrade record strong doubled raised widest approved recover".split()
-NEGATIVE = "loss losses fell crash bearish decline hack exploit ban lawsuit weak paused rejected froze lost flaw slump fear".split()
+POSITIVE = """gain gains rose surge bullish growth profit rally adoption upgrade record strong doubled raised widest approved recover
+ зростав зросла подвоїла залучила прибуток gestiegen stieg verdoppelt gewinn monte double hausse bénéfice subía subió duplicó recaudó ganancia""".split()
+NEGATIVE = """loss losses fell crash bearish decline hack exploit ban lawsuit weak paused rejected froze lost flaw slump fear
+ втратила зупинила відхилила збиток знизила verloren gesenkt abgelehnt verlust gefallen perd rejette suspend baisse perte perdió rechazó suspendió bajó pérdida""".split()
 COINS = {"BTC": "btc|bitcoin", "ETH": "eth|ethereum|ether", "SOL": "sol|solana"}
 TOPICS = {
     "regulation": "court|filing|claim|licence|ban|law", "security": "hack|exploit|flaw|audit|multisig", "markets": "volume|spread|range|breakout|support|resistance",
@@ -20,8 +22,8 @@ STOP_WORDS = "a an the and or of in on at to by for with as is was it its this t
 
 
 def tokens(text: str) -> Column:
-    """Lower-case ASCII words of a text, in order; null texts have none."""
-    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("([a-z]+)"), F.lit(1))
+    """Lower-case words of a text of any script, in order; null texts have none."""
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
 
 
 def _count(words: str, listed: Sequence[str]) -> Column:
@@ -43,6 +45,15 @@ def mentions(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select("doc_id", F.explode(counts).alias("m")).select("doc_id", "m.*").where("n > 0")
 
 
+def named_mentions(documents: DataFrame, pattern: str = r"([\p{L}]+coin)(?![\p{L}])", text: str = "text") -> DataFrame:
+    """doc_id, coin, n, is_top: names that the pattern finds in each document and how often, the one named most marked (the
+    first by name among equals). Documents that name none have no row."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(pattern), F.lit(1))
+    counted = documents.select("doc_id", F.explode(found).alias("coin")).groupBy("doc_id", "coin").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "coin"))
+    return counted.withColumn("is_top", (place == 1).cast("long"))
+
+
 def topics(documents: DataFrame, text: str = "text", most: int = 3) -> DataFrame:
     """doc_id, topic, score, place: the up to three topics whose words occur most, min(1, 2 hits / words of the topic)."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))

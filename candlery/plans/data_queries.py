@@ -85,5 +85,20 @@ P4_SQL = f"""with {CELLS_SQL}, f as (select *, last_value(close ignore nulls) ov
  case when close is not null then 'observed' when filled is not null then 'filled' else 'missing' end as status from f"""
 
 
+# the exact rule of implausible bars by lists of neighbouring bars; it knows no decomposition and no outlier test
+_PW = "partition by feed_id, tf order by per"
+_PRICE = "case when close > 0 then close end"
+_CALM = ", ".join(f"{f}(case when abs(off) < 9 * tm then price end, {k}) over ({_PW}) as {n}{k}" for f, n in (("lag", "b"), ("lead", "a")) for k in (1, 2, 3))
+P5_FOUND_SQL = f"""with {BARS_SQL}, b as (select feed_id, tf, per, id, open, high, low, close, volume, {_PRICE} as price, list_sort(list_filter(list({_PRICE}) over ({_PW} rows between 3 preceding and 3 following), lambda v: v is not null)) as near,
+  last_value({_PRICE} ignore nulls) over ({_PW} rows between unbounded preceding and 1 preceding) as before, list({{'c': close, 'v': volume}}) over ({_PW} rows 5 preceding) as six from counting),
+ m as (select *, price - near[len(near) // 2 + 1] as off, abs(price - before) as move,
+  len(list_filter(six, lambda e: e.v > 0)) = 6 and (len(list_filter(six, lambda e: e.c = close)) = 6 or len(list_filter(six, lambda e: e.v = volume)) = 6) as run from b),
+ usual as (select feed_id, tf, quantile_disc(move, 0.5) as tm, quantile_disc(volume, 0.5) filter (volume > 0) as tv from m group by 1, 2),
+ n0 as (select m.*, tm, tv from m join usual s on m.feed_id is not distinct from s.feed_id and m.tf = s.tf), n as (select *, max(run) over ({_PW} rows between current row and 5 following) as stuck from n0), k as (select *, {_CALM} from n),
+ r as (select *, coalesce(b1, b2, b3) as before_, coalesce(a1, a2, a3) as after_ from k)
+ select id from r where least(open, high, low, close) <= 0 or volume < 0 or high < low or open > high or open < low or close > high or close < low or stuck
+  or (tm > 0 and (greatest(high, low, close) - greatest(before_, after_) >= 18 * tm or least(before_, after_) - least(high, low, close) >= 18 * tm) and before_ is not null and after_ is not null) or volume >= 10 * tv"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL, "p2_rolling": P2_SQL, "p4_found": P4_FOUND_SQL, "p4_grid": P4_SQL}
+    return {"p2_found": P2_FOUND_SQL, "p2_rolling": P2_SQL, "p4_found": P4_FOUND_SQL, "p4_grid": P4_SQL, "p5_found": P5_FOUND_SQL}

@@ -278,7 +278,7 @@ P07_SQL = f"""with b as ({FOUR_HOURS_SQL}), k as (select *, row_number() over (p
 
 # --- text
 
-WORDS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '([a-z]+)', 1)"
+WORDS_SQL = "regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}\\p{M}]+)', 1)"
 
 
 def _listed(words: list[str]) -> str:
@@ -356,6 +356,7 @@ def queries() -> dict[str, Query]:
         "v09_volatility_clustering": lambda s, d: correlation.autocorrelation(four_hours(s, d)),
         "n01_sentiment": lambda s, d: news.sentiment(documents(s, d)),
         "n03_mentions": lambda s, d: news.mentions(documents(s, d)),
+        "n03_named_mentions": lambda s, d: news.named_mentions(documents(s, d)),
         "n04_importance": lambda s, d: news.importance(documents(s, d)),
         "n05_topics": lambda s, d: news.topics(documents(s, d)),
         "n07_cleaned_words": lambda s, d: news.cleaned_words(documents(s, d)),
@@ -403,7 +404,9 @@ def oracle_sql() -> dict[str, str]:
         "s21_partial_update": S21_SQL, "s14_retained": S14_SQL, "s12_title_dedup": S12_SQL, "u01_unpivot_pivot": U01_SQL, "r03_detected_interval": R03_SQL, "r02_resampled": R02_SQL, "r04_weekly": R04_SQL,
         "f09_integrity": F09_SQL, "a01_weekday_stats": A01_SQL, "a02_monthly_stats": A02_SQL, "a03_volatility_seasons": A03_SQL, "a06_risk": A06_SQL, "a09_cycle_table": A09_SQL, "a10_trend_runs": A10_SQL,
         "r05_fibonacci": P04_SQL, "r07_trend_metrics": P07_SQL, "x01_correlation_matrix": X01_SQL, "x02_rank_correlation": X02_SQL, "x06_rolling_pairs": X06_SQL, "x10_leading_indicators": X10_SQL,
-        "v09_volatility_clustering": V09_SQL, "n01_sentiment": N01_SQL, "n03_mentions": f"select * from ({coins}) where n > 0", "n05_topics": n05, "n07_cleaned_words": N07_SQL,
+        "v09_volatility_clustering": V09_SQL, "n01_sentiment": N01_SQL, "n03_mentions": f"select * from ({coins}) where n > 0", "n05_topics": n05,
+        "n03_named_mentions": """with m as (select doc_id, unnest(list_filter(regexp_extract_all(lower(coalesce(text, '')), '([\\p{L}]+)', 1), lambda x: x like '_%coin')) as coin from documents), c as (select doc_id, coin, count(*) as n from m group by 1, 2)
+ select *, cast(row_number() over (partition by doc_id order by n desc, coin) = 1 as bigint) as is_top from c""", "n07_cleaned_words": N07_SQL,
         "n04_importance": f"""with d as ({N01_SQL}), x as (select doc_id, {coin_weight} + 0.4 * least({market}, 3.0) / 3 + case when regexp_matches({low}, '\\b(?:{news.ENTITIES})\\b') then 0.15 else 0 end as base from documents)
  select x.doc_id, round(cast(least(1.0, base + 0.2 * coalesce(abs((pos - neg) / nullif(pos + neg, 0)), 0)) as double), 6) as importance from x join d on x.doc_id = d.doc_id""",
         "n08_cosine": """with p as (select vec_id as probe_id, embedding::double[] as p from embeddings where vec_id % 100 = 0) select vec_id, probe_id,
