@@ -14,6 +14,9 @@ KEYS = {
     "correlation_pairs": ("symbol_a", "symbol_b", "kind", "timeframe"), "volatility_metrics": ("symbol", "timeframe", "open_time"), "market_cycles": ("symbol", "cycle_no"),
     "model_metadata": ("model_key",), "model_metrics": ("model_key", "metric", "test_date"), "model_forecasts": ("model_key", "forecast_date"), "predictions": ("model_key", "symbol", "timeframe", "target_at"),
     "technical_indicators": ("symbol", "timeframe", "open_time", "indicator"), "news_articles": ("link",), "sequences": ("symbol", "timeframe", "sequence_id", "position"),
+    "beta_series": ("symbol", "market", "open_time"), "regime_correlations": ("regime", "symbol_a", "symbol_b"), "leading_indicators": ("target", "candidate", "lag"), "cycle_similarity": ("symbol", "bars_back"),
+    "turning_points": ("symbol", "open_time", "kind"), "volatility_models": ("symbol", "model"), "trend_analysis": ("symbol", "timeframe"), "topics": ("topic",), "article_topics": ("link", "topic"),
+    "event_log": ("logged_at", "component", "message"), "model_files": ("model_key",),
 }
 
 
@@ -44,6 +47,31 @@ class Registry:
         """The pairs with the strongest correlation of either sign."""
         return self.latest("correlation_pairs").orderBy(F.desc(F.abs("corr")), *KEYS["correlation_pairs"]).limit(n)
 
+    def active(self, table: str, end: str = "end_at") -> DataFrame:
+        """The latest rows that aren't closed: those without an end."""
+        return self.latest(table).where(F.col(end).isNull())
+
+    def save_file(self, key: str, path: str, version: int) -> None:
+        """A file of a fitted model as one row of bytes under its key."""
+        rows = self.spark.read.format("binaryFile").load(path).select(F.lit(key).alias("model_key"), "path", "content", "length")
+        self.save("model_files", rows, version)
+
+    def log(self, component: str, level: str, message: str, version: int) -> None:
+        """One row of the event log, with the time it is written."""
+        row = self.spark.createDataFrame([(component, level, message)], "component string, level string, message string")
+        self.save("event_log", row.withColumn("logged_at", F.current_timestamp()), version)
+
+    def bootstrap(self, schemas: dict[str, str]) -> list[str]:
+        """Writes an empty version 0 of each table that has none yet, so that readers find its columns; the tables made."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        made = []
+        for table, schema in schemas.items():
+            at = path(f"{self.folder}/{table}")
+            if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+                self.save(table, self.spark.createDataFrame([], schema), 0)
+                made.append(table)
+        return made
+
     def with_actuals(self, actual: DataFrame) -> DataFrame:
         """Predictions joined to what came (symbol, target_at, actual), with the absolute error; open ones keep nulls."""
         joined = self.latest("predictions").join(actual, ["symbol", "target_at"], "left")

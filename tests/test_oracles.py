@@ -7,10 +7,10 @@ import os
 import duckdb
 import pytest
 
-from candlery.plans import candle_queries, data_queries, market_queries, model_queries, relation_queries, report_queries, summary_queries, trend_queries
+from candlery.plans import candle_queries, data_queries, market_queries, model_queries, relation_queries, report_queries, store_queries, summary_queries, trend_queries
 
 FOLDER = "/root/testdata/sf0.001"
-MODULES = (data_queries, candle_queries, market_queries, model_queries, relation_queries, report_queries, summary_queries, trend_queries)
+MODULES = (data_queries, candle_queries, market_queries, model_queries, relation_queries, report_queries, store_queries, summary_queries, trend_queries)
 TWINS = {name: (module, sql) for module in MODULES for name, sql in module.oracle_sql().items()}
 
 
