@@ -21,6 +21,17 @@ def along(keys: Sequence[str], time: str):
     return Window.partitionBy(*keys).orderBy(time)
 
 
+def so_far(keys: Sequence[str], time: str):
+    """This row and all before it."""
+    return along(keys, time).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def from_here(keys: Sequence[str], time: str):
+    """This row and all after it, the last one first: read backwards, a frame only grows, while one that ends with the
+    partition would be read anew for every row. Times of a series are distinct."""
+    return Window.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def with_statistics(df: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
     """The frame with aggregates of each series beside its rows. Series with a null key keep theirs."""
     held = df.groupBy(*keys).agg(*[v.alias(k) for k, v in values.items()])
@@ -174,14 +185,14 @@ def filled(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str]
         rows = with_statistics(df, keys, {f"_s_{c}": pick(c) for c in columns})
         return rows.withColumns({c: F.coalesce(F.col(c), F.col(f"_s_{c}")) for c in columns}).select(*df.columns)
     w = along(keys, time)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = so_far(keys, time), from_here(keys, time)
     rows = df.withColumns({"_rn": F.row_number().over(w), "_s": F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(time).cast("timestamp_ntz"))})
     around = {}
     for c in columns:
         known = lambda x, c=c: F.when(F.col(c).isNotNull(), F.col(x))
         around |= {f"_v0_{c}": F.last(c, True).over(back), f"_t0_{c}": F.last(known("_s"), True).over(back), f"_r0_{c}": F.last(known("_rn"), True).over(back)}
         if method == "interpolate":
-            around |= {f"_v1_{c}": F.first(c, True).over(ahead), f"_t1_{c}": F.first(known("_s"), True).over(ahead)}
+            around |= {f"_v1_{c}": F.last(c, True).over(ahead), f"_t1_{c}": F.last(known("_s"), True).over(ahead)}
     rows = rows.withColumns(around)
     out = {}
     for c in columns:
@@ -202,12 +213,12 @@ def filled_by_class(df: DataFrame, keys: Sequence[str], time: str, limit: int =
     kinds = column_classes(df, (*keys, time))
     prices = [c for c, k in kinds.items() if k == "price"]
     w = along(keys, time)
-    ends = {n: w.rowsBetween(*b) for n, b in (("back", (Window.unboundedPreceding, 0)), ("ahead", (0, Window.unboundedFollowing)))}
+    ends = {"back": so_far(keys, time), "ahead": from_here(keys, time)}
     rows = df.withColumns({"_rn": F.row_number().over(w), "_s": F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(time).cast("timestamp_ntz"))})
     around = {}
     for c in prices:
-        for n, pick, side in (("0", F.last, "back"), ("1", F.first, "ahead")):
-            around |= {f"_{k}{n}_{c}": pick(F.when(F.col(c).isNotNull(), F.col(x)), True).over(ends[side]) for k, x in (("v", c), ("t", "_s"), ("r", "_rn"))}
+        for n, side in (("0", "back"), ("1", "ahead")):
+            around |= {f"_{k}{n}_{c}": F.last(F.when(F.col(c).isNotNull(), F.col(x)), True).over(ends[side]) for k, x in (("v", c), ("t", "_s"), ("r", "_rn"))}
     rows = rows.withColumns(around)
     out = {}
     for c in prices:
@@ -220,7 +231,7 @@ def filled_by_class(df: DataFrame, keys: Sequence[str], time: str, limit: int =
         elif k == "mean":
             out[c] = F.coalesce(F.last(c, True).over(ends["back"]), F.lit(0.0))
         elif k in ("last", "text"):
-            out[c] = F.coalesce(F.last(c, True).over(ends["back"]), F.first(c, True).over(ends["ahead"]))
+            out[c] = F.coalesce(F.last(c, True).over(ends["back"]), F.last(c, True).over(ends["ahead"]))
     return rows.withColumns(out).select(*df.columns)
 
 
@@ -286,7 +297,6 @@ def anomaly_ready(df: DataFrame, keys: Sequence[str], time: str, columns: Sequen
 def without_nulls(df: DataFrame, keys: Sequence[str], time: str, columns: Sequence[str], binary: Sequence[str] = (), policy: str = "carry") -> DataFrame:
     """Feature columns without nulls: ``carry`` takes the last value, else the next, else zero; ``median`` that of the series,
     else zero. Binary columns get zero."""
-    w = along(keys, time)
     rest = [c for c in columns if c not in binary]
     flags = {c: F.coalesce(F.col(c), F.lit(0)) for c in binary}
     if policy == "median":
@@ -294,5 +304,5 @@ def without_nulls(df: DataFrame, keys: Sequence[str], time: str, columns: Sequen
         return rows.withColumns(flags | {c: F.coalesce(F.col(c), F.col(f"_s_{c}"), F.lit(0)) for c in rest}).select(*df.columns)
     if policy != "carry":
         raise ValueError(f"unknown policy: {policy}")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns(flags | {c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead), F.lit(0)) for c in rest})
+    back, ahead = so_far(keys, time), from_here(keys, time)
+    return df.withColumns(flags | {c: F.coalesce(F.last(c, True).over(back), F.last(c, True).over(ahead), F.lit(0)) for c in rest})

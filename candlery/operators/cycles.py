@@ -37,8 +37,8 @@ def event_position(bars: DataFrame, events: DataFrame, time: str = "open_time")
     both = days.withColumn("e", F.lit(None).cast(latest.schema["e"].dataType)).withColumn("is_day", F.lit(1)).unionByName(latest.withColumn("is_day", F.lit(0)))
     w = Window.orderBy("day", "is_day")  # days of a calendar, not bars
     at = F.when(F.col("is_day") == 0, F.col("day"))
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
-    placed = both.withColumns({"_at": F.last(at, True).over(before), "_next": F.first(at, True).over(after), "_e": F.last("e", True).over(before)}).where("is_day = 1")
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), Window.orderBy(F.desc("day"), F.desc("is_day")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumns({"_at": F.last(at, True).over(before), "_next": F.last(at, True).over(after), "_e": F.last("e", True).over(before)}).where("is_day = 1")
     since, until = F.datediff("day", F.col("_at")), F.datediff(F.col("_next"), F.col("day"))
     phase = F.try_divide(since, since + until)
     found = placed.select(

@@ -379,9 +379,9 @@ def repaired(k: float = 3.0) -> Features:
     one = {"hi": "greatest(high, low)", "lo": "least(high, low)", "q1": f"percentile(close, 0.25) over {WP}", "q3": f"percentile(close, 0.75) over {WP}", "med": f"percentile(close, 0.5) over {WP}", "vmed": f"percentile(volume, 0.5) over {WP}", "swapped": _bool("high < low")}
     one["at_s"] = ("cast(timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', open_time) as double)", "cast(epoch(open_time) as double)")
     two = {"kept": f"case when close < 0 then med when close > q3 + {k} * (q3 - q1) or close < greatest(q1 - {k} * (q3 - q1), 0) then null else close end", "volume_clean": "case when volume < 0 then vmed else volume end"}
-    back = f"({W} rows between current row and unbounded following)"
-    three = {"v0": f"last_value(kept) ignore nulls over {WC}", "v1": f"first_value(kept) ignore nulls over {back}", "kt": "case when kept is not null then at_s end"}
-    four = {"t0": f"last_value(kt) ignore nulls over {WC}", "t1": f"first_value(kt) ignore nulls over {back}"}
+    back = f"({W} desc rows between unbounded preceding and current row)"
+    three = {"v0": f"last_value(kept) ignore nulls over {WC}", "v1": f"last_value(kept) ignore nulls over {back}", "kt": "case when kept is not null then at_s end"}
+    four = {"t0": f"last_value(kt) ignore nulls over {WC}", "t1": f"last_value(kt) ignore nulls over {back}"}
     five = {"close_clean": "coalesce(kept, case when v0 is not null and v1 is not null and t1 > t0 then v0 + (v1 - v0) * (at_s - t0) / (t1 - t0) end, v0, v1)", "was_outlier": _bool("kept is null and close is not null")}
     six = {"high_clean": "greatest(hi, open, close_clean)", "low_clean": "least(lo, open, close_clean)"}
     return Features([one, two, three, four, five, six], whole={"swapped", "was_outlier"}, hidden={"hi", "lo", "q1", "q3", "med", "vmed", "at_s", "kept", *three, *four})

@@ -20,7 +20,9 @@ def asof(bars: DataFrame, events: DataFrame, keys: Sequence[str], at: str, event
     both = left.unionByName(right, allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy("_t", "_kind", "_event")
     before = F.last("_event", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_event", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    # read backwards: a frame that ends with the partition would be read anew for every row
+    backwards = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_event"))
+    after = F.last("_event", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1))
     found = both.withColumns({"_before": before, "_after": after}).where("_kind = 1")
     ends = {"prev": "_before", "next": "_after"}
     return found.select(*bars.columns, *[F.col(f"{x}.{c}").alias(f"{name}_{c}") for name, x in ends.items() for c in ("at", *payload)])
@@ -49,9 +51,9 @@ def aligned(bars: DataFrame, step_seconds: int) -> DataFrame:
     slots = spans.crossJoin(F.broadcast(common)).where("from <= to").select("symbol", F.explode(F.sequence("from", "to", F.lit(step_seconds).cast("long"))).alias("s"))
     both = slots.join(base, ["symbol", "s"], "full").withColumn("known", F.when(F.col("close").isNotNull(), F.col("s")))
     back = Window.partitionBy("symbol").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("symbol").orderBy("s").rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("symbol").orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
     both = both.select(
-        "symbol", "s", F.last("close", True).over(back).alias("v0"), F.first("close", True).over(ahead).alias("v1"), F.last("known", True).over(back).alias("t0"), F.first("known", True).over(ahead).alias("t1")
+        "symbol", "s", F.last("close", True).over(back).alias("v0"), F.last("close", True).over(ahead).alias("v1"), F.last("known", True).over(back).alias("t0"), F.last("known", True).over(ahead).alias("t1")
     )
     line = F.when(F.col("t1") > F.col("t0"), F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("s") - F.col("t0")) / (F.col("t1") - F.col("t0")))
     on_grid = both.join(slots, ["symbol", "s"], "left_semi")
