@@ -73,16 +73,17 @@ def test_moved_sentences_are_aligned():
 def test_recall_by_similarity(replaced, least):
     """Texts of 80 words, some replaced, with their sentences moved: how many pairs share a sketch."""
     rng = np.random.default_rng(3)
-    met, n = 0, 200
+    firsts, seconds, n = [], [], 2_000
     for _ in range(n):
         words = [f"w{k}" for k in rng.integers(0, 10**6, 80)]
         other = list(words)
         for k in rng.choice(80, replaced, replace=False):
             other[k] = f"n{rng.integers(10**6)}"
         first, second = (" ".join(w + ("." if k % 10 == 9 else "") for k, w in enumerate(x)) for x in (words, other))
-        second = " ".join(second.split(". ")[::-1])
-        a, b = (set(retellings.sketch_keys(*retellings.tokenised([t]))[0].tolist()) for t in (first, second))
-        met += bool(a & b)
+        firsts.append(first)
+        seconds.append(" ".join(second.split(". ")[::-1]))
+    keys = [set(zip(*(x.tolist() for x in retellings.sketch_keys(*retellings.tokenised(side))[::-1]), strict=True)) for side in (firsts, seconds)]
+    met = len({text for text, _ in keys[0] & keys[1]})
     assert met >= least * n
 
 
