@@ -144,10 +144,66 @@ def volatility_twin(ns: tuple[int, ...]) -> str:
 
 V01 = volatility_twin((14, 30))
 
+_RN = "with x as (select *, row_number() over (partition by symbol order by open_time) as rn from {b})"
+
+
+def _w08() -> str:
+    steps = {p: f"(select symbol, open_time, close, {_last(p + 1, 'close')} as l from {{b}})" for p in (1, 3, 7)}
+    parts, outs = [], []
+    for p in steps:
+        n = max(2, 5 * p)
+        parts.append(f"r{p} as (select symbol, open_time, close, l[1] as c, close / nullif(l[1], 0) - 1 as r from {steps[p]})")
+        parts.append(f"z{p} as (select *, list_filter(list(r) over ({W} rows {n - 1} preceding), lambda v: v is not null) as rs from r{p})")
+        z = f"case when len(z{p}.rs) >= {n // 2} then (z{p}.r - list_avg(z{p}.rs)) / nullif(list_stddev_samp(z{p}.rs), 0) end"
+        outs.append(f"round(z{p}.r, 6) as return_{p}p, round(ln(z{p}.close / nullif(z{p}.c, 0)), 6) as log_return_{p}p, round(z{p}.close - z{p}.c, 6) as abs_change_{p}p, cast(sign(z{p}.close - z{p}.c) as bigint) as direction_{p}p, round({z}, 6) as z_score_return_{p}p")
+    return f"with {', '.join(parts)} select z1.symbol, z1.open_time, {', '.join(outs)} from z1 join z3 using (symbol, open_time) join z7 using (symbol, open_time)"
+
+
+W08 = _w08()
+W10 = f"""{_RN}, k as (select symbol, rn, close / nullif(lag(close) over ({W}), 0) - 1 as r from x), f as (select a.symbol, a.rn, count(*) as n, max(n.high) as hi, min(n.low) as lo, stddev_samp(k.r) as sd from x a join x n on n.symbol = a.symbol and n.rn between a.rn + 1 and a.rn + 3 join k on k.symbol = n.symbol and k.rn = n.rn group by 1, 2)
+ select a.symbol, a.open_time, round(c3.close / nullif(a.close, 0) - 1, 6) as target_return, round(ln(c3.close / nullif(a.close, 0)), 6) as target_log_return, case when c3.close is not null then cast(c3.close > a.close as bigint) end as target_direction, round(c3.close, 6) as target_price,
+ round(case when f.n = 3 then (f.hi - f.lo) / nullif(a.close, 0) end, 6) as target_range, round(c1.close, 6) as target_close_1, round(c5.close, 6) as target_close_5, round(c10.close, 6) as target_close_10, round(a.close / nullif(p.close, 0) - 1, 6) as step_return, round(case when f.n = 3 then f.sd end, 6) as target_volatility
+ from x a left join f on f.symbol = a.symbol and f.rn = a.rn {" ".join(f"left join x c{k} on c{k}.symbol = a.symbol and c{k}.rn = a.rn + {k}" for k in (1, 3, 5, 10))} left join x p on p.symbol = a.symbol and p.rn = a.rn - 1"""
+W12 = f"""{_RN}, l as (select symbol, open_time, rn, {_last(5, "close")} as l5, {_last(20, "close")} as l20 from x), m as (select *, list_avg(l5) as f, list_avg(l20) as s from l), c as (select a.*, p.f - p.s as before, q.f as f3, q.s as s3 from m a left join m p on p.symbol = a.symbol and p.rn = a.rn - 1 left join m q on q.symbol = a.symbol and q.rn = a.rn - 3),
+ g as (select *, f > s and before <= 0 as golden, f < s and before >= 0 as death from c)
+ select symbol, open_time, round(f, 6) as fast, round(s, 6) as slow, round(f - s, 6) as diff, round(100 * (f / nullif(s, 0) - 1), 6) as rel_diff, cast(sign(f - s) as bigint) as state, cast(coalesce(golden, false) as bigint) as golden_cross, cast(coalesce(death, false) as bigint) as death_cross, round(f - f3 - s + s3, 6) as slope_diff,
+ rn - coalesce((select max(h.rn) from g h where h.symbol = g.symbol and h.rn <= g.rn and (h.golden or h.death)), 1) as bars_since_cross from g"""
+W14 = f"""with x as (select *, high - low as r, greatest(open, close) as top, least(open, close) as bottom, list(volume) over ({W} rows 23 preceding) as vs from {{b}})
+ select symbol, open_time, round(r / nullif(low, 0), 6) as range_pct, round(volume * low / nullif(r, 0), 6) as volume_per_range, cast(volume = 0 as bigint) as zero_volume, cast(r = 0 as bigint) as flat_candle, round(100 * (close / nullif(open, 0) - 1), 6) as price_change_pct, round((top - bottom) / nullif(r, 0), 6) as body_pct,
+ round((high - top) / nullif(r, 0), 6) as upper_shadow_pct, round((bottom - low) / nullif(r, 0), 6) as lower_shadow_pct, cast(coalesce((top - bottom) / nullif(open, 0) < 0.0005, false) as bigint) as is_doji, round(list_avg(vs), 6) as volume_ma_24, cast(volume > 3 * list_avg(vs) as bigint) as volume_spike from x"""
+G05 = """with x as (select *, row_number() over (partition by symbol order by open_time) as rn from {b}) select a.symbol, a.open_time, round(a.close - p.close, 6) as diff, round(ln(a.close), 6) as log_close, round(a.close / nullif(p.close, 0) - 1, 6) as pct, round(a.close - s.close, 6) as seasonal, round(a.high - a.low, 6) as high_low_range, round(a.close - a.open, 6) as open_close,
+ round(a.close - 2 * p.close + q.close, 6) as diff2, round(ln(a.close / nullif(p.close, 0)), 6) as log_diff, round(a.close - s.close - p.close + t.close, 6) as combo from x a left join x p on p.symbol = a.symbol and p.rn = a.rn - 1 left join x q on q.symbol = a.symbol and q.rn = a.rn - 2 left join x s on s.symbol = a.symbol and s.rn = a.rn - 6 left join x t on t.symbol = a.symbol and t.rn = a.rn - 7"""
+R01 = """with x as (select *, row_number() over (partition by symbol order by open_time) as rn from {b}), n as (select a.symbol, a.rn, count(*) as k, max(o.high) as hi, min(o.low) as lo from x a join x o on o.symbol = a.symbol and o.rn <> a.rn and abs(o.rn - a.rn) <= 5 group by 1, 2)
+ select x.symbol, x.open_time, cast(high > hi as bigint) as swing_high, cast(low < lo as bigint) as swing_low, round((high - hi) / nullif(high, 0), 6) as high_strength from x join n on n.symbol = x.symbol and n.rn = x.rn where k = 10 and (high > hi or low < lo)"""
+T09 = f"""with x as (select *, (high + low + close) / 3 as tp, case when high > low then ((close - low) - (high - close)) / (high - low) else 0 end as clv, case when close > lag(close) over ({W}) then volume when close < lag(close) over ({W}) then -volume else 0 end as sv, cast(open_time as date) as d from {{b}}),
+ s as (select a.symbol, a.open_time, sum(o.sv) as obv, sum(o.clv * o.volume) as ad, sum(o.tp * o.volume) filter (o.d = a.d) / nullif(sum(o.volume) filter (o.d = a.d), 0) as session from x a join x o on o.symbol = a.symbol and o.open_time <= a.open_time group by 1, 2),
+ l as (select symbol, open_time, sv, {", ".join(f"{_last(n, '{t: tp, v: volume}')} as l{n}" for n in (14, 30))} from x)
+ select l.symbol, l.open_time, round(obv, 6) as obv, round(sv, 6) as volume_delta, round(ad, 6) as accumulation, {", ".join(f"round(list_sum(list_transform(l{n}, lambda e: e.t * e.v)) / nullif(list_sum(list_transform(l{n}, lambda e: e.v)), 0), 6) as vwap_{n}" for n in (14, 30))}, round(session, 6) as vwap_session from l join s using (symbol, open_time)"""
+T16 = f"""with x as (select *, row_number() over ({W}) as rn, {", ".join(f"{_last(n, '{h: high, l: low}')} as l{n}" for n in (9, 26, 52))} from {{b}}), m as (select symbol, open_time, rn, close, {", ".join(f"(list_max(list_transform(l{n}, lambda e: e.h)) + list_min(list_transform(l{n}, lambda e: e.l))) / 2 as m{n}" for n in (9, 26, 52))} from x)
+ select a.symbol, a.open_time, round(a.m9, 6) as tenkan, round(a.m26, 6) as kijun, round(f.close, 6) as chikou_future, round((p.m9 + p.m26) / 2, 6) as senkou_a, round(p.m52, 6) as senkou_b from m a left join m f on f.symbol = a.symbol and f.rn = a.rn + 26 left join m p on p.symbol = a.symbol and p.rn = a.rn - 26"""
+
+_V9 = {5: "v5", 10: "v10", 20: "v20"}
+W09 = f"""with x as (select *, lag(volume) over ({W}) as pv, cast(open_time as date) as d, {", ".join(f"list(volume) over ({W} rows {n - 1} preceding) as v{n}" for n in _V9)} from {{b}}), y as (select *, {", ".join(f"lag(list_avg(v{n})) over ({W}) as p{n}" for n in _V9)}, (select sum(o.volume) from x o where o.symbol = x.symbol and cast(o.open_time as date) = x.d and o.open_time <= x.open_time) as day_sum from x)
+ select symbol, open_time, {", ".join(f"round(list_avg(v{n}), 6) as volume_ma_{n}" for n in _V9)}, round(volume - pv, 6) as volume_change, round((volume - pv) / nullif(pv, 0), 6) as volume_pct_change, round(day_sum, 6) as volume_day_sum, {", ".join(f"round(volume / nullif(list_avg(v{n}), 0), 6) as volume_rel_{n}" for n in _V9)},
+ {", ".join(f"case when len(v{n}) = {n} then round((volume - list_avg(v{n})) / nullif(list_stddev_samp(v{n}), 0), 6) end as volume_z_{n}" for n in _V9)}, {", ".join(f"round(list_avg(v{n}) / nullif(p{n}, 0) - 1, 6) as volume_ma_change_{n}" for n in _V9)}, cast(coalesce(volume > 2 * list_avg(v20), false) as bigint) as volume_anomaly from y"""
+T07 = f"""with x as (select *, lag({{'c': close, 'h': high, 'l': low}}) over ({W}) as p from {{b}}), y as (select *, case when p is null then high - low else greatest(high, p.c) - least(low, p.c) end as tr, high - p.h as up, p.l - low as down from x),
+ z as (select *, {_last(14, "tr")} as trs, {_last(14, "{u: case when up is not null then case when up > down and up > 0 then up else 0 end end, d: case when up is not null then case when down > up and down > 0 then down else 0 end end}")} as ms from y),
+ k as (select *, list_avg(trs) as atr, list_transform(ms, lambda e: e.u) as us, list_transform(ms, lambda e: e.d) as ds from z), q as (select *, case when len(list_filter(us, lambda v: v is not null)) = 14 then 100 * list_avg(us) / nullif(atr, 0) end as pdi, case when len(list_filter(ds, lambda v: v is not null)) = 14 then 100 * list_avg(ds) / nullif(atr, 0) end as mdi from k),
+ r as (select *, {_last(14, "100 * abs(pdi - mdi) / nullif(pdi + mdi, 0)")} as dxs from q) select symbol, open_time, round(tr, 6) as tr, round(atr, 6) as atr, round(pdi, 6) as plus_di, round(mdi, 6) as minus_di, case when len(list_filter(dxs, lambda v: v is not null)) = 14 then round(list_avg(dxs), 6) end as adx from r"""
+T10 = f"""with x as (select *, (high + low + close) / 3 as tp from {{b}}), y as (select *, {", ".join(f"lag(close, {n}) over ({W}) as c{n}" for n in (5, 10, 20))}, {_last(15, "high")} as hs, {_last(15, "low")} as ls, {_last(20, "tp")} as tps from x)
+ select symbol, open_time, {", ".join(f"round(100 * (close - c{n}) / nullif(c{n}, 0), 6) as roc_{n}" for n in (5, 10, 20))}, round(100.0 * (list_position(hs, list_max(hs)) - 1) / 14, 6) as aroon_up, round(100.0 * (list_position(ls, list_min(ls)) - 1) / 14, 6) as aroon_down,
+ round((tp - list_avg(tps)) / nullif(0.015 * list_avg(list_transform(tps, lambda v: abs(v - list_avg(tps)))), 0), 6) as cci_20 from y"""
+_R11 = {"high_low": "high / nullif(low, 0)", "close_open": "close / nullif(open, 0)", "volume_close": "volume / nullif(close, 0)"}
+W11 = f"""with x as (select symbol, open_time, {", ".join(f"{r} as {k}" for k, r in _R11.items())} from {{b}}), s as (select symbol, {", ".join(f"quantile_cont({k}, [0.01, 0.5, 0.99]) as q_{k}" for k in _R11)} from x group by 1)
+ select symbol, open_time, {", ".join(f"round(case when coalesce({k}, q_{k}[2]) < q_{k}[1] then q_{k}[1] when coalesce({k}, q_{k}[2]) > q_{k}[3] then q_{k}[3] else coalesce({k}, q_{k}[2]) end, 6) as ratio_{k}" for k in _R11)} from x join s using (symbol)"""
+M03 = """with s as (select symbol, avg(close) as mu, stddev_pop(close) as sd, min(close) as mn, max(close) as mx, quantile_cont(close, [0.25, 0.5, 0.75]) as q, min(volume) as vn, max(volume) as vx from {b} group by 1)
+ select symbol, open_time, round((close - mu) / nullif(sd, 0), 6) as close_z, round(0.01 + 0.99 * (close - mn) / nullif(mx - mn, 0), 6) as close_minmax, round((close - q[2]) / nullif(q[3] - q[1], 0), 6) as close_robust, round((volume - vn) / nullif(vx - vn, 0), 6) as volume_minmax, case when mx > mn then round(close, 6) end as close_back from {b} join s using (symbol)"""
+
 #: Name of the query -> its twin over bars named b.
 TWINS = {
     "k01_candle_patterns": K01, "c01_custom": C01, "y04_market_phase": Y04, "y05_bull_bear": Y05, "o02_robust_outliers": O02, "o05_domain_rules": O05, "t01_sma": T01, "t03_rsi_simple": T03,
     "t05_bollinger": T05, "t06_stochastic": T06, "w01_lagged": W01, "w02_rolling": W02, "v01_volatility": V01,
+    "w08_returns": W08, "w10_targets": W10, "w12_crossover": W12, "w14_microstructure": W14, "g05_stationary": G05, "r01_swings": R01, "t09_volume_indicators": T09, "t16_ichimoku": T16, "w09_volumes": W09, "t07_atr_adx": T07, "t10_momentum": T10, "w11_ratios": W11, "m03_normalized": M03,
 }
 
 
