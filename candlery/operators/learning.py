@@ -5,13 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import LDA, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,32 +103,48 @@ def news_clusters(items: DataFrame, hours: int = 24, similarity: float = 0.5, mo
     return placed.join(best, [*key, "cluster"]).select("doc_id", "window_start", "part", "cluster", "representative")
 
 
-def tuned_regression(features: DataFrame, columns: Sequence[str], label: str, folds: int = 3, seed: int = 42) -> DataFrame:
-    """reg, mix, rmse of each point of a grid, by cross-validation; the best first."""
-    rows = VectorAssembler(inputCols=list(columns), outputCol="features").transform(features.dropna(subset=[*columns, label])).select("features", F.col(label).alias("label"))
-    model = LinearRegression()
-    grid = ParamGridBuilder().addGrid(model.regParam, [0.0, 0.01, 0.1]).addGrid(model.elasticNetParam, [0.0, 0.5]).build()
-    fitted = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, seed=seed).fit(rows)
-    scores = [(float(p[model.regParam]), float(p[model.elasticNetParam]), float(s)) for p, s in zip(grid, fitted.avgMetrics, strict=True)]
+def tuned_regression(features: DataFrame, columns: Sequence[str], label: str, folds: int = 3) -> DataFrame:
+    """reg, mix, rmse of each point of a grid, by validation along time; the best first.
+
+    Time is cut into folds + 1 stretches with equally many rows; each but the first is predicted by a model of all before it.
+    """
+    rows = features.dropna(subset=[*columns, label])
+    cuts = rows.agg(F.percentile(F.unix_micros(F.col("open_time").cast("timestamp")), F.lit([k / (folds + 1) for k in range(1, folds + 1)])).alias("c")).first()["c"] or []
+    at = F.unix_micros(F.col("open_time").cast("timestamp"))
+    stretch = sum((F.when(at >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    packed = VectorAssembler(inputCols=list(columns), outputCol="features").transform(rows).select("features", F.col(label).alias("label"), stretch.alias("stretch")).persist()
+    scores = []
+    for reg in (0.0, 0.01, 0.1):
+        for mix in (0.0, 0.5):
+            errors = []
+            for k in range(1, folds + 1):
+                model = LinearRegression(regParam=reg, elasticNetParam=mix).fit(packed.where(F.col("stretch") < k))
+                errors.append(RegressionEvaluator(metricName="rmse").evaluate(model.transform(packed.where(F.col("stretch") == k))))
+            scores.append((reg, mix, float(np.mean(errors))))
+    packed.unpersist()
     return features.sparkSession.createDataFrame(scores, "reg double, mix double, rmse double").orderBy("rmse", "reg", "mix")
 
 
-def permutation_importance(features: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+def permutation_importance(features: DataFrame, columns: Sequence[str], label: str, share: float = 0.8) -> DataFrame:
     """feature, rise in squared error of a linear model when the feature's values are shuffled among the rows of a symbol.
 
-    Shuffled by a fixed hash order, so the result is the same in every run.
+    The model is fitted on the first ``share`` of each symbol's time and tried on the rest. Shuffled by a fixed hash order, so
+    the result is the same in every run.
     """
-    rows = features.dropna(subset=[*columns, label])
+    known = features.dropna(subset=[*columns, label])
+    place = F.percent_rank().over(Window.partitionBy("symbol").orderBy("open_time"))
+    known = known.withColumn("_place", place)
     pack = VectorAssembler(inputCols=list(columns), outputCol="features")
-    model = LinearRegression(labelCol=label).fit(pack.transform(rows))
-    mse = lambda d: F.avg((F.col(label) - F.col("prediction")) ** 2)
-    base = model.transform(pack.transform(rows)).agg(mse(rows).alias("base"))
+    model = LinearRegression(labelCol=label).fit(pack.transform(known.where(F.col("_place") < share)))
+    rows = known.where(F.col("_place") >= share)
+    mse = F.avg((F.col(label) - F.col("prediction")) ** 2)
+    base = model.transform(pack.transform(rows)).agg(mse.alias("base"))
     out = None
     for c in columns:
         order = Window.partitionBy("symbol").orderBy(F.xxhash64("open_time"))
-        place = Window.partitionBy("symbol").orderBy("open_time")
+        line = Window.partitionBy("symbol").orderBy("open_time")
         donors = rows.select("symbol", F.row_number().over(order).alias("rn"), F.col(c).alias("shuffled"))
-        mixed = rows.withColumn("rn", F.row_number().over(place)).join(donors, ["symbol", "rn"]).withColumn(c, F.col("shuffled"))
-        one = model.transform(pack.transform(mixed)).agg(mse(rows).alias("mse")).crossJoin(base).select(F.lit(c).alias("feature"), (F.col("mse") - F.col("base")).alias("importance"))
+        mixed = rows.withColumn("rn", F.row_number().over(line)).join(donors, ["symbol", "rn"]).withColumn(c, F.col("shuffled"))
+        one = model.transform(pack.transform(mixed)).agg(mse.alias("mse")).crossJoin(base).select(F.lit(c).alias("feature"), (F.col("mse") - F.col("base")).alias("importance"))
         out = one if out is None else out.union(one)
     return out

@@ -160,6 +160,18 @@ def forecast_arma(x: np.ndarray, p: int, q: int, beta: np.ndarray, rest: np.ndar
     return np.array(out)
 
 
+def psi_weights(p: int, q: int, beta: np.ndarray, steps: int, d: int = 0) -> np.ndarray:
+    """How a shock moves the value so many steps later (1 at once), of coefficients (constant, AR, MA) and d differences."""
+    ar, ma = np.asarray(beta[1 : 1 + p], float), np.asarray(beta[1 + p : 1 + p + q], float)
+    psi = np.zeros(steps)
+    psi[0] = 1.0
+    for j in range(1, steps):
+        psi[j] = (ma[j - 1] if j <= q else 0.0) + sum(ar[i - 1] * psi[j - i] for i in range(1, min(p, j) + 1))
+    for _ in range(d):
+        psi = np.cumsum(psi)
+    return psi
+
+
 def arima_forecast(bars: DataFrame, steps: int = 5, step_seconds: int = 14_400) -> DataFrame:
     """symbol, ahead, forecast, lower, upper and the chosen orders (d = 1 if the level isn't stationary)."""
 
@@ -174,7 +186,7 @@ def arima_forecast(bars: DataFrame, steps: int = 5, step_seconds: int = 14_400)
             return []
         ahead = forecast_arma(z, p, q, beta, rest, steps)
         value = x[-1] + np.cumsum(ahead) if d else ahead
-        width = 1.96 * rest.std() * np.sqrt(np.arange(1, steps + 1) if d else np.ones(steps))
+        width = 1.96 * rest.std() * np.sqrt(np.cumsum(psi_weights(p, q, beta, steps, d) ** 2))
         return [(i + 1, value[i], value[i] - width[i], value[i] + width[i], p, d, q) for i in range(steps)]
 
     return _per_symbol(bars, "ahead long, forecast double, lower double, upper double, p long, d long, q long", kernel)
@@ -266,7 +278,7 @@ def impulse_response(fits: DataFrame, horizons: tuple[int, ...] = (1, 2, 3, 4, 5
     return rows.select("symbol", "horizon", "base", shocked.alias("shocked"), "half_life")
 
 
-def isolation_scores(bars: DataFrame, trees: int = 100, sample: int = 256, seed: int = 42) -> DataFrame:
+def isolation_scores(bars: DataFrame, trees: int = 300, sample: int = 256, seed: int = 42) -> DataFrame:
     """symbol, open_time, score of an isolation forest on returns, range and volume (near 1: easily set apart)."""
 
     def kernel(rows: pd.DataFrame) -> dict:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candlery.operators import cleaning, cycles, models, resampling, summaries, transforms, trend
+from candlery.operators import cleaning, cycles, learning, models, resampling, summaries, transforms, trend
 from candlery.operators.features import CATALOG
 from candlery.operators.registry import Registry
 from candlery.sources import loading
@@ -140,3 +140,22 @@ def test_sources_by_name(spark, tmp_path):
         loading.load(spark, str(tmp_path), "flat")
     rows = bars(spark, [1.0, 2.0, 3.0]).withColumn("timeframe", F.lit("60m"))
     assert loading.scan_bars(rows, "1h", end="2024-01-01 01:00:00", limit=1, symbol="a").first().close == 2.0
+
+
+def test_forecast_bounds_widen_with_the_model():
+    ar = models.psi_weights(1, 0, np.array([0.0, 0.5]), 6)
+    assert np.allclose(ar, 0.5 ** np.arange(6))
+    ma = models.psi_weights(0, 1, np.array([0.0, 0.4]), 4)
+    assert np.allclose(ma, [1, 0.4, 0, 0])
+    walk = models.psi_weights(0, 0, np.array([0.0]), 5, 1)
+    assert np.allclose(np.cumsum(walk**2), np.arange(1, 6))
+
+
+def test_importance_and_tuning_along_time(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (200, 2))
+    rows = spark.createDataFrame([("a", T0 + timedelta(hours=i), *map(float, r), float(2 * r[0] + rng.normal(0, 0.1))) for i, r in enumerate(x)], "symbol string, open_time timestamp_ntz, u double, v double, y double")
+    found = {r.feature: r.importance for r in learning.permutation_importance(rows, ["u", "v"], "y").collect()}
+    assert found["u"] > 1 and abs(found["v"]) < 0.05
+    best = learning.tuned_regression(rows, ["u", "v"], "y").first()
+    assert best.reg == 0.0 and best.rmse < 0.15
