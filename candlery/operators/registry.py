@@ -100,3 +100,13 @@ def window_slices(spark: SparkSession, start: str, end: str, step: str) -> DataF
     """slice_start, slice_end of a backfill: half-open windows of ``step`` that cover the span without overlap."""
     span = spark.sql(f"select explode(sequence(timestamp_ntz'{start}', timestamp_ntz'{end}' - interval 1 microsecond, interval {step})) as slice_start")
     return span.select("slice_start", F.least(F.expr(f"slice_start + interval {step}"), F.expr(f"timestamp_ntz'{end}'")).alias("slice_end"))
+
+
+def remaining_slices(bars: DataFrame, keys: Sequence[str], closes: str, until: str, step: str) -> DataFrame:
+    """keys, slice_start, slice_end of what each series still lacks: from a millisecond after its last close to ``until``, in
+    windows of ``step``; a series that has all of it has no row."""
+    last = bars.groupBy(*keys).agg(F.max(closes).alias("_last")).where(F.col("_last").isNotNull())
+    start, end = F.expr("_last + interval 1 millisecond"), F.lit(until).cast("timestamp_ntz")
+    # the sequence excludes the end itself
+    slices = last.where(start < end).withColumn("slice_start", F.explode(F.sequence(start.cast("timestamp_ntz"), F.expr(f"timestamp_ntz'{until}' - interval 1 microsecond"), F.expr(f"interval {step}"))))
+    return slices.select(*keys, "slice_start", F.least(F.expr(f"slice_start + interval {step}"), end).alias("slice_end"))

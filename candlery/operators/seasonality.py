@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -118,3 +120,29 @@ def cycle_table(states: DataFrame) -> DataFrame:
         F.max_by("close", "open_time").alias("end_close"), F.max("close").alias("max_close"), F.min("close").alias("min_close"),
     )
     return found.withColumn("roi", F.round(F.try_divide("end_close", "start_close") - 1, 6))
+
+
+def period_seasonality(bars: DataFrame, part: str = "quarter", years: int = 3) -> DataFrame:
+    """symbol, period (month or quarter number), n, mean, sd, rising (share), best_year, worst_year, z, significant: returns from
+    the first to the last close of each period of the last ``years`` years with bars; z is that of a period's mean among the
+    means of its symbol (population deviation), significant beyond 1.96."""
+    if part not in ("month", "quarter"):
+        raise ValueError(f"unknown part: {part}")
+    last = bars.groupBy("symbol").agg(F.max(F.year("open_time")).alias("_last"))
+    number = F.month("open_time") if part == "month" else F.quarter("open_time")
+    rows = bars.join(last, "symbol").where(F.year("open_time") > F.col("_last") - years)
+    each = rows.groupBy("symbol", F.year("open_time").alias("year"), number.cast("long").alias("period")).agg(F.try_divide(F.max_by("close", "open_time"), F.min_by("close", "open_time")).alias("q"))
+    ret = F.col("q") - 1
+    found = each.groupBy("symbol", "period").agg(F.count("q").alias("n"), F.avg(ret).alias("mean"), F.stddev_samp(ret).alias("sd"), F.avg(F.when(ret > 0, 1.0).otherwise(0.0)).alias("rising"), F.max_by("year", "q").cast("long").alias("best_year"), F.min_by("year", "q").cast("long").alias("worst_year"))
+    w = Window.partitionBy("symbol")  # at most twelve rows a symbol
+    found = found.withColumn("z", F.try_divide(F.col("mean") - F.avg("mean").over(w), F.nullif(F.stddev_pop("mean").over(w), F.lit(0.0))))
+    return found.withColumn("significant", F.coalesce(F.abs("z") > 1.96, F.lit(False)).cast("long"))
+
+
+def segment_returns(rows: DataFrame, keys: Sequence[str], segment: str, time: str = "open_time") -> DataFrame:
+    """The rows with bar_no (from 1), roi (against the first close of the segment) and roi_z (standardised in the segment)."""
+    w = Window.partitionBy(*keys, segment)
+    order = w.orderBy(time)
+    placed = rows.where(F.col("close").isNotNull()).withColumns({"bar_no": F.row_number().over(order).cast("long"), "roi": F.try_divide("close", F.first("close").over(order.rowsBetween(Window.unboundedPreceding, 0))) - 1})
+    stats = placed.groupBy(*keys, segment).agg(F.avg("roi").alias("_m"), F.stddev_pop("roi").alias("_s"))
+    return placed.join(stats, [*keys, segment]).withColumn("roi_z", F.try_divide(F.col("roi") - F.col("_m"), F.nullif(F.col("_s"), F.lit(0.0)))).drop("_m", "_s")

@@ -151,3 +151,13 @@ def banded_predictions(predictions: DataFrame, share: float = 0.1) -> DataFrame:
     """Predictions with lower and upper: ``share`` of the value on either side, less as confidence nears 1."""
     width = F.abs("forecast") * share * (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)))))
     return predictions.withColumns({"lower": F.col("forecast") - width, "upper": F.col("forecast") + width})
+
+
+def cross_ratios(bars: DataFrame, over: Sequence[str], under: Sequence[str], keys: Sequence[str] = ("symbol", "open_time"), clip: float = 0.01) -> DataFrame:
+    """keys and a column for every pair of two different columns: their ratio, the symbol's median ratio where the lower one is zero,
+    clipped to the symbol's outer percentiles. All statistics come from one aggregation."""
+    pairs = {f"{a}_per_{b}": F.try_divide(a, F.nullif(F.col(b), F.lit(0.0))) for a in over for b in under if a != b}
+    rows = bars.select(*keys, *[x.alias(k) for k, x in pairs.items()])
+    cuts = rows.groupBy("symbol").agg(*[F.percentile(k, F.lit([clip, 0.5, 1 - clip])).alias(f"_{k}") for k in pairs])
+    held = {k: F.greatest(F.col(f"_{k}")[0], F.least(F.col(f"_{k}")[2], F.coalesce(F.col(k), F.col(f"_{k}")[1]))) for k in pairs}
+    return rows.join(cuts, "symbol").select(*keys, *[x.alias(k) for k, x in held.items()])

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlery.operators import cycles, resampling, summaries, transforms
+from candlery.operators import cycles, resampling, seasonality, summaries, transforms
 from candlery.operators.features import CATALOG
+from candlery.operators.registry import remaining_slices
 from candlery.plans.candle_queries import DAILY_SQL, FOUR_HOURS_SQL, daily, four_hours
 from candlery.plans.market_queries import K, KEYS, bars
 from candlery.plans.summary_queries import FC, _forecasts, _rounded
@@ -239,10 +240,51 @@ def o07_flagged_bars(spark: SparkSession, folder: str) -> DataFrame:
 
 O07_SQL = f"select symbol, open_time, z_close, z_volume from ({twin('o02_robust_outliers', FOUR_HOURS_SQL)}) where is_anomaly = 1"
 
+
+
+def j10_cross_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(transforms.cross_ratios(four_hours(spark, folder), ["high", "close"], ["low", "volume", "close"]))
+
+
+_PAIRS = [(a, b) for a in ("high", "close") for b in ("low", "volume", "close") if a != b]
+J10_SQL = f"""with r as (select symbol, open_time, {", ".join(f"{a} / nullif({b}, 0) as {a}_per_{b}" for a, b in _PAIRS)} from {B}), c as (select symbol, {", ".join(f"quantile_cont({a}_per_{b}, 0.01) as lo_{a}_{b}, median({a}_per_{b}) as mid_{a}_{b}, quantile_cont({a}_per_{b}, 0.99) as hi_{a}_{b}" for a, b in _PAIRS)} from r group by 1)
+ select symbol, open_time, {", ".join(f"round(case when coalesce({a}_per_{b}, mid_{a}_{b}) < lo_{a}_{b} then lo_{a}_{b} when coalesce({a}_per_{b}, mid_{a}_{b}) > hi_{a}_{b} then hi_{a}_{b} else coalesce({a}_per_{b}, mid_{a}_{b}) end, 6) as {a}_per_{b}" for a, b in _PAIRS)} from r join c using (symbol)"""
+
+
+def a02_quarter_seasons(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(seasonality.period_seasonality(daily(spark, folder), "quarter", 3))
+
+
+A02_SQL = f"""with d as (select *, max(year(open_time)) over (partition by symbol) as last_year from {D}), p as (select symbol, year(open_time) as y, quarter(open_time) as period, arg_max(close, open_time) / nullif(arg_min(close, open_time), 0) - 1 as r from d where year(open_time) > last_year - 3 group by 1, 2, 3),
+ g as (select symbol, period, count(*) as n, avg(r) as mean, stddev_samp(r) as sd, avg(cast(r > 0 as double)) as rising, arg_max(y, r) as best_year, arg_min(y, r) as worst_year from p group by 1, 2), z as (select *, (mean - avg(mean) over (partition by symbol)) / nullif(stddev_pop(mean) over (partition by symbol), 0) as z from g)
+ select symbol, period, n, round(mean, 6) as mean, round(sd, 6) as sd, round(rising, 6) as rising, best_year, worst_year, round(z, 6) as z, cast(coalesce(abs(z) > 1.96, false) as bigint) as significant from z"""
+
+
+def y07_event_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Returns since the latest upgrade, bar by bar, of every series of daily bars."""
+    rows = _days(spark, folder)
+    placed = cycles.event_position(rows, cycles.calendar_of(rows, cycles.UPGRADES)).select("feed_id", "tf", "open_time", "close", F.coalesce("event", F.lit("none")).alias("event"))
+    return _rounded(seasonality.segment_returns(placed, ["feed_id", "tf"], "event"), 5)
+
+
+Y07_SQL = f"""with ev as (select * from (values {_EV}) t(day, name, weight)), d as (select * from {DAYS} where close is not null), a as (select d.feed_id, d.tf, d.open_time, d.close, coalesce(p.name, 'none') as event from d asof left join ev p on cast(d.open_time as date) >= p.day),
+ r as (select *, row_number() over w as bar_no, close / nullif(first(close) over w, 0) - 1 as roi from a window w as (partition by feed_id, tf, event order by open_time))
+ select feed_id, tf, open_time, round(close, 5) as close, event, bar_no, round(roi, 5) as roi, round((roi - avg(roi) over (partition by feed_id, tf, event)) / nullif(stddev_pop(roi) over (partition by feed_id, tf, event), 0), 5) as roi_z from r"""
+
+
+def s06_remaining_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """What each feed lacks up to a day, in windows of a hundred days."""
+    rows = table(spark, folder, "btc_klines").withColumn("close_time", F.col("close_time").cast("timestamp_ntz"))
+    return remaining_slices(rows, ["feed_id"], "close_time", "2025-06-30 00:00:00", "100 days")
+
+
+S06_SQL = """with l as (select feed_id, max(close_time) + interval 1 millisecond as a from btc_klines group by 1), s as (select feed_id, unnest(generate_series(a, timestamp '2025-06-30 00:00:00' - interval 1 microsecond, interval 100 day)) as slice_start from l where a < timestamp '2025-06-30 00:00:00')
+ select feed_id, slice_start, least(slice_start + interval 100 day, timestamp '2025-06-30 00:00:00') as slice_end from s"""
+
 TWINS = {
     "y02_upgrade_cycles": Y02_SQL, "y03_outage_cycles": Y03_SQL, "y06_lag_correlations": f"with {_LAGS} select symbol, lag_days, n, round(corr, 6) as corr from c", "y06_cycle_length": Y06_SQL, "y12_events_of_symbol": Y12_SQL, "g02_fitted_transforms": G02_SQL,
     "g03_restored": G03_SQL, "g04_operations": G04_SQL, "g09_periodogram": G09_SQL, "l01_mutual_information": L01_SQL, "l01_eliminated": "", "l03_polynomial_features": L03_SQL, "l09_banded_predictions": L09_SQL, "s01_scanned": S01_SQL, "s02_loaded": S02_SQL,
-    "s08_filled_from_others": S08_SQL, "s15_parametrised": S15_SQL, "n12_stored_articles": N12_SQL, "n10_news_summary": N10_SQL, "o07_flagged_bars": O07_SQL,
+    "s08_filled_from_others": S08_SQL, "s15_parametrised": S15_SQL, "n12_stored_articles": N12_SQL, "n10_news_summary": N10_SQL, "o07_flagged_bars": O07_SQL, "j10_cross_ratios": J10_SQL, "a02_quarter_seasons": A02_SQL, "y07_event_segments": Y07_SQL, "s06_remaining_slices": S06_SQL,
 }
 
 
