@@ -193,3 +193,44 @@ def projected_turns(bars: DataFrame, reach: int = 10) -> DataFrame:
     full = F.count("*").over(w) == reach
     kind = F.when(full & (F.col("high") > F.max("high").over(w)), "top").when(full & (F.col("low") < F.min("low").over(w)), "bottom")
     return bars.select(*KEY, kind.alias("kind")).where("kind is not null")
+
+
+def chart_patterns(bars: DataFrame, reach: int = 5, alike: float = 0.05, depth: float = 0.02, flat: float = 0.05) -> DataFrame:
+    """symbol, kind, start_at, end_at, level, strength of double tops and bottoms and of triangles.
+
+    Two neighbouring swing highs within ``alike`` of their mean, with a swing low between them ``depth`` below the higher one
+    (as a share of that low), are a double top; double bottoms the same upside down. A triangle is judged at the end of each symbol, on its last three
+    swings of either side (two at least): highs within ``flat`` of their mean over lows that don't fall, or the reverse.
+    """
+    marked = CATALOG["r01_swings"].stacked(bars).select("symbol", "open_time", "high", "low", "swing_high", "swing_low")
+    sides = {"top": marked.where("swing_high = 1").select("symbol", "open_time", F.col("high").alias("price")), "bottom": marked.where("swing_low = 1").select("symbol", "open_time", F.col("low").alias("price"))}
+    out = None
+    for side, other, sign in (("top", "bottom", 1), ("bottom", "top", -1)):
+        pairs = sides[side].withColumns({"next_at": F.lead("open_time").over(_order()), "next_price": F.lead("price").over(_order())})
+        near = F.abs(F.col("price") - F.col("next_price")) < alike * (F.col("price") + F.col("next_price")) / 2
+        pairs = pairs.where(near).alias("p")
+        between = sides[other].select("symbol", F.col("open_time").alias("at"), F.col("price").alias("middle")).alias("m")
+        met = pairs.join(between, (F.col("p.symbol") == F.col("m.symbol")) & (F.col("at") > F.col("open_time")) & (F.col("at") < F.col("next_at")))  # swings of a symbol are few
+        pick, far = (F.min, F.greatest) if side == "top" else (F.max, F.least)
+        each = met.groupBy("p.symbol", "open_time", "next_at", "price", "next_price").agg(pick("middle").alias("middle"))
+        outer = far("price", "next_price")
+        move = F.try_divide(outer - F.col("middle"), F.col("middle")) if side == "top" else F.try_divide(F.col("middle") - outer, outer)
+        one = each.withColumn("move", move).where(F.col("move") > depth)
+        one = one.select("symbol", F.lit(f"double_{side}").alias("kind"), F.col("open_time").alias("start_at"), F.col("next_at").alias("end_at"), F.col("middle").alias("level"), F.least(F.lit(1.0), 20 * F.col("move")).alias("strength"))
+        out = one if out is None else out.unionByName(one)
+    last = {}
+    for side, rows in sides.items():
+        place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("open_time")))
+        held = rows.withColumn("k", place).where("k <= 3").groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("open_time", "price"))).alias(side))
+        last[side] = held.where(F.size(side) >= 2)
+    both = last["top"].join(last["bottom"], "symbol")
+    mean = lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + x["price"]) / F.size(s)
+    price = lambda s: F.transform(s, lambda x: x["price"])
+    spread = lambda s: (F.array_max(price(s)) - F.array_min(price(s))) / mean(s)
+    rising = price("bottom") == F.array_sort(price("bottom"))
+    falling = price("top") == F.sort_array(price("top"), False)
+    start, end = F.least(F.col("top")[0]["open_time"], F.col("bottom")[0]["open_time"]), F.greatest(F.element_at("top", -1)["open_time"], F.element_at("bottom", -1)["open_time"])
+    shapes = {"ascending_triangle": ((spread("top") < flat) & rising, mean("top")), "descending_triangle": ((spread("bottom") < flat) & falling, mean("bottom"))}
+    for kind, (holds, level) in shapes.items():
+        out = out.unionByName(both.where(holds).select("symbol", F.lit(kind).alias("kind"), start.alias("start_at"), end.alias("end_at"), level.alias("level"), F.lit(0.7).alias("strength")))
+    return out

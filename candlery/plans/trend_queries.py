@@ -170,10 +170,25 @@ def y10_projected_turns(spark: SparkSession, folder: str) -> DataFrame:
 Y10_SQL = f"""with x as (select symbol, open_time, high, low, list({{'h': high, 'l': low}}) over ({W} rows between 10 preceding and 1 preceding) as p from ({FOUR_HOURS_SQL})),
  y as (select symbol, open_time, case when high > list_max(list_transform(p, lambda e: e.h)) then 'top' when low < list_min(list_transform(p, lambda e: e.l)) then 'bottom' end as kind from x where len(p) = 10) select * from y where kind is not null"""
 
+def r10_chart_patterns(spark: SparkSession, folder: str) -> DataFrame:
+    """With a wider tolerance than prices need, since the values of events are no prices."""
+    found = trend.chart_patterns(four_hours(spark, folder), alike=0.3, flat=0.6)
+    return found.withColumns({c: F.round(c, 6) for c in ("level", "strength")})
+
+
+R10_SQL = f"""with b as (select *, row_number() over ({W}) as rn from ({FOUR_HOURS_SQL})), n as (select a.symbol, a.rn, count(*) as k, max(o.high) as hi, min(o.low) as lo from b a join b o on o.symbol = a.symbol and o.rn <> a.rn and abs(o.rn - a.rn) <= 5 group by 1, 2),
+ s as (select symbol, open_time, 'top' as side, high as v from b join n using (symbol, rn) where k = 10 and high > hi union all select symbol, open_time, 'bottom', low from b join n using (symbol, rn) where k = 10 and low < lo),
+ p as (select *, lead(v) over (partition by symbol, side order by open_time) as w, lead(open_time) over (partition by symbol, side order by open_time) as t from s),
+ q as (select p.*, (select case p.side when 'top' then min(m.v) else max(m.v) end from s m where m.symbol = p.symbol and m.side <> p.side and m.open_time > p.open_time and m.open_time < p.t) as mid from p where abs(v - w) < 0.3 * (v + w) / 2),
+ d as (select *, case side when 'top' then greatest(v, w) / nullif(mid, 0) - 1 else mid / nullif(least(v, w), 0) - 1 end as move from q),
+ l as (select symbol, side, list(v order by open_time) as vs, min(open_time) as a, max(open_time) as z from (select *, row_number() over (partition by symbol, side order by open_time desc) as r from s) where r <= 3 group by 1, 2 having count(*) >= 2),
+ j as (select h.symbol, h.vs as hs, o.vs as ls, least(h.a, o.a) as a, greatest(h.z, o.z) as z from l h join l o on h.symbol = o.symbol and h.side = 'top' and o.side = 'bottom')
+ select symbol, 'double_' || side as kind, open_time as start_at, t as end_at, round(mid, 6) as level, round(least(1, 20 * move), 6) as strength from d where move > 0.02
+ union all select symbol, 'ascending_triangle', a, z, round(list_avg(hs), 6), 0.7 from j where (list_max(hs) - list_min(hs)) / list_avg(hs) < 0.6 and ls = list_sort(ls) union all select symbol, 'descending_triangle', a, z, round(list_avg(ls), 6), 0.7 from j where (list_max(ls) - list_min(ls)) / list_avg(ls) < 0.6 and hs = list_reverse_sort(hs)"""
 TWINS = {
     "t02_recursive_indicators": T02_SQL, "w03_exponential": W03_SQL, "t15_supertrend": T15_SQL, "t14_parabolic_sar": "", "r20_trend_vote": f"with {_FRAME}, {_VOTE} select symbol, open_time, round(up_score, 5) as up_score, round(down_score, 5) as down_score, trend from vote",
     "r21_trend_strength": f"with {_FRAME}, {_STRENGTH} select symbol, open_time, round(strength, 6) as strength from strong", "r22_market_regime": f"with {_FRAME}, {_REGIME} select * from regime", "r23_divergences": R23_SQL,
-    "r24_trend_summary": R24_SQL, "r25_trend_sequences": R25_SQL, "r26_price_levels": R26_SQL, "r27_breakouts": R27_SQL, "y10_projected_turns": Y10_SQL,
+    "r24_trend_summary": R24_SQL, "r25_trend_sequences": R25_SQL, "r26_price_levels": R26_SQL, "r27_breakouts": R27_SQL, "y10_projected_turns": Y10_SQL, "r10_chart_patterns": R10_SQL,
 }
 
 
