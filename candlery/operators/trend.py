@@ -234,3 +234,23 @@ def chart_patterns(bars: DataFrame, reach: int = 5, alike: float = 0.05, depth:
     for kind, (holds, level) in shapes.items():
         out = out.unionByName(both.where(holds).select("symbol", F.lit(kind).alias("kind"), start.alias("start_at"), end.alias("end_at"), level.alias("level"), F.lit(0.7).alias("strength")))
     return out
+
+
+def six_signals(bars: DataFrame) -> DataFrame:
+    """symbol, open_time, six signals (1 buy, -1 sell, 0 neither or not known yet), good, bad and their majority.
+
+    Means of 9 and 20 bars, relative strength beyond 30 and 70, MACD against its signal line, stochastic lines under 20 or
+    over 80 that have turned, closes outside of the bands, and directional indexes in a trend (25 or more).
+    """
+    plain = Features([{"sma9": roll("avg", "close", 9), "sma20": roll("avg", "close", 20), "sd20": roll("stddev_samp", "close", 20)}]).stacked(bars)
+    rows = plain.join(atr_adx().apply(bars).select(*KEY, "plus_di", "minus_di", "adx"), KEY).join(CATALOG["t06_stochastic"].apply(bars), KEY)
+    rows = rows.join(recursive_indicators(bars).select(*KEY, "rsi_14", "macd", "macd_signal"), KEY)
+    c = F.col
+    sides = {
+        "s_means": (c("sma9") > c("sma20"), c("sma9") < c("sma20")), "s_rsi": (c("rsi_14") < 30, c("rsi_14") > 70), "s_macd": (c("macd") > c("macd_signal"), c("macd") < c("macd_signal")),
+        "s_stochastic": ((F.greatest("stoch_k", "stoch_d") < 20) & (c("stoch_k") > c("stoch_d")), (F.least("stoch_k", "stoch_d") > 80) & (c("stoch_k") < c("stoch_d"))),
+        "s_bands": (c("close") < c("sma20") - 2 * c("sd20"), c("close") > c("sma20") + 2 * c("sd20")), "s_adx": ((c("adx") > 25) & (c("plus_di") > c("minus_di")), (c("adx") > 25) & (c("plus_di") < c("minus_di"))),
+    }
+    made = rows.select(*KEY, *[F.when(up, 1).when(down, -1).otherwise(0).alias(k) for k, (up, down) in sides.items()])
+    count = lambda v: sum((F.when(c(k) == v, 1).otherwise(0) for k in sides), F.lit(0))
+    return made.withColumns({"good": count(1), "bad": count(-1)}).withColumn("majority", F.signum(c("good") - c("bad")).cast("int"))

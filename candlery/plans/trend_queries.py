@@ -170,6 +170,19 @@ def y10_projected_turns(spark: SparkSession, folder: str) -> DataFrame:
 Y10_SQL = f"""with x as (select symbol, open_time, high, low, list({{'h': high, 'l': low}}) over ({W} rows between 10 preceding and 1 preceding) as p from ({FOUR_HOURS_SQL})),
  y as (select symbol, open_time, case when high > list_max(list_transform(p, lambda e: e.h)) then 'top' when low < list_min(list_transform(p, lambda e: e.l)) then 'bottom' end as kind from x where len(p) = 10) select * from y where kind is not null"""
 
+def z02_six_signals(spark: SparkSession, folder: str) -> DataFrame:
+    return trend.six_signals(four_hours(spark, folder))
+
+
+_SIDES = {
+    "s_means": ("s9 > sma20", "s9 < sma20"), "s_rsi": ("rsi < 30", "rsi > 70"), "s_macd": ("macd > macd_signal", "macd < macd_signal"), "s_stochastic": ("k < 20 and d < 20 and k > d", "k > 80 and d > 80 and k < d"),
+    "s_bands": ("close < sma20 - 2 * sd20", "close > sma20 + 2 * sd20"), "s_adx": ("adx > 25 and pdi > mdi", "adx > 25 and pdi < mdi"),
+}
+Z02_SQL = f"""with {_FRAME}, k0 as (select *, {_mean("close", 9)} as s9, case when rn >= 14 then 100 * (close - min(low) over ({W} rows 13 preceding)) / nullif(max(high) over ({W} rows 13 preceding) - min(low) over ({W} rows 13 preceding), 0) end as raw from fr),
+ k1 as (select *, {_mean("raw", 3)} as k from k0), k2 as (select *, {_mean("k", 3)} as d from k1), v as (select symbol, open_time, {", ".join(f"case when {a} then 1 when {b} then -1 else 0 end as {n}" for n, (a, b) in _SIDES.items())} from k2),
+ c as (select *, {" + ".join(f"cast({n} = 1 as int)" for n in _SIDES)} as good, {" + ".join(f"cast({n} = -1 as int)" for n in _SIDES)} as bad from v) select *, cast(sign(good - bad) as int) as majority from c"""
+
+
 def r10_chart_patterns(spark: SparkSession, folder: str) -> DataFrame:
     """With a wider tolerance than prices need, since the values of events are no prices."""
     found = trend.chart_patterns(four_hours(spark, folder), alike=0.3, flat=0.6)
@@ -188,7 +201,7 @@ R10_SQL = f"""with b as (select *, row_number() over ({W}) as rn from ({FOUR_HOU
 TWINS = {
     "t02_recursive_indicators": T02_SQL, "w03_exponential": W03_SQL, "t15_supertrend": T15_SQL, "t14_parabolic_sar": "", "r20_trend_vote": f"with {_FRAME}, {_VOTE} select symbol, open_time, round(up_score, 5) as up_score, round(down_score, 5) as down_score, trend from vote",
     "r21_trend_strength": f"with {_FRAME}, {_STRENGTH} select symbol, open_time, round(strength, 6) as strength from strong", "r22_market_regime": f"with {_FRAME}, {_REGIME} select * from regime", "r23_divergences": R23_SQL,
-    "r24_trend_summary": R24_SQL, "r25_trend_sequences": R25_SQL, "r26_price_levels": R26_SQL, "r27_breakouts": R27_SQL, "y10_projected_turns": Y10_SQL, "r10_chart_patterns": R10_SQL,
+    "r24_trend_summary": R24_SQL, "r25_trend_sequences": R25_SQL, "r26_price_levels": R26_SQL, "r27_breakouts": R27_SQL, "y10_projected_turns": Y10_SQL, "r10_chart_patterns": R10_SQL, "z02_six_signals": Z02_SQL,
 }
 
 
