@@ -87,3 +87,17 @@ def cycle_length(correlations: DataFrame) -> DataFrame:
     rows = correlations.where("corr is not null").withColumn("peak", F.coalesce(peak, F.lit(False)))
     best = F.max(F.struct("peak", "corr", (-F.col("lag_days")).alias("back"))).alias("b")
     return rows.groupBy("symbol").agg(best).select("symbol", (-F.col("b.back")).alias("lag_days"), F.col("b.corr").alias("corr"))
+
+
+def one_hot(rows: DataFrame, column: str, values: Sequence, names: Sequence[str] | None = None) -> DataFrame:
+    """The rows with a 0/1 column for each known value of one column; a value that isn't known has zeros alone."""
+    names = names or [f"{column}_{v}" for v in values]
+    return rows.withColumns({n: F.coalesce((F.col(column) == F.lit(v)).cast("long"), F.lit(0).cast("long")) for n, v in zip(names, values, strict=True)})
+
+
+def calendar_waves(rows: DataFrame, time: str = "open_time") -> DataFrame:
+    """The rows with day of week, month, quarter and day of month, and sine and cosine of the weekday, month and week of the year."""
+    t = F.col(time)
+    parts = {"weekday_no": F.weekday(t).cast("long"), "month_no": F.month(t).cast("long"), "quarter_no": F.quarter(t).cast("long"), "day_no": F.day(t).cast("long")}
+    waves = {"weekday": (F.weekday(t), 7), "month": (F.month(t) - 1, 12), "week": (F.weekofyear(t), 52)}
+    return rows.withColumns(parts | {f"{n}_{k}": f(2 * F.pi() * x / period) for n, (x, period) in waves.items() for k, f in (("sin", F.sin), ("cos", F.cos))})

@@ -113,3 +113,12 @@ def cosine(vectors: DataFrame, probe: str = "probe") -> DataFrame:
     both = vectors.crossJoin(probes)
     value = F.try_divide(dot("embedding", "p"), F.nullif(F.sqrt(dot("embedding", "embedding")) * F.sqrt(dot("p", "p")), F.lit(0.0)))
     return both.select("vec_id", "probe_id", F.round(value, 5).alias("cosine"))
+
+
+def enriched(documents: DataFrame) -> DataFrame:
+    """doc_id, score, label, importance, topic (the likeliest, null without any), coin (named most, null without any): the whole
+    analysis of each document. Every step keeps one row a document, so all join on doc_id alone."""
+    found = sentiment(documents).select("doc_id", "score", "label").join(importance(documents), "doc_id")
+    best = topics(documents).where("place = 1").select("doc_id", "topic")
+    coin = named_mentions(documents).where("is_top = 1").select("doc_id", "coin")
+    return found.join(best, "doc_id", "left").join(coin, "doc_id", "left")

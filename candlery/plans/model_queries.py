@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlery.operators import cycles, resampling, seasonality, summaries, transforms
+from candlery.operators import cycles, news, resampling, seasonality, summaries, transforms
 from candlery.operators.features import CATALOG
 from candlery.operators.registry import remaining_slices
+from candlery.plans import relation_queries
 from candlery.plans.candle_queries import DAILY_SQL, FOUR_HOURS_SQL, daily, four_hours
 from candlery.plans.market_queries import K, KEYS, bars
 from candlery.plans.summary_queries import FC, _forecasts, _rounded
@@ -281,10 +282,33 @@ def s06_remaining_slices(spark: SparkSession, folder: str) -> DataFrame:
 S06_SQL = """with l as (select feed_id, max(close_time) + interval 1 millisecond as a from btc_klines group by 1), s as (select feed_id, unnest(generate_series(a, timestamp '2025-06-30 00:00:00' - interval 1 microsecond, interval 100 day)) as slice_start from l where a < timestamp '2025-06-30 00:00:00')
  select feed_id, slice_start, least(slice_start + interval 100 day, timestamp '2025-06-30 00:00:00') as slice_end from s"""
 
+def n11_enriched(spark: SparkSession, folder: str) -> DataFrame:
+    return news.enriched(table(spark, folder, "documents"))
+
+
+_N = relation_queries.oracle_sql()
+N11_SQL = f"""select s.doc_id, s.score, s.label, i.importance, t.topic, c.coin from ({_N["n01_sentiment"]}) s join ({_N["n04_importance"]}) i on s.doc_id = i.doc_id left join (select doc_id, topic from ({_N["n05_topics"]}) where place = 1) t on t.doc_id = s.doc_id
+ left join (select doc_id, coin from ({_N["n03_named_mentions"]}) where is_top = 1) c on c.doc_id = s.doc_id"""
+
+
+def w07_cycle_calendar(spark: SparkSession, folder: str) -> DataFrame:
+    """Daily bars with calendar waves, market phase and bull or bear state as 0/1 columns."""
+    rows = daily(spark, folder)
+    found = CATALOG["y04_market_phase"].apply(rows).join(CATALOG["y05_bull_bear"].apply(rows).select("symbol", "open_time", "is_bull"), ["symbol", "open_time"])
+    found = cycles.one_hot(found, "phase", [1, 2, 3, 4], ["accumulation", "uptrend", "distribution", "downtrend"])
+    found = cycles.one_hot(found, "is_bull", [1, 0], ["bull", "bear"])
+    return _rounded(cycles.calendar_waves(found).drop("phase", "is_bull"))
+
+
+_WAVES = {"weekday": ("isodow(open_time) - 1", 7), "month": ("month(open_time) - 1", 12), "week": ("weekofyear(open_time)", 52)}
+W07_SQL = f"""select p.symbol, p.open_time, {", ".join(f"cast(phase = {k} as bigint) as {n}" for k, n in ((1, "accumulation"), (2, "uptrend"), (3, "distribution"), (4, "downtrend")))}, cast(coalesce(is_bull = 1, false) as bigint) as bull, cast(coalesce(is_bull = 0, false) as bigint) as bear,
+ isodow(p.open_time) - 1 as weekday_no, month(p.open_time) as month_no, quarter(p.open_time) as quarter_no, day(p.open_time) as day_no, {", ".join(f"round({f}(2 * pi() * ({x.replace('open_time', 'p.open_time')}) / {k}), 6) as {n}_{f}" for n, (x, k) in _WAVES.items() for f in ("sin", "cos"))}
+ from ({twin("y04_market_phase", DAILY_SQL)}) p join ({twin("y05_bull_bear", DAILY_SQL)}) b on p.symbol = b.symbol and p.open_time = b.open_time"""
+
 TWINS = {
     "y02_upgrade_cycles": Y02_SQL, "y03_outage_cycles": Y03_SQL, "y06_lag_correlations": f"with {_LAGS} select symbol, lag_days, n, round(corr, 6) as corr from c", "y06_cycle_length": Y06_SQL, "y12_events_of_symbol": Y12_SQL, "g02_fitted_transforms": G02_SQL,
     "g03_restored": G03_SQL, "g04_operations": G04_SQL, "g09_periodogram": G09_SQL, "l01_mutual_information": L01_SQL, "l01_eliminated": "", "l03_polynomial_features": L03_SQL, "l09_banded_predictions": L09_SQL, "s01_scanned": S01_SQL, "s02_loaded": S02_SQL,
-    "s08_filled_from_others": S08_SQL, "s15_parametrised": S15_SQL, "n12_stored_articles": N12_SQL, "n10_news_summary": N10_SQL, "o07_flagged_bars": O07_SQL, "j10_cross_ratios": J10_SQL, "a02_quarter_seasons": A02_SQL, "y07_event_segments": Y07_SQL, "s06_remaining_slices": S06_SQL,
+    "s08_filled_from_others": S08_SQL, "s15_parametrised": S15_SQL, "n12_stored_articles": N12_SQL, "n10_news_summary": N10_SQL, "o07_flagged_bars": O07_SQL, "j10_cross_ratios": J10_SQL, "n11_enriched": N11_SQL, "w07_cycle_calendar": W07_SQL, "a02_quarter_seasons": A02_SQL, "y07_event_segments": Y07_SQL, "s06_remaining_slices": S06_SQL,
 }
 
 
