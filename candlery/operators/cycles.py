@@ -74,7 +74,7 @@ def lag_correlations(bars: DataFrame, first: int = 7, last: int = 365, least: in
     pairs. Returns are joined to themselves by row number, one row for each lag."""
     w = Window.partitionBy("symbol").orderBy("open_time")
     rows = bars.select("symbol", F.row_number().over(w).alias("rn"), (F.try_divide("close", F.lag("close").over(w)) - 1).alias("x")).where("x is not null")
-    later = rows.select("symbol", F.col("rn").alias("at"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("lag_days"))
+    later = rows.select("symbol", F.col("rn").alias("at"), F.col("x").alias("y"), F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("lag_days"))
     pairs = later.join(rows, (later["symbol"] == rows["symbol"]) & (later["at"] - later["lag_days"] == rows["rn"])).select(later["symbol"], "lag_days", "x", "y")
     return pairs.groupBy("symbol", "lag_days").agg(F.count("*").alias("n"), safe_corr("x", "y").alias("corr")).where(F.col("n") >= least)
 

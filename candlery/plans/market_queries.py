@@ -81,7 +81,7 @@ def f07_column_report(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.column_report(table(spark, folder, "btc_klines"), [*cleaning.BARS, "turnover"])
 
 
-F07_SQL = " union all ".join(f"select '{c}' as column_name, 1 as present, count({c}) as known, count(*) filter ({c} < 0) as negative, count(*) filter (isinf({c})) as infinite from btc_klines" for c in cleaning.BARS) + " union all select 'turnover', 0, null, null, null"
+F07_SQL = " union all ".join(f"select '{c}' as column_name, cast(1 as bigint) as present, count({c}) as known, count(*) filter ({c} < 0) as negative, count(*) filter (isinf({c})) as infinite from btc_klines" for c in cleaning.BARS) + " union all select 'turnover', cast(0 as bigint), null, null, null"
 
 
 def f08_integrity_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -155,7 +155,7 @@ def r05_auto_resampled(spark: SparkSession, folder: str) -> DataFrame:
     return _out(resampling.auto_resampled(bars(spark, folder), KEYS, "open_time", 60), *cleaning.BARS)
 
 
-R05_SQL = " union all ".join(f"select feed_id, tf, time_bucket(interval {n} second, open_time, timestamp '1970-01-01 00:00:00') as open_time, arg_max(id, open_time) as id, {_AGG}, {n} as length_s from {K} group by 1, 2, 3" for n in (300, 900, 3600, 14400))
+R05_SQL = " union all ".join(f"select feed_id, tf, time_bucket(interval {n} second, open_time, timestamp '1970-01-01 00:00:00') as open_time, arg_max(id, open_time) as id, {_AGG}, cast({n} as bigint) as length_s from {K} group by 1, 2, 3" for n in (300, 900, 3600, 14400))
 
 
 def _days(spark: SparkSession, folder: str) -> DataFrame:

@@ -137,7 +137,7 @@ def r25_trend_sequences(spark: SparkSession, folder: str) -> DataFrame:
 
 _CODES = " ".join(f"when '{r}' then {i}" for i, r in enumerate(trend.REGIMES))
 R25_SQL = f"""with {_FRAME}, {_REGIME}, y as (select symbol, open_time, rn, (close - min(low) over {SO_FAR}) / nullif(max(high) over {SO_FAR} - min(low) over {SO_FAR}, 0) as x from b),
- z as (select symbol, open_time, list(x) over ({W} rows 29 preceding) as xs, rn from y) select symbol, open_time, array_to_string(list_transform(xs, lambda v: format('{{:.4f}}', v)), ',') as closes, case regime {_CODES} end as regime_code from z join regime using (symbol, open_time) where len(list_filter(xs, lambda v: v is not null)) = 30"""
+ z as (select symbol, open_time, list(x) over ({W} rows 29 preceding) as xs, rn from y) select symbol, open_time, array_to_string(list_transform(xs, lambda v: format('{{:.4f}}', v)), ',') as closes, cast(case regime {_CODES} end as bigint) as regime_code from z join regime using (symbol, open_time) where len(list_filter(xs, lambda v: v is not null)) = 30"""
 
 
 def r26_price_levels(spark: SparkSession, folder: str) -> DataFrame:
