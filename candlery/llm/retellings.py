@@ -29,6 +29,8 @@ KEY_BITS = np.uint64(48)
 #: Texts or pairs that one step works on, and cells of the alignment table that advance together.
 TEXTS, CELLS = 2_000, 1 << 18
 _kinds = np.full(0x110000, UNKNOWN, np.uint8)
+#: What a code point adds to the hash of its word, before the power of its place; 0 outside words.
+_parts = np.zeros(0x110000, np.uint64)
 
 
 def _kind(c: str) -> int:
@@ -46,6 +48,7 @@ def _kinds_of(codes: np.ndarray) -> np.ndarray:
     fresh = np.unique(codes[kinds == UNKNOWN])
     if len(fresh):
         _kinds[fresh] = [_kind(chr(c)) for c in fresh.tolist()]
+        _parts[fresh] = np.where(_kinds[fresh] == WORD, _mixed(fresh.astype(np.uint64) * _GOLDEN), np.uint64(0))
         kinds = _kinds[codes]
     return kinds
 
@@ -56,38 +59,51 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def tokenised(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words of many texts as one run of 64-bit hashes, the number of each text's words, and which words begin a sentence.
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.full(n, base, np.uint64))
+
+
+#: Powers 1, 2, ... of the odd factor and of its inverse modulo 2⁶⁴, for as many code points as most steps have.
+_UP, _DOWN = _powers(_GOLDEN, 1 << 21), _powers(np.uint64(pow(int(_GOLDEN), -1, 1 << 64)), 1 << 21)
+
+
+def _words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of many texts as one run, the number of each text's words; kinds of all code points, and the
+    place of each word in them.
 
     Words are the longest runs of letters and digits of the lower-cased text. All texts are cut at once, by arrays over
     their code points.
     """
     lowered = [t.lower() for t in texts]
-    sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
-    codes = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    bounds = np.cumsum(np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1)
+    codes = np.frombuffer((" ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.intp)
     kinds = _kinds_of(codes)
-    inside = kinds == WORD
-    edges = np.flatnonzero(np.diff(inside, prepend=False))
-    starts, ends = edges[::2], edges[1::2]
+    edges = np.flatnonzero(np.diff(kinds == WORD, prepend=False))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(lowered), np.int64), np.zeros(0, bool)
-    lengths = ends - starts
-    first = np.cumsum(lengths) - lengths
-    offset = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    powers = np.multiply.accumulate(np.full(int(lengths.max()), _GOLDEN, np.uint64))
-    hashes = _mixed(np.add.reduceat(_mixed(codes[inside] * _GOLDEN) * powers[offset], first) + lengths.astype(np.uint64))
-    owner = np.searchsorted(np.cumsum(sizes), starts, "right")
-    # a sentence begins after a mark and a space, after a mark that needs none, and with the text
-    spots = np.flatnonzero((kinds == MARK) | (kinds == WIDE_MARK))
-    last = np.searchsorted(spots, starts) - 1
-    since = np.concatenate([[0], ends[:-1]])
-    marked = (last >= 0) & (spots[last] >= since) if len(spots) else np.zeros(len(starts), bool)
-    spaces = np.flatnonzero(kinds == SPACE)
-    spaced = np.searchsorted(spaces, starts) - 1
-    where = spots[last] if len(spots) else starts
-    begins = marked & ((kinds[where] == WIDE_MARK) | ((spaced >= 0) & (spaces[spaced] > where)))
-    begins |= np.diff(owner, prepend=-1) != 0
-    return hashes, np.bincount(owner, minlength=len(lowered)), begins
+        return np.zeros(0, np.uint64), np.zeros(len(lowered), np.int64), kinds, starts
+    # powers count from the first code point of all; the inverse takes back what lies before a word
+    n = len(codes)
+    up, down = (_UP, _DOWN) if n <= len(_UP) else (_powers(_UP[0], n), _powers(_DOWN[0], n))
+    sums = np.add.reduceat(_parts[codes] * up[:n], starts)
+    sums *= np.where(starts > 0, down[starts - 1], np.uint64(1))
+    return _mixed(sums + lengths.astype(np.uint64)), np.diff(np.searchsorted(starts, bounds), prepend=0), kinds, starts
+
+
+def tokenised(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of many texts as one run of 64-bit hashes, the number of each text's words, and which words begin a sentence."""
+    hashes, lengths, kinds, starts = _words(texts)
+    begins = np.zeros(len(hashes), bool)
+    begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    # a sentence begins after a mark and a space, after a mark that needs none, and with the text; the last mark counts
+    spots = np.flatnonzero(kinds >= MARK)
+    follows = np.searchsorted(starts, spots)
+    last = np.append(follows[1:] != follows[:-1], True)[: len(spots)] & (follows < len(starts))
+    spots, follows = spots[last], follows[last]
+    spaces = np.append(-1, np.flatnonzero(kinds == SPACE))
+    spaced = spaces[np.searchsorted(spaces, starts[follows]) - 1] > spots
+    begins[follows[spaced | (kinds[spots] == WIDE_MARK)]] = True
+    return hashes, lengths, begins
 
 
 def class_of(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -119,16 +135,22 @@ def in_sentence_order(hashes: np.ndarray, doc: np.ndarray, begins: np.ndarray) -
 
 def _labelled(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Tokens told apart by their occurrence in their text: the first, the second and so on of equal words differ."""
-    order = np.argsort((doc.astype(np.uint64) << np.uint64(52)) | (tokens >> np.uint64(12)), kind="stable")
-    t, d = tokens[order], doc[order]
+    key = (doc.astype(np.uint64) << np.uint64(52)) | (tokens >> np.uint64(12))
+    order = np.argsort(key)
+    key = key[order]
+    same = np.zeros(len(key), bool)
+    same[1:] = key[1:] == key[:-1]
+    same[:-1] |= same[1:]
+    # the sort is not stable: only words that come again are put in the order of the text
+    again = order[same]
+    again = again[np.lexsort((again, key[same]))]
+    t, d = tokens[again], doc[again]
     fresh = np.ones(len(t), bool)
     fresh[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
     starts = np.flatnonzero(fresh)
     occurrence = np.arange(len(t)) - np.repeat(starts, np.diff(np.append(starts, len(t))))
-    out = np.empty(len(t), np.uint64)
-    out[order] = t
-    again = occurrence > 0
-    out[order[again]] = _mixed(t[again] + _mixed(occurrence[again].astype(np.uint64) * _GOLDEN))
+    out, later = tokens.copy(), occurrence > 0
+    out[again[later]] = _mixed(t[later] + _mixed(occurrence[later].astype(np.uint64) * _GOLDEN))
     return out
 
 
@@ -139,29 +161,32 @@ def _keys(matrix: np.ndarray, seeds: Sequence[int], minima: int, ordered: bool)
     """
     pad = matrix == _PAD
     width = matrix.shape[1]
-    position = np.arange(width)
     half = (matrix >> np.uint64(32)).astype(np.uint32)
     narrow = width <= 1 << 12
     kind, low, most = (np.uint32, 0xFFF, 0xFFFFFFFF) if narrow else (np.uint64, 0xFFFFFFFF, 2**64 - 1)
+    position = np.where(pad, kind(most), np.arange(width, dtype=kind))
+    labels = np.where(pad, np.uint64(0), matrix).ravel()
     powers = np.multiply.accumulate(np.full(minima, _GOLDEN, np.uint64)) if ordered else np.ones(minima, np.uint64)
-    rows, out = np.arange(len(matrix))[:, None], np.empty((len(matrix), len(seeds)), np.uint64)
+    first, least = np.arange(len(matrix))[:, None] * width, np.empty((len(seeds), len(matrix), min(minima, width)), kind)
+    x, y = np.empty_like(half), np.empty_like(half)
     for s, seed in enumerate(seeds):
-        x = half * np.uint32((2 * seed + 1) & 0xFFFFFFFF)
-        x ^= x >> np.uint32(16)
-        x *= np.uint32(0x7FEB352D)
-        x &= np.uint32(0xFFFFF000)
-        if not narrow:
-            x = x.astype(np.uint64) << np.uint64(32)
-        x |= position.astype(kind)
-        x[pad] = kind(most)
-        least = np.partition(x, minima - 1, axis=1)[:, :minima] if width > minima else x
-        none = least == most
-        place = np.where(none, width, least & kind(low)).astype(np.int64)
-        if ordered:
-            place.sort(axis=1)
-        label = np.where(place == width, np.uint64(0), matrix[rows, np.minimum(place, width - 1)])
-        out[:, s] = _mixed((label * powers[: label.shape[1]]).sum(axis=1, dtype=np.uint64) + np.uint64(seed)) >> (np.uint64(64) - KEY_BITS)
-    return out
+        np.multiply(half, np.uint32((2 * seed + 1) & 0xFFFFFFFF), out=x)
+        np.right_shift(x, np.uint32(16), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.multiply(x, np.uint32(0x7FEB352D), out=x)
+        np.bitwise_and(x, np.uint32(0xFFFFF000), out=x)
+        z = x if narrow else x.astype(np.uint64) << np.uint64(32)
+        z |= position
+        if width > minima:
+            z.partition(minima - 1, axis=1)
+        least[s] = z[:, :minima]
+    least &= kind(low)
+    if ordered:
+        least.sort(axis=2)
+    # places beyond the row are those of rows with too few words, whose last place is empty
+    labels = labels[first + np.minimum(least, kind(width - 1)).astype(np.int64)]
+    sums = (labels * powers[: labels.shape[2]]).sum(axis=2, dtype=np.uint64) + np.array(seeds, np.uint64)[:, None]
+    return (_mixed(sums) >> (np.uint64(64) - KEY_BITS)).T
 
 
 def sketch_keys(hashes: np.ndarray, lengths: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,48 +282,65 @@ def _at(lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return _moved(chosen, np.cumsum(lengths) - lengths, lengths)
 
 
+def _shared(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, numbers: int) -> np.ndarray:
+    """How many words the texts of each pair share, counted as often as they occur in both: one sort of numbers that hold
+    the pair, the word and, in the last bit, the side."""
+    kind = np.uint32 if 2 * len(la) * numbers < 1 << 32 else np.uint64
+    sides = []
+    for side, (n, x) in enumerate(((la, a), (lb, b))):
+        keys = np.repeat(np.arange(len(n), dtype=kind) * kind(2 * numbers), n)
+        keys += x.astype(kind) * kind(2) + kind(side)
+        sides.append(keys)
+    keys = np.sort(np.concatenate(sides))
+    words = keys >> kind(1)
+    fresh = np.ones(len(words), bool)
+    fresh[1:] = words[1:] != words[:-1]
+    runs = np.flatnonzero(fresh)
+    if not len(runs):
+        return np.zeros(len(la), np.int64)
+    second = np.add.reduceat((keys & kind(1)).astype(np.int64), runs)
+    both = np.minimum(np.diff(np.append(runs, len(words))) - second, second)
+    return np.bincount((words[runs] // kind(numbers)).astype(np.int64), weights=both, minlength=len(la)).astype(np.int64)
+
+
 def judged_pairs(first: Sequence[str], second: Sequence[str], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(edits, similar) of pairs of texts; edits is -1 where no alignment within the band proves them similar.
 
-    The sentences of one text are put in the order of the other's, then words are aligned: with so few insertions and
-    deletions that enough words are kept, the texts are similar. Where the alignment can't show it, shared words are
-    counted exactly.
+    Shared words are counted exactly; only the pairs that have enough of them are aligned, as an alignment keeps no other
+    words: the sentences of one text are put in the order of the other's, then words are aligned, with so few insertions
+    and deletions that enough words are kept. A text of several pairs is cut once.
     """
-    ha, la, fa = tokenised(first)
-    hb, lb, fb = tokenised(second)
-    known, ids = np.unique(np.concatenate([ha, hb]), return_inverse=True)
-    a, b = ids[: len(ha)].astype(np.int64), ids[len(ha) :].astype(np.int64)
+    texts: dict[str, int] = {}
+    of = np.fromiter((texts.setdefault(t, len(texts)) for side in (first, second) for t in side), np.int64, len(first) + len(second))
+    hashes, lengths, begins = tokenised(list(texts))
+    known, words = np.unique(hashes, return_inverse=True)
+    ia, ib = of[: len(first)], of[len(first) :]
+    la, lb = lengths[ia], lengths[ib]
     enough = np.ceil(threshold / (1 + threshold) * (la + lb) - 1e-9).astype(np.int64)
     edits, similar = np.full(len(la), -1, np.int64), np.zeros(len(la), bool)
     chosen = np.flatnonzero((np.minimum(la, lb) >= enough) & (enough > 0))
+    shared = _shared(words[_at(lengths, ia[chosen])], la[chosen], words[_at(lengths, ib[chosen])], lb[chosen], len(known) + 1)
+    chosen = chosen[shared >= enough[chosen]]
+    if not len(chosen):
+        return edits, similar
+    similar[chosen] = True
     chosen = chosen[np.argsort(np.maximum(la, lb)[chosen], kind="stable")]
     # the text with more sentences is the one whose sentences can be moved to where they are in the other
-    sentences = [np.bincount(np.repeat(np.arange(len(n)), n), weights=f, minlength=len(n)) for n, f in ((la, fa), (lb, fb))]
-    more = sentences[0] > sentences[1]
+    sentences = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=begins, minlength=len(lengths))
+    more = sentences[ia] > sentences[ib]
     at = 0
     while at < len(chosen):
         size = max(1, CELLS // (2 * int((np.maximum(la, lb) - enough)[chosen[at]]) + 8))
         part = chosen[at : at + size]
         at += len(part)
-        for side, moving in ((more[part], (a, la, fa, b, lb)), (~more[part], (b, lb, fb, a, la))):
+        for side, (i, j) in ((more[part], (ia, ib)), (~more[part], (ib, ia))):
             p = part[side]
             if len(p):
-                x, lx, fx, y, ly = moving
-                xs, ys = x[_at(lx, p)], y[_at(ly, p)]
-                xs = _in_order_of(ys, ly[p], xs, lx[p], fx[_at(lx, p)], len(known) + 1)
-                edits[p] = banded_edits(ys, ly[p], xs, lx[p], (np.maximum(la, lb) - enough)[p])
+                ix, iy = _at(lengths, i[p]), _at(lengths, j[p])
+                xs = _in_order_of(words[iy], lengths[j[p]], words[ix], lengths[i[p]], begins[ix], len(known) + 1)
+                edits[p] = banded_edits(words[iy], lengths[j[p]], xs, lengths[i[p]], (np.maximum(la, lb) - enough)[p])
     # so many words are kept by the alignment
-    similar = (edits >= 0) & (la + lb - edits >= 2 * enough)
-    edits[~similar] = -1
-    rest = chosen[~similar[chosen]]
-    if len(rest):
-        counts = []
-        for n, x in ((la, a), (lb, b)):
-            counts.append(np.unique(np.repeat(np.arange(len(rest)), n[rest]) * (len(known) + 1) + x[_at(n, rest)], return_counts=True))
-        (ua, na), (ub, nb) = counts
-        _, ka, kb = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
-        shared = np.bincount(ua[ka] // (len(known) + 1), weights=np.minimum(na[ka], nb[kb]), minlength=len(rest))
-        similar[rest] = shared >= enough[rest]
+    edits[(edits < 0) | (la + lb - edits < 2 * enough)] = -1
     return edits, similar
 
 
@@ -312,7 +354,7 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _class(texts: pa.Array) -> pa.Array:
     found = []
     for at in range(0, len(texts), TEXTS):
-        hashes, lengths, _ = tokenised(texts.slice(at, TEXTS).to_pylist())
+        hashes, lengths, _, _ = _words(texts.slice(at, TEXTS).to_pylist())
         found.append(class_of(hashes, lengths).view(np.int64))
     return pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
 
@@ -349,8 +391,8 @@ def similar_classes(classes: DataFrame, threshold: float = SIMILARITY) -> DataFr
     """cls_a < cls_b, edits (null if many) of the pairs of classes whose texts are similar.
 
     Order MinHash sketches of the words, sentences in an order of their own, put texts into buckets; texts that share one
-    are candidates. A banded alignment of their words, sentence by sentence, proves most of them similar; the exact count
-    of shared words decides the rest. Buckets hold each class once and are joined, not collected, so adaptive execution
+    are candidates. The exact count of shared words decides; a banded alignment, sentence by sentence, gives the edits of
+    those that are similar. Buckets hold each class once and are joined, not collected, so adaptive execution
     splits a large one.
     """
     buckets = classes.mapInArrow(_buckets, "key long not null, cls long not null")

@@ -69,6 +69,42 @@ def test_moved_sentences_are_aligned():
     assert keys[0] == keys[1]
 
 
+def test_candidates_cost_no_more_than_they_need(monkeypatch):
+    """A text of several candidate pairs is cut once; only similar pairs are aligned."""
+    rng = np.random.default_rng(5)
+    one = [f"w{k}" for k in rng.integers(0, 10**6, 60)]
+    near, far = one[:55] + ["x"] * 5, one[:30] + [f"v{k}" for k in range(30)]
+    texts = [" ".join(x) for x in (one, near, far)]
+    first, second = [texts[0]] * 10, [texts[1]] + [texts[2]] * 9
+    cut, aligned = [], []
+    words, edits = retellings.tokenised, retellings.banded_edits
+    monkeypatch.setattr(retellings, "tokenised", lambda x: cut.extend(x) or words(x))
+    monkeypatch.setattr(retellings, "banded_edits", lambda a, la, *rest: aligned.extend(la.tolist()) or edits(a, la, *rest))
+    found = retellings.judged_pairs(first, second, 0.7)
+    assert found[0].tolist() == [10] + [-1] * 9 and found[1].tolist() == [True] + [False] * 9
+    assert sorted(cut) == sorted(texts) and aligned == [60]
+
+
+def test_pairs_against_counted_words():
+    """Words that come again, moved words, empty texts: similar is what the counts say, edits never say more."""
+    rng = np.random.default_rng(11)
+    words = [rng.integers(0, 30, rng.integers(0, 40)).astype(str).tolist() for _ in range(400)]
+    others = [rng.permutation(edited(rng, w, int(rng.integers(0, 12)))).tolist() if k % 2 else edited(rng, w, int(rng.integers(0, 12))) for k, w in enumerate(words)]
+    edits, similar = retellings.judged_pairs([" ".join(w) for w in words], [" ".join(w) for w in others], 0.7)
+    for a, b, e, s in zip(words, others, edits.tolist(), similar.tolist(), strict=True):
+        shared, total = sum((Counter(a) & Counter(b)).values()), sum((Counter(a) | Counter(b)).values())
+        assert s == (total > 0 and shared / total >= 0.7 - 1e-9)
+        assert e == -1 or (s and len(a) + len(b) - e <= 2 * shared)
+    assert 100 < similar.sum() < 400
+
+
+def test_sketches_of_long_and_empty_texts():
+    sentences = [" ".join(f"s{k}w{j}" for j in range(50)) + "." for k in range(100)]
+    keys, owners = retellings.sketch_keys(*retellings.tokenised([" ".join(sentences), "", " ".join(sentences[::-1])]))
+    assert set(owners.tolist()) == {0, 2} and set(keys[owners == 0].tolist()) == set(keys[owners == 2].tolist())
+    assert [len(x) for x in retellings.sketch_keys(*retellings.tokenised(["", "..."]))] == [0, 0]
+
+
 @pytest.mark.parametrize(("replaced", "least"), [(12, 0.6), (10, 0.85), (8, 0.95)])
 def test_recall_by_similarity(replaced, least):
     """Texts of 80 words, some replaced, with their sentences moved: how many pairs share a sketch."""
