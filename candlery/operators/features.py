@@ -259,20 +259,26 @@ def candle_patterns(tolerance: float = 0.001) -> Features:
     return Features([one, two, three, {k: _bool(v) for k, v in flags.items()}], whole={*flags, "direction"}, hidden=hidden)
 
 
-def volatility(windows: tuple[int, ...] = (14, 30), year: int = 365) -> Features:
-    """Close-to-close, Parkinson, Garman-Klass and Yang-Zhang estimators, annualised, and breakouts of the first."""
+def volatility(windows: tuple[int, ...] = (14, 30), year: int = 365, gaps: bool = False) -> Features:
+    """Close-to-close, Parkinson, Garman-Klass and Yang-Zhang estimators, annualised, and breakouts of the first.
+
+    With ``gaps`` a bar without a range (a price of 0) is left out of the means of a full window, which has no value else;
+    and Garman-Klass, else 0 where its mean isn't known, is null there.
+    """
     co, hl = log(ratio("close", "open")), log(ratio("high", "low"))
     one = {
         "lr": LOGRET, "pk": f"power({hl}, 2) / {4 * natural(2)}", "gk": f"0.5 * power({hl}, 2) - {2 * natural(2) - 1} * power({co}, 2)",
         "overnight": f"{log('open')} - {log(lag('close'))}", "oc": co, "rs": f"{log(ratio('high', 'close'))} * {log(ratio('high', 'open'))} + {log(ratio('low', 'close'))} * {log(ratio('low', 'open'))}",
     }
+    over = (lambda fn, x, n: f"case when count(*) over {frame(n)} = {n} then {fn}({x}) over {frame(n)} end") if gaps else roll
     two = {}
     for n in windows:
+        gk = over("avg", "gk", n)
         two |= {
             f"hist_vol_{n}": f"{roll('stddev_samp', 'lr', n)} * sqrt({year})",
-            f"parkinson_{n}": f"sqrt({roll('avg', 'pk', n)} * {year})",
-            f"garman_klass_{n}": f"sqrt(greatest({roll('avg', 'gk', n)}, 0) * {year})",
-            f"yang_zhang_{n}": f"sqrt(({roll('var_samp', 'overnight', n)} + 0.34 * {roll('var_samp', 'oc', n)} + 0.66 * {roll('avg', 'rs', n)}) * {year})",
+            f"parkinson_{n}": f"sqrt({over('avg', 'pk', n)} * {year})",
+            f"garman_klass_{n}": f"sqrt((case when {gk} < 0 then 0 else {gk} end) * {year})" if gaps else f"sqrt(greatest({gk}, 0) * {year})",
+            f"yang_zhang_{n}": f"sqrt(({roll('var_samp', 'overnight', n)} + 0.34 * {over('var_samp', 'oc', n)} + 0.66 * {over('avg', 'rs', n)}) * {year})",
         }
     n = windows[0]
     three = {f"vol_mean_{n}": roll("avg", f"hist_vol_{n}", 20), f"vol_sd_{n}": roll("stddev_samp", f"hist_vol_{n}", 20), "vol_of_vol": roll("stddev_samp", f"hist_vol_{n}", n), "rel_vol": ratio(f"hist_vol_{n}", f"hist_vol_{windows[-1]}")}

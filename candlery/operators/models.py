@@ -325,12 +325,24 @@ def regimes(features: DataFrame, column: str, k: int = 3, seed: int = 42) -> Dat
 
 
 def principal_components(features: DataFrame, columns: list[str], k: int = 2) -> DataFrame:
-    """symbol, open_time, pc_1..pc_k of standardised columns (signs are arbitrary, so the first loading is made positive)."""
-    rows = _vectors(features, columns)
-    model = PCA(k=k, inputCol="features", outputCol="pcs").fit(rows)
-    sign = [1.0 if model.pc.toArray()[0, i] >= 0 else -1.0 for i in range(k)]
-    values = vector_to_array("pcs")
-    return model.transform(rows).select("symbol", "open_time", *[(values[i] * sign[i]).alias(f"pc_{i + 1}") for i in range(k)])
+    """symbol, open_time, pc_1..pc_k of standardised columns for every row (signs are arbitrary, so the first loading is made positive).
+
+    A missing value counts as the median of its column, as in the reference; a column without any value is left out of account.
+    There are no more components than columns or rows: those beyond are null.
+    """
+    rows = features.select("symbol", "open_time", *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    found = rows.agg(F.count("*").alias("n"), *[F.median(c).alias(c) for c in columns]).first()
+    rows = rows.fillna({c: 0.0 if found[c] is None else found[c] for c in columns})
+    have = min(k, len(columns), found["n"])
+    if found["n"] < 2:  # nothing to fit: a single row is the mean
+        parts = [F.lit(0.0)] * have
+    else:
+        rows = _vectors(rows, columns)
+        model = PCA(k=have, inputCol="features", outputCol="pcs").fit(rows)
+        rows, values, loadings = model.transform(rows), vector_to_array("pcs"), model.pc.toArray()
+        parts = [values[i] * (1.0 if loadings[0, i] >= 0 else -1.0) for i in range(have)]
+    parts += [F.lit(None).cast("double")] * (k - have)
+    return rows.select("symbol", "open_time", *[x.alias(f"pc_{i + 1}") for i, x in enumerate(parts)])
 
 
 def return_regression(features: DataFrame, columns: list[str], label: str, share: float = 0.8) -> DataFrame:

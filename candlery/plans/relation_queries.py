@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from candlery.operators import correlation, joins, learning, models, news, pipeline, registry, seasonality
-from candlery.operators.features import CATALOG
+from candlery.operators.features import CATALOG, volatility
 from candlery.plans.candle_queries import DAILY_SQL, FOUR_HOURS_SQL, daily, four_hours
 from candlery.plans.twins import TWINS, twin
 from candlery.sources.tables import table
@@ -303,6 +303,12 @@ def s17_analysis_json(spark: SparkSession, folder: str) -> DataFrame:
     return registry.analysis_json(rows, "text")
 
 
+def l02_principal_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of three volatilities of every bar. With many ticks a bar few windows are without a price of 0, so those bars are left out of means."""
+    rows = volatility(gaps=True).apply(four_hours(spark, folder))
+    return models.principal_components(rows, ["hist_vol_14", "parkinson_14", "garman_klass_14"])
+
+
 def w16_feature_frame(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.run_steps(four_hours(spark, folder), ["drop_duplicates", "repair", "features"])
 
@@ -333,7 +339,7 @@ def w16_sql() -> str:
 
 def queries() -> dict[str, Query]:
     named = [
-        s06_backfill_slices, s17_analysis_json, w16_feature_frame, o01_outlier_flags,
+        s06_backfill_slices, s17_analysis_json, w16_feature_frame, o01_outlier_flags, l02_principal_components,
         j05_asof_events, y01_event_cycles, j06_near_events, j01_aligned, j02_wide_panel, j07_next_day_pairs, s09_upsert, s21_partial_update, s14_retained, s12_title_dedup,
         u01_unpivot_pivot, r03_detected_interval, r02_resampled, r04_weekly, f09_integrity, a09_cycle_table,
     ]
@@ -371,7 +377,6 @@ def queries() -> dict[str, Query]:
         "v12_garch": lambda s, d: models.garch(four_hours(s, d)),
         "o04_isolation_scores": lambda s, d: models.isolation_scores(four_hours(s, d)),
         "v07_regimes": lambda s, d: models.regimes(vol(s, d), "hist_vol_14"),
-        "l02_principal_components": lambda s, d: models.principal_components(vol(s, d), ["hist_vol_14", "parkinson_14", "garman_klass_14"]),
         "x11_return_regression": lambda s, d: models.return_regression(lagged(s, d), columns, "target_return"),
         "l01_feature_scores": lambda s, d: models.feature_scores(lagged(s, d), columns, "target_return"),
         "n06_topic_model": lambda s, d: learning.topic_model(documents(s, d)),
